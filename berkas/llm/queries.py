@@ -10,6 +10,7 @@ from berkas.llm.cards import addresses, city_names, persons
 from berkas.llm.names import linked_merchants, linked_persons
 from berkas.llm.pagenoise import _FIRST, _SECOND, HYPHENS, corrections, figure_fixes, following, labelled_lines, lexicon, opened, paragraphs, repeated_headings, whole_words, words_of, _cased
 from berkas.llm.pii import name_tokens, placeholders, previous_line, spans
+from berkas.llm.subjects import SHARE, fitted, passages, subject_shares
 from berkas.operators.packed_fields import known_values
 from berkas.session import stored
 from berkas.sources.tables import table
@@ -102,5 +103,22 @@ def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs(labelled_lines(_lines(spark, folder)))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found}
+def _subject_shares(spark: SparkSession, folder: str, least: float) -> DataFrame:
+    docs = stored(table(spark, folder, "documents").where("text is not null").select("doc_id", passages(F.col("text")).alias("p")).where("size(p) > 0"))
+    names = sorted(r[0] for r in table(spark, folder, "subjects").select("subject").distinct().limit(1000).collect() if r[0])
+    return subject_shares(docs, fitted(docs, table(spark, folder, "subject_labels"), names), least)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects that a good part of each document deals with."""
+    return _subject_shares(spark, folder, SHARE).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The make-up of the corpus: documents and summed shares per subject."""
+    s = _subject_shares(spark, folder, 0.0).distinct()
+    return s.groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum("share").alias("share_sum"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p9_found": p9_found, "p9_composition": p9_composition}
 SQL: dict[str, str] = {}

@@ -10,6 +10,9 @@ from berkas.llm.cards import addresses, city_names, persons
 from berkas.llm.names import linked_merchants, linked_persons
 from berkas.llm.pagenoise import _FIRST, _SECOND, HYPHENS, corrections, figure_fixes, following, labelled_lines, lexicon, opened, paragraphs, repeated_headings, whole_words, words_of, _cased
 from berkas.llm.pii import name_tokens, placeholders, previous_line, spans
+from berkas.llm.mixing import mixed, shares
+from berkas.llm.packing import packed, token_count
+from berkas.llm.percentiles import bounds, multi_select, summaries
 from berkas.llm.subjects import SHARE, fitted, passages, subject_shares
 from berkas.operators.packed_fields import known_values
 from berkas.session import stored
@@ -120,5 +123,96 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum("share").alias("share_sum"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p9_found": p9_found, "p9_composition": p9_composition}
-SQL: dict[str, str] = {}
+P2_KINDS = ["worker_id", "doc_format", "account_id", "day"]
+P2_MEASURES = ["total_ms", "detection_ms", "recognition_ms"]
+P2_PROBS = [0.5, 0.9, 0.95, 0.99]
+
+
+def _timings(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document with the group keys as strings; copies of a record agree in all these columns."""
+    t = table(spark, folder, "stage_timing")
+    keys = ["worker_id", "doc_format", F.col("account_id").cast("string").alias("account_id"), F.date_format("ts", "yyyy-MM-dd").alias("day")]
+    return t.select("doc", *keys, *P2_MEASURES).distinct()
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """The places in P2_KINDS and P2_MEASURES as names."""
+    pick = lambda names, c: F.element_at(F.array(*[F.lit(x) for x in names]), F.col(c) + 1)
+    return df.withColumn("grouping", pick(P2_KINDS, "kind")).withColumn("measure", pick(P2_MEASURES, "m"))
+
+
+def _wide(df: DataFrame, value: str, *more: str) -> DataFrame:
+    """One row per group and measure, the percentiles side by side."""
+    cols = [F.max(F.when(F.col("q") == i, F.col(value))).cast("double").alias(f"p{round(p * 100)}") for i, p in enumerate(P2_PROBS)]
+    return _named(df).groupBy("grouping", "grp", "measure", "n").agg(*cols, *[F.max(m).alias(m) for m in more])
+
+
+def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact percentiles of the stage times by worker, format, account and day; the error bound is 0 ranks."""
+    rows = multi_select(stored(_timings(spark, folder)), P2_KINDS, P2_MEASURES, P2_PROBS)
+    return _wide(rows, "value").withColumn("max_rank_error", F.lit(0).cast("long"))
+
+
+def p2_day_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries of each day by worker, format and account: the form in which days are kept and later combined."""
+    s = summaries(_timings(spark, folder), P2_KINDS[:3], P2_MEASURES, part="day")
+    return _named(s).select("grouping", "grp", "measure", F.col("part").alias("day"), "n", F.col("vals").alias("slice_ends"), F.col("cum").alias("ranks"))
+
+
+def p2_combined(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles from the day summaries put together, without the measurements, each with its error bound in ranks."""
+    s = summaries(_timings(spark, folder), P2_KINDS[:3], P2_MEASURES, part="day")
+    return _wide(bounds(s, P2_PROBS), "hi", "error").withColumnRenamed("error", "max_rank_error")
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its containers of each capacity."""
+    docs = stored(table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens")))
+    out = None
+    for r in table(spark, folder, "pack_sizes").where("capacity_tokens > 0").limit(1000).collect():
+        x = packed(docs, r["capacity_tokens"]).select(F.lit(r["size_name"]).alias("size_name"), F.lit(r["capacity_tokens"]).alias("capacity_tokens"), "bin_id", "doc_id", "piece", "start_token", "n_tokens")
+        out = x if out is None else out.unionAll(x)
+    return out if out is not None else spark.createDataFrame([], "size_name string, capacity_tokens int, bin_id long, doc_id long, piece int, start_token int, n_tokens int")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used, tokens and the share of space filled, with the fewest containers that the tokens could need."""
+    g = p7_packed(spark, folder).where("bin_id is not null").groupBy("size_name", "capacity_tokens").agg(F.count_distinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
+    return g.withColumn("fill", F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens"))).withColumn("least_bins", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("source is not null and text is not null")
+    return mixed(docs.select("doc_id", "source", F.xxhash64(F.trim("text")).alias("text_key"), token_count(F.col("text")).alias("n_tokens")), table(spark, folder, "mix_targets"))
+
+
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents drawn for each source, with repeats."""
+    return _mixed(spark, folder)
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source reaches, beside its target."""
+    return shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {
+    "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries, "p2_combined": p2_combined, "p7_packed": p7_packed, "p7_fill": p7_fill,
+    "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p9_found": p9_found, "p9_composition": p9_composition}
+SQL: dict[str, str] = {
+    "p2_percentiles": """
+with t as (select distinct doc, worker_id, doc_format, cast(account_id as varchar) as account_id, strftime(ts, '%Y-%m-%d') as "day",
+                  total_ms, detection_ms, recognition_ms from stage_timing),
+k as (select 'worker_id' as "grouping", worker_id as grp, * from t union all select 'doc_format', doc_format, * from t
+      union all select 'account_id', account_id, * from t union all select 'day', "day", * from t),
+m as (select "grouping", grp, 'total_ms' as measure, total_ms as v from k union all select "grouping", grp, 'detection_ms', detection_ms from k
+      union all select "grouping", grp, 'recognition_ms', recognition_ms from k),
+ok as (select * from m where v is not null and not isnan(v) and v >= 0),
+r as (select "grouping", grp, measure, v, row_number() over (partition by "grouping", grp, measure order by v) as i,
+             count(*) over (partition by "grouping", grp, measure) as n from ok)
+select "grouping", grp, measure, n,
+       cast(max(case when i = greatest(1, ceil(round(n * 0.5, 9))) then v end) as double) as p50, cast(max(case when i = greatest(1, ceil(round(n * 0.9, 9))) then v end) as double) as p90,
+       cast(max(case when i = greatest(1, ceil(round(n * 0.95, 9))) then v end) as double) as p95, cast(max(case when i = greatest(1, ceil(round(n * 0.99, 9))) then v end) as double) as p99,
+       cast(0 as bigint) as max_rank_error
+from r group by all""",
+}

@@ -294,7 +294,10 @@ def confidence_bands(spark: SparkSession, folder: str) -> DataFrame:
 def pixel_variance(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings").select("vec_id", F.explode("embedding").alias("v"))
     px = F.pmod(F.round(F.col("v").cast("double") * 1000), F.lit(256.0))
-    return e.groupBy("vec_id").agg(F.round(F.var_pop(px), 3).alias("variance"), (F.var_pop(px) < 500).alias("enhance"))
+    px = px.cast("long")
+    # whole sums, as of a grey image: n * sum of squares - square of the sum
+    g = e.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(px).alias("s"), F.sum(px * px).alias("q"))
+    return g.select("vec_id", (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("n2_variance"), ((F.col("n") * F.col("q") - F.col("s") * F.col("s")) < 500 * F.col("n") * F.col("n")).alias("enhance"))
 
 
 def export_tsv(spark: SparkSession, folder: str) -> DataFrame:
@@ -458,7 +461,7 @@ when wd = 0 or hg = 0 then 'Invalid image: Image has zero dimensions' when wd >
     "language_codes": "select d.lang, m.language, n from (select lang, count(*) as n from documents group by lang) d left join (values " + ", ".join(f"('{k}', '{v}')" for k, v in CODES.items()) + ") m(code, language) on lower(trim(d.lang)) = m.code",
     "error_messages": "select n_nationkey, case n_nationkey % 12 " + " ".join(f"when {i} then '" + ERRORS[k].replace("'", "''").replace("{0}", "' || n_name || '").replace("{1}", files.SUPPORTED) + "'" for i, k in enumerate(sorted(ERRORS))) + " end as message from nation",
     "confidence_bands": f"with {_WORDS} select case when conf >= 0.9 then 'green' when conf >= 0.75 then 'blue' when conf >= 0.5 then 'amber' else 'red' end as band, count(*) as n from w group by 1",
-    "pixel_variance": "with e as (select vec_id, unnest(embedding) as v from embeddings), p as (select vec_id, ((round(cast(v as double) * 1000) % 256) + 256) % 256 as px from e) select vec_id, round(var_pop(px), 3) as variance, var_pop(px) < 500 as enhance from p group by vec_id",
+    "pixel_variance": "with e as (select vec_id, unnest(embedding) as v from embeddings), p as (select vec_id, cast(((round(cast(v as double) * 1000) % 256) + 256) % 256 as bigint) as px from e), g as (select vec_id, count(*) as n, cast(sum(px) as bigint) as s, cast(sum(px * px) as bigint) as q from p group by vec_id) select vec_id, n * q - s * s as n2_variance, n * q - s * s < 500 * n * n as enhance from g",
     "export_tsv": f"""with {_GROUPED} select doc, page, 'line' || chr(9) || 'confidence' || chr(9) || 'min_x' || chr(9) || 'min_y' || chr(9) || 'max_x' || chr(9) || 'max_y' || chr(9) || 'text' || chr(10) || string_agg(line_no || chr(9) || printf('%.4f', round(conf, 2)) || chr(9) || printf('%.1f', min_x) || chr(9) || printf('%.1f', min_y) || chr(9) || printf('%.1f', max_x) || chr(9) || printf('%.1f', max_y) || chr(9) || text || chr(10), '' order by idx) as tsv from g group by doc, page""",
     "export_table_csv": f"""with {_MAT}, r as (select doc, row_no, string_agg(case when regexp_matches(text, '[,"\\n]') then '"' || replace(text, '"', '""') || '"' else text end, ',' order by col_no) as l from c group by all) select doc, string_agg(l || chr(10), '' order by row_no) as csv from r group by doc""",
     "export_table_markdown": f"""with {_MAT}, k as (select *, row_number() over (partition by doc, row_no order by col_no) as j, dense_rank() over (partition by doc order by row_no) as i from c),

@@ -2,9 +2,9 @@
 
 Distributed multi-select: every chunk of rows proposes, for each group, the medians of its recursive halves (the ends of
 equal slices of its sorted values; six halvings in one go do the work of six rounds). The weighted order of all proposals
-gives two pivots around each wanted rank, with proven bounds on the ranks below and above them. Values below, between
-and above the pivots are counted; the ranges outside are discarded, and the round is repeated on what lies between until
-every slice holds one value, which is then the percentile, exactly. A group whose chunks are small is done in one round.
+gives two pivots around each wanted rank, with proven bounds on the ranks below and above them. Values below, at, between
+and above the pivots are counted; the ranges outside are discarded, and the round is repeated on what lies strictly
+between until the rank falls on a pivot or every slice holds one value; that is the percentile, exactly. A group whose chunks are small is done in one round.
 
 The proposals are also the form that combines: summaries of separate days or files are put side by side (`unionAll`), and
 `bounds` gives each percentile from them with its error in ranks: at most the sum of (slice width - 1) over the chunks,
@@ -90,7 +90,7 @@ _BOUNDS = "kind int, m int, grp string, q int, n long, k long, lo float, hi floa
 
 
 def bounds(summary: DataFrame, probs: list[float]) -> DataFrame:
-    """(kind, m, grp, q, n, k, lo, hi, error) per group and percentile: the value of rank k lies in (lo, hi], lo null for
+    """(kind, m, grp, q, n, k, lo, hi, error) per group and percentile: the value of rank k lies in [lo, hi], lo null for
     no lower bound; error is the most that the rank of hi can differ from k, 0 if hi is the percentile itself.
     Summaries of any chunks, days or files go in together."""
 
@@ -145,10 +145,11 @@ def _merge(b: pd.DataFrame, keys: list[str]):
 
 
 def _pick(g, vals, w, base, total, error, k):
-    """(lo, hi) around rank k of each group."""
+    """(lo, hi) around rank k of each group: fewer than k values are below lo, and at least k are not above hi. Where both
+    are the same value it is the percentile, however many ties it has."""
     at = np.searchsorted(w, base + k, side="left")
     hi = vals[np.minimum(at, len(vals) - 1)]
-    # the largest proposal x with (values certainly below or at x) + error < k
+    # at a proposal x of cumulated weight w, at most w + error values are below x
     below = np.searchsorted(w, base + k - error, side="left") - 1
     first = np.searchsorted(g, np.arange(len(base)), side="left")
     lo = np.where(below >= first, vals[np.clip(below, 0, max(0, len(vals) - 1))], np.nan)
@@ -167,7 +168,8 @@ def _solve(b: pd.DataFrame, probs: list[float]) -> pd.DataFrame:
     for q, p in enumerate(probs):
         k = ranks(total, p)
         lo, hi = _pick(g, vals, w, base, total, error, k)
-        out.append(pd.DataFrame({"kind": lead["kind"].to_numpy(), "m": lead["m"].to_numpy(), "grp": lead["grp"].to_numpy(), "q": q, "n": total, "k": k, "lo": lo.astype(np.float32), "hi": hi.astype(np.float32), "error": error}))
+        known = np.where(lo == hi, 0, error)
+        out.append(pd.DataFrame({"kind": lead["kind"].to_numpy(), "m": lead["m"].to_numpy(), "grp": lead["grp"].to_numpy(), "q": q, "n": total, "k": k, "lo": lo.astype(np.float32), "hi": hi.astype(np.float32), "error": known}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -194,12 +196,13 @@ def multi_select(data: DataFrame, kinds: list[str], measures: list[str], probs:
     return done
 
 
-_RANGE = "t int, below long, vals array<float>, cum array<int>"
+_RANGE = "t int, less long, upto long, inside long, vals array<float>, cum array<int>"
 
 
 def _narrow(data: DataFrame, kinds: list[str], measures: list[str], todo: pd.DataFrame) -> DataFrame:
-    """One round on the ranges of `todo` (a page of bounded size): counts below each range and fine proposals inside, then
-    narrower ranges. Rows as of `bounds`."""
+    """One round on the ranges of `todo` (a page of bounded size). Values are counted three ways at both pivots: below and
+    at lo, strictly between, and so at hi; fine proposals stand for those between. The percentile is lo or hi if its rank
+    falls there, else it lies strictly between, so every round leaves a smaller range. Rows as of `bounds`."""
     todo = todo.reset_index(drop=True)
     ranges = {}
     for t, r in enumerate(todo.itertuples()):
@@ -217,28 +220,34 @@ def _narrow(data: DataFrame, kinds: list[str], measures: list[str], todo: pd.Dat
                 for c, s, e in zip(segs, start, end):
                     name = None if pd.isna(names[c]) else names[c]
                     for t, lo, hi in groups.get(name, ()):
-                        a = s + np.searchsorted(x[s:e], lo, side="right")
-                        z = s + np.searchsorted(x[s:e], hi, side="right")
-                        cum = _slices(z - a, FINE) if z > a else np.zeros(0, np.int64)
-                        out.append((t, a - s, x[a + cum - 1] if z > a else np.zeros(0, np.float32), cum))
-            yield pd.DataFrame(out, columns=["t", "below", "vals", "cum"])
+                        less = np.searchsorted(x[s:e], lo, side="left")
+                        upto = np.searchsorted(x[s:e], lo, side="right")
+                        inside = max(np.searchsorted(x[s:e], hi, side="left") - upto, 0)
+                        cum = _slices(inside, FINE) if inside else np.zeros(0, np.int64)
+                        out.append((t, less, upto, inside, x[s + upto + cum - 1] if inside else np.zeros(0, np.float32), cum))
+            yield pd.DataFrame(out, columns=["t", "less", "upto", "inside", "vals", "cum"])
 
     info = todo[["kind", "m", "grp", "q", "n", "k"]]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _whole_groups(batches, ["t"]):
-            below = b.groupby("t")["below"].sum()
-            b = b[b["vals"].map(len) > 0]
-            if b.empty:
-                continue
-            lead, g, vals, w, base, total, error, _ = _merge(b, ["t"])
-            t = lead["t"].to_numpy()
-            k = info["k"].to_numpy()[t] - below.loc[t].to_numpy()
-            lo, hi = _pick(g, vals, w, base, total, error, k)
-            old = todo["lo"].to_numpy(dtype=np.float64)[t]
-            lo = np.where(np.isnan(lo), old, lo)
-            rows = info.iloc[t].reset_index(drop=True)
-            yield rows.assign(lo=lo.astype(np.float32), hi=hi.astype(np.float32), error=error)[["kind", "m", "grp", "q", "n", "k", "lo", "hi", "error"]]
+            c = b.groupby("t")[["upto", "inside"]].sum()
+            t = c.index.to_numpy()
+            k = info["k"].to_numpy()[t] - c["upto"].to_numpy()
+            low, high = todo["lo"].to_numpy(dtype=np.float64)[t], todo["hi"].to_numpy(dtype=np.float64)[t]
+            at = np.where(k <= 0, low, high)  # the rank falls on a pivot
+            found = (k <= 0) | (k > c["inside"].to_numpy())
+            rows = info.iloc[t].reset_index(drop=True).assign(lo=np.float32("nan"), hi=at.astype(np.float32), error=np.where(found, 0, -1))
+            rest = b[b["t"].isin(t[~found]) & (b["inside"] > 0)]
+            if len(rest):
+                lead, g, vals, w, base, total, error, _ = _merge(rest, ["t"])
+                ts = lead["t"].to_numpy()
+                where = np.searchsorted(t, ts)
+                lo, hi = _pick(g, vals, w, base, total, error, k[where])
+                rows.loc[where, "error"] = np.where(lo == hi, 0, error)
+                rows.loc[where, "lo"] = np.where(np.isnan(lo), low[where], lo).astype(np.float32)
+                rows.loc[where, "hi"] = hi.astype(np.float32)
+            yield rows[["kind", "m", "grp", "q", "n", "k", "lo", "hi", "error"]]
 
     made = data.select(*dict.fromkeys([*kinds, *measures])).mapInPandas(propose, _RANGE)
     return made.repartition("t").sortWithinPartitions("t").mapInPandas(solve, _BOUNDS)

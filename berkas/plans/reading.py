@@ -300,6 +300,28 @@ def pixel_variance(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("vec_id", (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("n2_variance"), ((F.col("n") * F.col("q") - F.col("s") * F.col("s")) < 500 * F.col("n") * F.col("n")).alias("enhance"))
 
 
+def det_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions of a probability map, four of sixteen pixels to a vector."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    px = e.select("vec_id", (F.col("i") / 16).cast("int").alias("region"), F.abs(F.col("v").cast("double")).alias("p"))
+    g = recognition.region_score(px, ["vec_id", "region"], threshold=0.1, least=0.12)
+    on = table(spark, folder, "embeddings").select("vec_id", F.size(F.filter(recognition.binarised(F.transform("embedding", lambda v: F.abs(v.cast("double"))), 0.1), lambda b: b)).alias("n_on"))
+    return g.join(on, "vec_id").select("vec_id", "region", F.round("score", 6).alias("score"), "n_on")
+
+
+def moment_angles(spark: SparkSession, folder: str) -> DataFrame:
+    """Main axis and turned box of the cells of each table as points."""
+    c = cell_boxes(spark, folder)
+    g = c.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct((F.col("min_x") + F.col("idx") % 5).alias("x"), F.col("min_y").alias("y")))).alias("pts"))
+    box = geo.oriented_box(F.col("pts"), F.lit(2.0), F.lit(900.0), F.lit(900.0), F.lit(1.5), F.lit(2.0))
+    return g.select("doc", F.round(F.degrees(geo.moment_angle(F.col("pts"))), 4).alias("angle"), F.round(box[0]["x"], 3).alias("x0"), F.round(box[2]["y"], 3).alias("y2"))
+
+
+def pdf_page(spark: SparkSession, folder: str) -> DataFrame:
+    p, ocr = _pages(spark, folder)
+    return results.page(pages.routed_pages(p, ocr, PAGE).withColumnRenamed("page", "page_number"), 2).select("doc", "source", "text")
+
+
 def export_tsv(spark: SparkSession, folder: str) -> DataFrame:
     w = layout.grouped_lines(words(spark, folder), PAGE)
     return export.tsv(w.withColumn("conf", F.round("conf", 2)), PAGE)
@@ -339,7 +361,7 @@ QUERIES = {
     for f in (
         page_text, group_lines, line_agg, reading_columns, sorted_lines, table_from_boxes, iou_pairs, nms_boxes, polygon_measures, skew_angle, crop_boxes, input_sizes, rec_batches, ctc_argmax, ctc_decode,
         second_pass_merge, legible_regions, filter_confidence, search_regions, batch_summary, dedup_native_ocr, page_routing, pdf_document, hash_cache, char_error, word_error, percentiles, timing_summary,
-        sniff_format, path_checks, supported_formats, language_list, language_codes, error_messages, confidence_bands, pixel_variance, export_tsv, export_hocr, export_table_csv, export_table_markdown,
+        sniff_format, path_checks, supported_formats, language_list, language_codes, error_messages, confidence_bands, pixel_variance, det_scores, moment_angles, pdf_page, export_tsv, export_hocr, export_table_csv, export_table_markdown,
         export_table_json, export_line_json, export_text_layer,
     )
 }
@@ -462,6 +484,15 @@ when wd = 0 or hg = 0 then 'Invalid image: Image has zero dimensions' when wd >
     "error_messages": "select n_nationkey, case n_nationkey % 12 " + " ".join(f"when {i} then '" + ERRORS[k].replace("'", "''").replace("{0}", "' || n_name || '").replace("{1}", files.SUPPORTED) + "'" for i, k in enumerate(sorted(ERRORS))) + " end as message from nation",
     "confidence_bands": f"with {_WORDS} select case when conf >= 0.9 then 'green' when conf >= 0.75 then 'blue' when conf >= 0.5 then 'amber' else 'red' end as band, count(*) as n from w group by 1",
     "pixel_variance": "with e as (select vec_id, unnest(embedding) as v from embeddings), p as (select vec_id, cast(((round(cast(v as double) * 1000) % 256) + 256) % 256 as bigint) as px from e), g as (select vec_id, count(*) as n, cast(sum(px) as bigint) as s, cast(sum(px * px) as bigint) as q from p group by vec_id) select vec_id, n * q - s * s as n2_variance, n * q - s * s < 500 * n * n as enhance from g",
+    "pdf_page": f"{_ROUTE} select doc, source, text from x where page = 2",
+    "det_scores": """with e as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), p as (select vec_id, cast(i // 16 as integer) as region, abs(cast(v as double)) as p from e),
+s as (select vec_id, region, avg(p) filter (where p >= 0.1) as score from p group by all), o as (select vec_id, cast(count(*) filter (where p >= 0.1) as integer) as n_on from p group by vec_id)
+select s.vec_id, region, round(score, 6) as score, n_on from s join o on s.vec_id = o.vec_id where score >= 0.12""",
+    "moment_angles": f"""with {_CELL_BOXES}, p as (select doc, min_x + idx % 5 as x, min_y as y from b), m as (select doc, avg(x) as mx, avg(y) as my from p group by doc),
+q as (select p.doc, x, y, 0.5 * atan2(2 * sum((x - mx) * (y - my)) over w, sum((x - mx) ** 2) over w - sum((y - my) ** 2) over w) as t from p join m on p.doc = m.doc window w as (partition by p.doc)),
+r as (select doc, any_value(t) as t, min(x) - 2 as x0, max(y) + 2 as y1, min(x * cos(t) + y * sin(t)) - 2 as u0, max(x * cos(t) + y * sin(t)) + 2 as u1, min(-x * sin(t) + y * cos(t)) - 2 as v0, max(-x * sin(t) + y * cos(t)) + 2 as v1 from q group by doc),
+z as (select doc, degrees(t) as angle, abs(degrees(t)) between 1.5 and 45 as turned, u0 * cos(t) - v0 * sin(t) as ux, u1 * sin(t) + v1 * cos(t) as uy, x0, y1 from r)
+select doc, round(angle, 4) as angle, round(least(greatest(case when turned then ux else x0 end, 0), 900) * 1.5, 3) as x0, round(least(greatest(case when turned then uy else y1 end, 0), 900) * 2, 3) as y2 from z""",
     "export_tsv": f"""with {_GROUPED} select doc, page, 'line' || chr(9) || 'confidence' || chr(9) || 'min_x' || chr(9) || 'min_y' || chr(9) || 'max_x' || chr(9) || 'max_y' || chr(9) || 'text' || chr(10) || string_agg(line_no || chr(9) || printf('%.4f', round(conf, 2)) || chr(9) || printf('%.1f', min_x) || chr(9) || printf('%.1f', min_y) || chr(9) || printf('%.1f', max_x) || chr(9) || printf('%.1f', max_y) || chr(9) || text || chr(10), '' order by idx) as tsv from g group by doc, page""",
     "export_table_csv": f"""with {_MAT}, r as (select doc, row_no, string_agg(case when regexp_matches(text, '[,"\\n]') then '"' || replace(text, '"', '""') || '"' else text end, ',' order by col_no) as l from c group by all) select doc, string_agg(l || chr(10), '' order by row_no) as csv from r group by doc""",
     "export_table_markdown": f"""with {_MAT}, k as (select *, row_number() over (partition by doc, row_no order by col_no) as j, dense_rank() over (partition by doc order by row_no) as i from c),

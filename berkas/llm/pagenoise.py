@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +51,12 @@ def skeleton(word: str) -> str:
 
 
 def skeleton_column(c: Column) -> Column:
-    """`skeleton` inside code generation."""
-    c = F.lower(c)
+    """`skeleton` inside code generation: one pass for the letters that become one letter, then those that become two."""
+    one = {a: b for a, b in STROKES.items() if len(b) == 1}
+    c = F.translate(F.lower(c), "".join(one), "".join(one.values()))
     for a, b in STROKES.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
+        if len(b) > 1:
+            c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
@@ -93,6 +96,8 @@ def split_number(text: str) -> tuple[str, str, int]:
     return text.strip(), "", -1
 
 
+#: a line of running text: a mark inside or at its end
+LONG = r"[.:;,] [A-Za-z0-9]|[.:;,]$"
 _EDGE = "struct<rest:string,shape:string,number:int>"
 
 
@@ -112,7 +117,7 @@ def edges(lines: DataFrame) -> DataFrame:
     order = page.orderBy("idx", "ocr_id")
     x = lines.withColumn("top", F.row_number().over(order)).withColumn("n", F.count("*").over(page)).withColumn("bottom", F.col("n") - F.col("top") + 1)
     x = x.withColumn("above", F.col("min_y") - F.lag("min_y").over(order)).withColumn("below", F.lead("min_y").over(order) - F.col("min_y"))
-    x = x.withColumn("pitch", F.percentile_approx("above", 0.5, 100).over(page))
+    x = x.withColumn("pitch", (F.max("min_y").over(page) - F.min("min_y").over(page)) / F.greatest(F.col("n") - 1, F.lit(1)))
     return x
 
 
@@ -126,7 +131,7 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     # repetition at edges of other pages of the document, and of the corpus
     rep = edge.where("length(norm) >= 3").groupBy("doc", "norm").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page"))
     corpus = rep.groupBy("norm").agg(F.count("*").alias("docs"), F.max("pages").alias("most"), F.sum("pages").alias("edge_pages"))
-    inside = x.where("top > 3 and bottom > 3 and length(text) <= 60").groupBy(F.regexp_replace(skeleton_column(F.col("text")), r"[^a-z]+", "").alias("norm")).agg(F.count("*").alias("inside"))
+    inside = x.where("top > 3 and bottom > 3 and length(text) <= 60").where(~F.col("text").rlike(r"[.:;,] [A-Za-z0-9]|[.;,]$")).groupBy(F.regexp_replace(skeleton_column(F.col("text")), r"[^a-z]+", "").alias("norm")).agg(F.count("*").alias("inside"))
     corpus = corpus.join(inside, "norm", "left").select("norm", "docs", "most", (F.coalesce("inside", F.lit(0)) * 10 > F.col("edge_pages")).alias("inside"))
     pages = x.groupBy("doc").agg(F.min("page").alias("page_1"), F.count_distinct("page").alias("page_n"))
     e = edge.join(run, (edge.doc == run.doc) & (edge["shape"] == run["shape"]) & (edge.number - edge.page == run["shift"]), "left").select(edge["*"], "run", "shift")
@@ -143,7 +148,7 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     upper = F.length(F.regexp_replace("text", "[^A-Z]", ""))
     case = F.when(letters < 3, "none").when(upper >= 0.8 * letters, "upper").when(F.col("text").rlike(r"^[a-z]"), "lower").otherwise("mixed")
     ending = F.when(F.col("text").rlike(r"[.!?]$"), "stop").when(F.col("text").rlike(f"[{HYPHENS}]$"), "hyphen").otherwise("open")
-    size = F.when((F.length("text") <= 60) & ~F.col("text").rlike(r"[.:;,] [A-Za-z0-9]|[.:;,]$"), "short").otherwise("long")
+    size = F.when((F.length("text") <= 60) & ~F.col("text").rlike(LONG), "short").otherwise("long")
     mark = F.concat_ws("/", number, repeat, size)
     first = F.when(F.col("page") == F.col("page_1"), "first").otherwise("later")
     y = y.select("ocr_id", "doc", "page", "idx", "text", mark.alias("mark"), number.alias("number"), place.alias("place"), repeat.alias("repeat"), gap.alias("gap"), case.alias("case"), ending.alias("ending"), size.alias("size"), first.alias("first"))
@@ -156,10 +161,8 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if b.empty:
                 continue
-            key = list(zip(b["doc"], b["page"]))
-            cut = len(key)
-            while cut > 0 and key[cut - 1] == key[-1]:
-                cut -= 1
+            same = ((b["doc"] == b["doc"].iloc[-1]) & (b["page"] == b["page"].iloc[-1])).to_numpy()
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             rest, done = b.iloc[cut:], b.iloc[:cut]
             if len(done):
                 yield _label_pages(done, model)
@@ -226,35 +229,42 @@ MOVES = {
 }
 
 
-def viterbi(rows: list[dict], model: dict) -> list[str]:
-    """The most probable states of the lines of a page."""
-    emit, move = model["emit"], model["move"]
-    score: dict[str, float] = {}
-    back: list[dict[str, str]] = []
-    for i, r in enumerate(rows):
-        e = {s: sum(emit[s][f][r[f]] for f in FEATURES) for s in STATES}
-        if i == 0:
-            score = {s: move["start"][s] + e[s] for s in STATES}
-            back.append({})
-            continue
-        new, from_ = {}, {}
-        for s in STATES:
-            p = max(STATES, key=lambda q: score[q] + move[q][s])
-            new[s], from_[s] = score[p] + move[p][s] + e[s], p
-        score = new
-        back.append(from_)
-    s = max(score, key=score.get)
-    out = [s]
-    for b in back[:0:-1]:
-        s = b[s]
-        out.append(s)
-    return out[::-1]
+def viterbi(scores: np.ndarray, page: np.ndarray, move: dict) -> np.ndarray:
+    """The most probable state of every line: scores (lines, states) of lines sorted by page, page numbers from 0. All
+    pages advance together, line by line."""
+    n_pages = int(page[-1]) + 1 if len(page) else 0
+    start = np.searchsorted(page, np.arange(n_pages))
+    length = np.diff(np.r_[start, len(page)])
+    first = np.array([move["start"][s] for s in STATES])
+    step = np.array([[move[p][s] for s in STATES] for p in STATES])
+    best = first + scores[start]
+    back = np.zeros((len(page), len(STATES)), np.int8)
+    last = best.argmax(1) if n_pages else np.zeros(0, int)
+    for t in range(1, int(length.max()) if n_pages else 0):
+        on = np.flatnonzero(length > t)
+        way = best[on][:, :, None] + step[None]
+        at = start[on] + t
+        back[at] = way.argmax(1)
+        best[on] = way.max(1) + scores[at]
+    last = best.argmax(1) if n_pages else last
+    out = np.zeros(len(page), np.int8)
+    for t in range((int(length.max()) if n_pages else 0) - 1, -1, -1):
+        on = np.flatnonzero(length > t)
+        at = start[on] + t
+        out[at] = last[on]
+        if t:
+            last[on] = back[at, last[on]]
+    return out
 
 
 def _label_pages(done: pd.DataFrame, model: dict) -> pd.DataFrame:
-    states: list[str] = []
-    for _, g in done.groupby(["doc", "page"], sort=False):
-        states += viterbi(g[FEATURES].to_dict("records"), model)
+    score = np.zeros((len(done), len(STATES)))
+    for f in FEATURES:
+        table = np.array([[model["emit"][s][f][v] for s in STATES] for v in VALUES[f]])
+        score += table[pd.Categorical(done[f], categories=VALUES[f]).codes]
+    doc, page = done["doc"].to_numpy(), done["page"].to_numpy()
+    new = np.r_[False, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])]
+    states = np.array(STATES, dtype=object)[viterbi(score, np.cumsum(new), model["move"])]
     return done[["ocr_id", "doc", "page", "idx", "text"]].assign(state=states)
 
 
@@ -273,26 +283,69 @@ def following(text_lines: DataFrame) -> DataFrame:
     return x.join(heads, ["doc", "page"], "left").withColumn("next_text", F.coalesce("in_page", "over_page")).drop("in_page", "over_page", "at")
 
 
+_ADDRESS = r"\S+(?:@|\[at\])\S*\.\S+|https?://\S+|www\.\S+"
+#: what stands between words, as a list and not as the negation of the letters: the regular-expression engine looks up a
+#: listed character in a table, fifteen times as fast
+WORD_BREAK = r"[\s.,;:()/\"!?#%&*<=>\[\]\\^_`{}~\u00A0\u00AD\u00AC\u00B0\u00AB\u00BB\u2010-\u2026]+"
+
+
 def words_of(text: Column) -> Column:
-    """Word-like tokens of a text, addresses and links left out."""
-    clean = F.regexp_replace(text, r"\S+(?:@|\[at\])\S*\.\S+|(?:https?://|www\.)\S+", " ")
-    return F.regexp_extract_all(clean, F.lit("((?<![\\p{L}0-9@+|$])\uE000?[\\p{L}0-9@+|$]+(?:[-'][\\p{L}0-9@+|$]+)*)"), F.lit(1))
+    """Array of word-like stretches of a text, addresses and links left out; `word_rows` makes words of them."""
+    marked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
+    clean = F.when(marked, F.regexp_replace(text, _ADDRESS, " ")).otherwise(text)
+    return F.split(clean, WORD_BREAK)
+
+
+def word_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """A row (keep, raw) per word of `words`, marks at its ends left out, two letters or more. Words are cut after the
+    explosion, where code generation reaches; the outer explosion has no filter inferred that would split each text again."""
+    return _tidy(df.select(*keep, F.explode_outer("words").alias("raw")))
+
+
+def _tidy(x: DataFrame) -> DataFrame:
+    raw = F.col("raw")
+    marked = raw.startswith("-") | raw.startswith("'") | raw.endswith("-") | raw.endswith("'")
+    return x.withColumn("raw", F.when(marked, F.trim(raw, F.lit("-'"))).otherwise(raw)).where(F.length("raw") >= 2)
 
 
 def opened(text: Column) -> Column:
     """The text with a mark before a word that begins a sentence with a misread letter: the letter was a capital."""
-    return F.regexp_replace(text, r"([.!?]\s+)(?=[0-9@+|$]\p{Ll}{2})", "$1\uE000")
+    return F.regexp_replace(text, r"([.!?] )(?=[0-9@+|$][a-z]{2})", "$1\uE000")
+
+
+def lexicon(words: list[DataFrame], texts: list[DataFrame] = ()) -> DataFrame:
+    """(word, n) over all rows of tables with a column `words`, and of tables with a column `text`; lower case; counted with
+    map-side combination, so that a frequent word costs one row per task."""
+    parts = [word_rows(t) for t in words] + [_text_words(t) for t in texts]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.groupBy(plain_word(F.col("raw")).alias("word")).agg(F.count("*").alias("n"))
+
+
+def _text_words(df: DataFrame) -> DataFrame:
+    """The words of a column `text`, split and exploded in one step, so that the list of a long text is made once."""
+    return _tidy(df.select(F.explode_outer(F.split("text", WORD_BREAK)).alias("raw")))
+
+
+def plain_word(raw: Column) -> Column:
+    """Lower case, without the mark of `opened`."""
+    return F.lower(F.when(raw.startswith("\uE000"), F.ltrim(raw, F.lit("\uE000"))).otherwise(raw))
+
+
+def without_halves(text: Column) -> Column:
+    """A text without the halves of broken words, at its end and inside."""
+    end = F.when(ends_broken(text), F.regexp_replace(text, _FIRST, " ")).otherwise(text)
+    inner = F.lit(False)
+    for h in HYPHENS:
+        for space in " \n\r":
+            inner = inner | F.contains(end, F.lit(h + space))
+    return F.when(inner, F.regexp_replace(end, rf"[\p{{L}}0-9@+|$-]+[{HYPHENS}]\s+[\p{{Ll}}0-9@+|$]+", " ")).otherwise(end)
 
 
-def lexicon(texts: list[DataFrame]) -> DataFrame:
-    """(word, n) over all rows of one-column tables of text; lower case; counted with map-side combination, so that a
-    frequent word costs one row per task."""
-    out = None
-    for t in texts:
-        c = F.col(t.columns[0])
-        w = t.select(F.explode(F.transform(words_of(c), F.lower)).alias("word"))
-        out = w if out is None else out.unionAll(w)
-    return out.where("length(word) >= 2").groupBy("word").agg(F.count("*").alias("n"))
+def ends_broken(text: Column) -> Column:
+    """Whether the last mark of a line is a hyphen of whatever kind."""
+    return F.substring(F.rtrim(text), -1, 1).isin(list(HYPHENS))
 
 
 def corrections(lex: DataFrame, *, ratio: float = 0.12, frequent: int = 8) -> DataFrame:
@@ -300,7 +353,7 @@ def corrections(lex: DataFrame, *, ratio: float = 0.12, frequent: int = 8) -> Da
     word of letters alone must be `ratio` rarer than it. The join is on skeletons of distinct words, where only the
     frequent words of a skeleton, a handful, stand on one side."""
     s = lex.select("word", "n", skeleton_column(F.col("word")).alias("s"), F.regexp_count("word", F.lit(r"[0-9@+|$]")).alias("odd"))
-    often = s.where((F.col("odd") == 0) & (F.col("n") >= frequent)).select("s", F.col("word").alias("w"), F.col("n").alias("m"))
+    often = s.where((F.col("odd") == 0) & (F.col("n") >= frequent) & (F.length("word") >= 3)).select("s", F.col("word").alias("w"), F.col("n").alias("m"))
     rare = s.where(F.col("word").rlike("[a-z].*[a-z]") & (F.col("odd") * 2 <= F.length("word")))
     hit = rare.join(often, "s").where((F.col("word") != F.col("w")) & ((F.col("odd") > 0) | (F.col("n") <= F.col("m") * ratio)))
     hit = hit.where(readable(F.col("word"), F.col("w")))

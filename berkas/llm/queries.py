@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from berkas.llm.addresses import same_houses
 from berkas.llm.cards import addresses, city_names, persons
 from berkas.llm.names import linked_merchants, linked_persons
-from berkas.llm.pagenoise import _FIRST, _SECOND, HYPHENS, corrections, figure_fixes, following, labelled_lines, lexicon, opened, paragraphs, repeated_headings, whole_words, words_of, _cased
+from berkas.llm.pagenoise import _FIRST, _SECOND, HYPHENS, corrections, ends_broken, figure_fixes, following, labelled_lines, lexicon, opened, paragraphs, plain_word, without_halves, word_rows, WORD_BREAK, repeated_headings, whole_words, words_of, _cased
 from berkas.llm.pii import name_tokens, placeholders, previous_line, spans
 from berkas.llm.mixing import mixed, shares
 from berkas.llm.packing import packed, token_count
@@ -71,11 +71,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Page furniture, broken words and misread words in scanned lines and table cells."""
     labels = stored(labelled_lines(_lines(spark, folder)))
     cells = stored(table(spark, folder, "table_cells").select("cell_id", "doc", "row_no", "col_no", "text").dropDuplicates(["cell_id"]))
-    docs = table(spark, folder, "documents").select("text")
-    body = stored(following(labels.where("state not in ('header', 'footer')")))
+    docs = table(spark, folder, "documents").where("text is not null").select(F.lower("text").alias("text"))
     heads = stored(repeated_headings(cells))
-    kept_cells = stored(cells.join(heads, "cell_id", "left_anti").where("text is not null"))
-    lex = stored(lexicon([docs, body.select("text"), kept_cells.select("text")]))
+    # words are cut once and kept beside the text
+    cut = words_of(opened(without_halves(F.col("text")))).alias("words")
+    body = stored(following(labels.where("state not in ('header', 'footer')")).select("ocr_id", "text", "next_text", cut))
+    kept_cells = stored(cells.join(heads, "cell_id", "left_anti").where("text is not null").select("cell_id", "text", cut))
+    lex = stored(lexicon([body, kept_cells], [docs]))
     fixes = stored(corrections(lex))
     # furniture
     f1 = labels.where("state in ('header', 'footer')").select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"))
@@ -83,20 +85,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     furniture = f1.unionAll(f2).select("carrier", "row_id", F.lit("furniture").alias("kind"), F.lit("").alias("fixed"))
     # words broken over lines, and inside cells
     a, b = F.regexp_extract("text", _FIRST, 1), F.regexp_extract("next_text", _SECOND, 1)
-    h1 = body.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), a.alias("a"), b.alias("b"))
+    h1 = body.where(ends_broken(F.col("text"))).select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), a.alias("a"), b.alias("b"))
     inner = F.regexp_extract_all("text", F.lit(rf"((?:[\p{{L}}0-9@+|$]+-)*[\p{{L}}0-9@+|$]+[{HYPHENS}]\s+[\p{{Ll}}0-9@+|$]+)"), F.lit(1))
     h2 = kept_cells.select(F.col("cell_id").alias("row_id"), F.explode(inner).alias("m"))
     h2 = h2.select(F.lit("table_cells").alias("carrier"), "row_id", F.regexp_extract("m", rf"^(.*)[{HYPHENS}]\s+", 1).alias("a"), F.regexp_extract("m", rf"[{HYPHENS}]\s+(.*)$", 1).alias("b"))
     halves = h1.unionAll(h2).where("a <> '' and b <> '' and a rlike '[A-Za-z]' and b rlike '[A-Za-z]'")
     hyphen = whole_words(halves, lex, fixes).select("carrier", "row_id", F.lit("hyphen").alias("kind"), "fixed")
     # misread words and figures; the halves of broken words are not words
-    tidy = F.regexp_replace(F.regexp_replace("text", _FIRST, " "), rf"[\p{{L}}0-9@+|$-]+[{HYPHENS}]\s+[\p{{Ll}}0-9@+|$]+", " ")
-    t1 = body.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), tidy.alias("t"))
-    t2 = kept_cells.select(F.lit("table_cells").alias("carrier"), F.col("cell_id").alias("row_id"), tidy.alias("t"))
+    t1 = body.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), "words", "text")
+    t2 = kept_cells.select(F.lit("table_cells").alias("carrier"), F.col("cell_id").alias("row_id"), "words", "text")
     texts = t1.unionAll(t2)
-    words = texts.select("carrier", "row_id", F.explode(words_of(opened(F.col("t")))).alias("raw")).withColumn("word", F.replace(F.lower("raw"), F.lit("\uE000"), F.lit("")))
+    words = word_rows(texts, "carrier", "row_id").withColumn("word", plain_word(F.col("raw")))
     char = words.join(fixes, "word").select("carrier", "row_id", F.lit("char").alias("kind"), _cased(F.col("raw"), F.col("fixed")).alias("fixed"))
-    figs = texts.where(r"t rlike '[0-9.,/-][OoDlIiZSBbgq]|[OoDlIiZSBbgq][0-9.,/-]'").select("carrier", "row_id", F.explode(figure_fixes(F.col("t"))).alias("f"))
+    figs = texts.where(r"text rlike '[0-9][.,/:-]?[OoDlIiZSBbgq]|[OoDlIiZSBbgq][.,/:-]?[0-9]'").select("carrier", "row_id", F.explode(figure_fixes(without_halves(F.col("text")))).alias("f"))
     figs = figs.select("carrier", "row_id", F.lit("char").alias("kind"), "f.fixed")
     return furniture.unionAll(hyphen).unionAll(char).unionAll(figs).distinct()
 

@@ -122,7 +122,8 @@ def edges(lines: DataFrame) -> DataFrame:
 
 
 def labelled_lines(lines: DataFrame) -> DataFrame:
-    """(ocr_id, doc, page, idx, text, state) of every line with text."""
+    """(ocr_id, doc, page, idx, text, state, next_text, first) of every line with text; next_text is the next line of the
+    page that is no furniture, first tells the first such line of a page."""
     x = stored(edges(lines))
     edge = x.where("top <= 3 or bottom <= 3").select("ocr_id", "doc", "page", "top", "bottom", _split_numbers(F.col("text")).alias("s"))
     edge = stored(edge.select("ocr_id", "doc", "page", "top", "bottom", "s.rest", "s.shape", "s.number", F.regexp_replace(skeleton_column(F.col("s.rest")), r"[^a-z]+", "").alias("norm")))
@@ -136,7 +137,10 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     pages = x.groupBy("doc").agg(F.min("page").alias("page_1"), F.count_distinct("page").alias("page_n"))
     e = edge.join(run, (edge.doc == run.doc) & (edge["shape"] == run["shape"]) & (edge.number - edge.page == run["shift"]), "left").select(edge["*"], "run", "shift")
     e = e.join(rep, ["doc", "norm"], "left").join(corpus, "norm", "left").select("ocr_id", "rest", "shape", "number", "run", "shift", "pages", "docs", "most", "inside")
-    y = x.join(e, "ocr_id", "left").join(pages, "doc")
+    # only lines at edges have these features; the others, most of a page, are not moved again
+    y = x.where("top <= 3 or bottom <= 3").join(e, "ocr_id", "left").join(pages, "doc")
+    none = {"rest": "string", "shape": "string", "number": "int", "run": "long", "shift": "int", "pages": "long", "docs": "long", "most": "long", "inside": "boolean", "page_1": "int", "page_n": "long"}
+    y = y.unionByName(x.where("top > 3 and bottom > 3").withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"page_1": F.lit(1)}))
     bare = F.col("shape").isin("bare", "roman") & (F.col("rest") == "")
     on = (F.col("run") >= 2) | ((F.col("page_n") == 1) & (F.col("shift") == 0))
     number = F.when(F.coalesce("shape", F.lit("")) == "", "none").when(bare & on, "runs").when(bare, "lone").when(F.col("rest") == "", F.when(on, "deco_runs").otherwise("deco")).otherwise(F.when(on | (F.col("shape") == "deco"), "beside").otherwise("none"))
@@ -150,7 +154,7 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     ending = F.when(F.col("text").rlike(r"[.!?]$"), "stop").when(F.col("text").rlike(f"[{HYPHENS}]$"), "hyphen").otherwise("open")
     size = F.when((F.length("text") <= 60) & ~F.col("text").rlike(LONG), "short").otherwise("long")
     mark = F.concat_ws("/", number, repeat, size)
-    first = F.when(F.col("page") == F.col("page_1"), "first").otherwise("later")
+    first = F.when(F.coalesce(F.col("page") == F.col("page_1"), F.lit(False)), "first").otherwise("later")
     y = y.select("ocr_id", "doc", "page", "idx", "text", mark.alias("mark"), number.alias("number"), place.alias("place"), repeat.alias("repeat"), gap.alias("gap"), case.alias("case"), ending.alias("ending"), size.alias("size"), first.alias("first"))
     y = stored(y)
     model = fitted(y)
@@ -170,7 +174,7 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
             yield _label_pages(rest, model)
 
     sorted_pages = y.repartition("doc", "page").sortWithinPartitions("doc", "page", "idx", "ocr_id")
-    return sorted_pages.mapInPandas(label, "ocr_id long, doc long, page int, idx int, text string, state string")
+    return sorted_pages.mapInPandas(label, "ocr_id long, doc long, page int, idx int, text string, state string, next_text string, first boolean")
 
 
 #: mark: page number, repetition and length of the line as one feature, since they depend on each other
@@ -264,8 +268,16 @@ def _label_pages(done: pd.DataFrame, model: dict) -> pd.DataFrame:
         score += table[pd.Categorical(done[f], categories=VALUES[f]).codes]
     doc, page = done["doc"].to_numpy(), done["page"].to_numpy()
     new = np.r_[False, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])]
-    states = np.array(STATES, dtype=object)[viterbi(score, np.cumsum(new), model["move"])]
-    return done[["ocr_id", "doc", "page", "idx", "text"]].assign(state=states)
+    number = np.cumsum(new)
+    states = np.array(STATES, dtype=object)[viterbi(score, number, model["move"])]
+    body = np.flatnonzero((states != "header") & (states != "footer"))
+    on = number[body]
+    follows = np.r_[on[1:] == on[:-1], False] if len(body) else np.zeros(0, bool)
+    text = done["text"].to_numpy(dtype=object)
+    nxt, first = np.full(len(done), None, dtype=object), np.zeros(len(done), bool)
+    nxt[body[follows]] = text[body[1:][follows[:-1]]] if len(body) else []
+    first[body] = np.r_[True, on[1:] != on[:-1]] if len(body) else []
+    return done[["ocr_id", "doc", "page", "idx", "text"]].assign(state=states, next_text=nxt, first=first)
 
 
 # --- broken words ---------------------------------------------------------------------------------------------------
@@ -274,13 +286,14 @@ _FIRST = rf"([\p{{L}}0-9@+|$'’]+(?:[-'][\p{{L}}0-9@+|$]+)*)[{HYPHENS}]\s*$"
 _SECOND = r"^\s*[\"'(]?([\p{Ll}0-9@+|$][\p{L}0-9@+|$]*(?:[-'][\p{L}0-9@+|$]+)*)"
 
 
-def following(text_lines: DataFrame) -> DataFrame:
-    """`text_lines` (furniture left out) with `next_text`: the next line of the document, over a page end too. Lines
-    are chained inside the page by a window and across pages by a join on the page, so a document may be of any size."""
-    order = Window.partitionBy("doc", "page").orderBy("idx", "ocr_id")
-    x = text_lines.withColumn("in_page", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))
-    heads = x.where("at = 1").select("doc", (F.col("page") - 1).alias("page"), F.col("text").alias("over_page"))
-    return x.join(heads, ["doc", "page"], "left").withColumn("next_text", F.coalesce("in_page", "over_page")).drop("in_page", "over_page", "at")
+def following(labels: DataFrame) -> DataFrame:
+    """Text lines of labelled_lines with `next_text` over a page end too. Only the last lines of pages that end in a hyphen
+    are joined with the first line of the next page, so a document may be of any size."""
+    body = labels.where("state not in ('header', 'footer')")
+    open_ = F.col("next_text").isNull() & ends_broken(F.col("text"))
+    heads = body.where("first").select("doc", (F.col("page") - 1).alias("page"), F.col("text").alias("over_page"))
+    over = body.where(open_).drop("next_text").join(heads, ["doc", "page"], "left").withColumnRenamed("over_page", "next_text")
+    return body.where(~open_).unionByName(over)
 
 
 _ADDRESS = r"\S+(?:@|\[at\])\S*\.\S+|https?://\S+|www\.\S+"

@@ -75,7 +75,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     heads = stored(repeated_headings(cells))
     # words are cut once and kept beside the text
     cut = words_of(opened(without_halves(F.col("text")))).alias("words")
-    body = stored(following(labels.where("state not in ('header', 'footer')")).select("ocr_id", "text", "next_text", cut))
+    body = stored(following(labels).select("ocr_id", "text", "next_text", cut))
     kept_cells = stored(cells.join(heads, "cell_id", "left_anti").where("text is not null").select("cell_id", "text", cut))
     lex = stored(lexicon([body, kept_cells], [docs]))
     fixes = stored(corrections(lex))

@@ -101,7 +101,7 @@ def test_labels_and_joins(spark):
     lab = pn.labelled_lines(df)
     furniture = {r["text"] for r in lab.where("state in ('header', 'footer')").collect()}
     assert furniture == {"LAPORAN ARSIP", "- 1 -", "- 2 -", "- 3 -", "- 4 -"}
-    f = pn.following(lab.where("state not in ('header', 'footer')"))
+    f = pn.following(lab)
     nxt = {(r["doc"], r["page"], r["idx"]): r["next_text"] for r in f.collect()}
     assert nxt[1, 1, 3].startswith("Menurut") and nxt[1, 4, 4] is None
     assert any("kembali oleh" in r["text"] for r in pn.paragraphs(lab).collect())

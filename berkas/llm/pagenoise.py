@@ -40,7 +40,7 @@ _NUMBER_SHAPES = [
     ("deco", re.compile(r"^(?:hal(?:aman)?|page|pg|hlm)\.?\s*([0-9OolI]{1,5})(?:\s*(?:dari|of|/)\s*[0-9OolI]{1,5})?$", re.I)),
     ("deco", re.compile(r"^([0-9OolI]{1,5})\s*/\s*[0-9OolI]{1,5}$")),
     ("deco", re.compile(r"^[-–—\[(<]\s*([0-9OolI]{1,5}|[ivxlc]{1,7})\s*[-–—\])>]$")),
-    ("bare", re.compile(r"^([0-9]{1,4})$")),
+    ("bare", re.compile(r"^([0-9lIoO]{1,4})$")),
     ("roman", re.compile(r"^([ivxlc]{1,7})$")),
 ]
 
@@ -98,6 +98,7 @@ def split_number(text: str) -> tuple[str, str, int]:
 
 #: a line of running text: a mark inside or at its end
 LONG = r"[.:;,] [A-Za-z0-9]|[.:;,]$"
+NO_LETTERS = r"[\s0-9.,;:()/\"!?#%&*<=>\[\]\\^_`{}~@+|$'\u00A0-\u00BF\u2010-\u2026-]+"
 _EDGE = "struct<rest:string,shape:string,number:int>"
 
 
@@ -126,13 +127,13 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     page that is no furniture, first tells the first such line of a page."""
     x = stored(edges(lines))
     edge = x.where("top <= 3 or bottom <= 3").select("ocr_id", "doc", "page", "top", "bottom", _split_numbers(F.col("text")).alias("s"))
-    edge = stored(edge.select("ocr_id", "doc", "page", "top", "bottom", "s.rest", "s.shape", "s.number", F.regexp_replace(skeleton_column(F.col("s.rest")), r"[^a-z]+", "").alias("norm")))
+    edge = stored(edge.select("ocr_id", "doc", "page", "top", "bottom", "s.rest", "s.shape", "s.number", F.regexp_replace(skeleton_column(F.col("s.rest")), NO_LETTERS, "").alias("norm")))
     # page numbers that run on: the same difference to the page on two pages, or the page itself
     run = edge.where("shape <> ''").groupBy("doc", "shape", (F.col("number") - F.col("page")).alias("shift")).agg(F.count_distinct("page").alias("run"))
     # repetition at edges of other pages of the document, and of the corpus
     rep = edge.where("length(norm) >= 3").groupBy("doc", "norm").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page"))
     corpus = rep.groupBy("norm").agg(F.count("*").alias("docs"), F.max("pages").alias("most"), F.sum("pages").alias("edge_pages"))
-    inside = x.where("top > 3 and bottom > 3 and length(text) <= 60").where(~F.col("text").rlike(r"[.:;,] [A-Za-z0-9]|[.;,]$")).groupBy(F.regexp_replace(skeleton_column(F.col("text")), r"[^a-z]+", "").alias("norm")).agg(F.count("*").alias("inside"))
+    inside = x.where("top > 3 and bottom > 3 and length(text) <= 60").where(~F.col("text").rlike(r"[.:;,] [A-Za-z0-9]|[.;,]$")).groupBy(F.regexp_replace(skeleton_column(F.col("text")), NO_LETTERS, "").alias("norm")).agg(F.count("*").alias("inside"))
     corpus = corpus.join(inside, "norm", "left").select("norm", "docs", "most", (F.coalesce("inside", F.lit(0)) * 10 > F.col("edge_pages")).alias("inside"))
     pages = x.groupBy("doc").agg(F.min("page").alias("page_1"), F.count_distinct("page").alias("page_n"))
     e = edge.join(run, (edge.doc == run.doc) & (edge["shape"] == run["shape"]) & (edge.number - edge.page == run["shift"]), "left").select(edge["*"], "run", "shift")
@@ -148,10 +149,13 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
     apart = ~F.coalesce("inside", F.lit(True))
     repeat = F.when((F.coalesce("pages", F.lit(0)) >= 2) & apart, "many").when((F.coalesce("docs", F.lit(0)) >= 3) & (F.coalesce("most", F.lit(0)) >= 2) & apart, "corpus").otherwise("no")
     gap = F.when((F.col("above") > F.col("pitch") * 1.6) | (F.col("below") > F.col("pitch") * 1.6), "wide").otherwise("usual")
-    letters = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
-    upper = F.length(F.regexp_replace("text", "[^A-Z]", ""))
-    case = F.when(letters < 3, "none").when(upper >= 0.8 * letters, "upper").when(F.col("text").rlike(r"^[a-z]"), "lower").otherwise("mixed")
-    ending = F.when(F.col("text").rlike(r"[.!?]$"), "stop").when(F.col("text").rlike(f"[{HYPHENS}]$"), "hyphen").otherwise("open")
+    t, up, low = F.col("text"), F.upper("text"), F.lower("text")
+    # headings with a misread letter or two are capitals still; counted only where the line is short
+    letters, small = F.length(F.regexp_replace(low, NO_LETTERS, "")), F.length(t) - F.length(F.regexp_replace(t, "[a-z]", ""))
+    mostly = (F.length(t) <= 60) & ~t.rlike(LONG) & (small * 5 <= letters)
+    case = F.when(up == low, "none").when(t == up, "upper").when(mostly, "upper").when(t.rlike(r"^[a-z]"), "lower").otherwise("mixed")
+    tail = F.substring("text", -1, 1)
+    ending = F.when(tail.isin(".", "!", "?"), "stop").when(tail.isin(list(HYPHENS)), "hyphen").otherwise("open")
     size = F.when((F.length("text") <= 60) & ~F.col("text").rlike(LONG), "short").otherwise("long")
     mark = F.concat_ws("/", number, repeat, size)
     first = F.when(F.coalesce(F.col("page") == F.col("page_1"), F.lit(False)), "first").otherwise("later")

@@ -48,6 +48,11 @@ def _has(up: Column, words: list[str]) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _last(arr: Column, test) -> Column:
     """The last element for which test holds."""
     return F.try_element_at(F.filter(arr, test), F.lit(-1))
@@ -68,7 +73,10 @@ def ktp(text: Column) -> Column:
 
 
 def ktp_from_lines(ls: Column) -> Column:
-    tagged = F.transform(ls, lambda x, i: F.struct(ktp_branch(x, i).alias("k"), x.alias("x"), i.alias("i")))
+    return _let(F.filter(F.transform(ls, lambda x, i: F.struct(ktp_branch(x, i).alias("k"), x.alias("x"), i.alias("i"))), lambda t: t["k"].isNotNull()), _ktp_fields)
+
+
+def _ktp_fields(tagged: Column) -> Column:
     key = {name: k for name, _, k in KTP_RULES}
 
     def value(name: str) -> Column:
@@ -101,16 +109,29 @@ def npwp(text: Column) -> Column:
 
 
 def npwp_from_lines(ls: Column) -> Column:
+    return _let(ls, _npwp_lines)
+
+
+def _npwp_lines(ls: Column) -> Column:
     up = F.upper
     label = lambda x: _has(up(x), ["NPWP", "NOMOR POKOK"])
     number = lambda x: digits_folded(value_after_key(x, "NPWP"))
     bare = lambda x: F.length(digits_folded(x)).isin(15, 16)
     first = F.transform(ls, lambda x, i: F.when((label(x) & (number(x) != "")) | (~label(x) & bare(x)), i))
-    first = F.array_min(first)  # the line that first sets the number
+    return _let(F.array_min(first), lambda at: _npwp_tagged(ls, at, label, number, bare))  # the line that first sets the number
+
+
+def _npwp_tagged(ls: Column, first: Column, label, number, bare) -> Column:
+    up = F.upper
     kind = lambda x, i: (
         F.when(label(x), "npwp").when(bare(x) & (i == first), "bare").when(_has(up(x), ["NAMA"]), "nama").when(_has(up(x), ["NIK"]), "nik").when(_has(up(x), ["ALAMAT"]), "alamat").when(_has(up(x), ["KPP"]), "kpp").when(_has(up(x), ["TERDAFTAR"]), "terdaftar")
     )
-    tagged = F.transform(ls, lambda x, i: F.struct(kind(x, i).alias("k"), x.alias("x"), i.alias("i")))
+    tagged = F.filter(F.transform(ls, lambda x, i: F.struct(kind(x, i).alias("k"), x.alias("x"), i.alias("i"))), lambda t: t["k"].isNotNull())
+    return _let(tagged, lambda t: _npwp_fields(ls, t, number))
+
+
+def _npwp_fields(ls: Column, tagged: Column, number) -> Column:
+    up = F.upper
     of = lambda k: _last(tagged, lambda t: t["k"] == k)
     numbers = F.filter(F.transform(F.filter(tagged, lambda t: t["k"] == "npwp"), lambda t: number(t["x"])), lambda d: d != "")
     digits = F.coalesce(F.substring(F.try_element_at(numbers, F.lit(-1)), 1, 16), digits_folded(of("bare")["x"]))
@@ -137,6 +158,10 @@ def sim(text: Column) -> Column:
 
 
 def sim_from_lines(ls: Column) -> Column:
+    return _let(ls, _sim_lines)
+
+
+def _sim_lines(ls: Column) -> Column:
     up = F.upper
     cls = F.lit(None).cast("string")
 
@@ -155,6 +180,11 @@ def sim_from_lines(ls: Column) -> Column:
     until = lambda x: _has(up(x), ["BERLAKU", "S/D", "HINGGA"])
     kind = lambda x: F.when(numbered(x), "no").when(name(x), "nama").when(born(x), "lahir").when(lives(x), "alamat").when(work(x), "pekerjaan").when(until(x), "berlaku")
     tagged = F.transform(ls, lambda x, i: F.struct(kind(x).alias("k"), x.alias("x"), i.alias("i")))
+    return _let(tagged, lambda t: _sim_fields(ls, t, licence_class))
+
+
+def _sim_fields(ls: Column, tagged: Column, licence_class) -> Column:
+    up = F.upper
 
     def value(x, key):
         return F.when(_has(up(x), [key]), value_after_key(x, key)).otherwise(trimmed(F.substring(x, 3, 1_000_000)))
@@ -207,7 +237,10 @@ def receipt_branch(line: Column) -> Column:
 
 
 def receipt_from_lines(ls: Column) -> Column:
-    tagged = F.transform(ls, lambda x: F.struct(receipt_branch(x).alias("k"), x.alias("x")))
+    return _let(ls, lambda x: _let(F.filter(F.transform(x, lambda y: F.struct(receipt_branch(y).alias("k"), y.alias("x"))), lambda t: t["k"].isNotNull()), lambda t: _receipt_fields(x, t)))
+
+
+def _receipt_fields(ls: Column, tagged: Column) -> Column:
     first = F.try_element_at(ls, F.lit(1))
 
     def amount(k):

@@ -10,6 +10,11 @@ FOLD_FROM = "OoDIli|ZzASsbGBgq"
 FOLD_TO = "00011112245566899"
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trimmed(c: Column) -> Column:
     """Without white space (Unicode) at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from berkas.functions.text import digits_folded, lines, money, npwp_formatted, trimmed, value_after, value_after_key
+from berkas.functions.text import digits_folded, let, lines, money, npwp_formatted, trimmed, value_after, value_after_key
 
 # Keywords of identity cards in the order in which they are tried: field, keywords, key before the value.
 KTP_RULES = [
@@ -48,11 +48,6 @@ def _has(up: Column, words: list[str]) -> Column:
     return out
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is computed once, however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _last(arr: Column, test) -> Column:
     """The last element for which test holds."""
     return F.try_element_at(F.filter(arr, test), F.lit(-1))
@@ -73,7 +68,7 @@ def ktp(text: Column) -> Column:
 
 
 def ktp_from_lines(ls: Column) -> Column:
-    return _let(F.filter(F.transform(ls, lambda x, i: F.struct(ktp_branch(x, i).alias("k"), x.alias("x"), i.alias("i"))), lambda t: t["k"].isNotNull()), _ktp_fields)
+    return let(F.filter(F.transform(ls, lambda x, i: F.struct(ktp_branch(x, i).alias("k"), x.alias("x"), i.alias("i"))), lambda t: t["k"].isNotNull()), _ktp_fields)
 
 
 def _ktp_fields(tagged: Column) -> Column:
@@ -109,7 +104,7 @@ def npwp(text: Column) -> Column:
 
 
 def npwp_from_lines(ls: Column) -> Column:
-    return _let(ls, _npwp_lines)
+    return let(ls, _npwp_lines)
 
 
 def _npwp_lines(ls: Column) -> Column:
@@ -118,7 +113,7 @@ def _npwp_lines(ls: Column) -> Column:
     number = lambda x: digits_folded(value_after_key(x, "NPWP"))
     bare = lambda x: F.length(digits_folded(x)).isin(15, 16)
     first = F.transform(ls, lambda x, i: F.when((label(x) & (number(x) != "")) | (~label(x) & bare(x)), i))
-    return _let(F.array_min(first), lambda at: _npwp_tagged(ls, at, label, number, bare))  # the line that first sets the number
+    return let(F.array_min(first), lambda at: _npwp_tagged(ls, at, label, number, bare))  # the line that first sets the number
 
 
 def _npwp_tagged(ls: Column, first: Column, label, number, bare) -> Column:
@@ -127,7 +122,7 @@ def _npwp_tagged(ls: Column, first: Column, label, number, bare) -> Column:
         F.when(label(x), "npwp").when(bare(x) & (i == first), "bare").when(_has(up(x), ["NAMA"]), "nama").when(_has(up(x), ["NIK"]), "nik").when(_has(up(x), ["ALAMAT"]), "alamat").when(_has(up(x), ["KPP"]), "kpp").when(_has(up(x), ["TERDAFTAR"]), "terdaftar")
     )
     tagged = F.filter(F.transform(ls, lambda x, i: F.struct(kind(x, i).alias("k"), x.alias("x"), i.alias("i"))), lambda t: t["k"].isNotNull())
-    return _let(tagged, lambda t: _npwp_fields(ls, t, number))
+    return let(tagged, lambda t: _npwp_fields(ls, t, number))
 
 
 def _npwp_fields(ls: Column, tagged: Column, number) -> Column:
@@ -158,7 +153,7 @@ def sim(text: Column) -> Column:
 
 
 def sim_from_lines(ls: Column) -> Column:
-    return _let(ls, _sim_lines)
+    return let(ls, _sim_lines)
 
 
 def _sim_lines(ls: Column) -> Column:
@@ -180,7 +175,7 @@ def _sim_lines(ls: Column) -> Column:
     until = lambda x: _has(up(x), ["BERLAKU", "S/D", "HINGGA"])
     kind = lambda x: F.when(numbered(x), "no").when(name(x), "nama").when(born(x), "lahir").when(lives(x), "alamat").when(work(x), "pekerjaan").when(until(x), "berlaku")
     tagged = F.transform(ls, lambda x, i: F.struct(kind(x).alias("k"), x.alias("x"), i.alias("i")))
-    return _let(tagged, lambda t: _sim_fields(ls, t, licence_class))
+    return let(tagged, lambda t: _sim_fields(ls, t, licence_class))
 
 
 def _sim_fields(ls: Column, tagged: Column, licence_class) -> Column:
@@ -237,7 +232,7 @@ def receipt_branch(line: Column) -> Column:
 
 
 def receipt_from_lines(ls: Column) -> Column:
-    return _let(ls, lambda x: _let(F.filter(F.transform(x, lambda y: F.struct(receipt_branch(y).alias("k"), y.alias("x"))), lambda t: t["k"].isNotNull()), lambda t: _receipt_fields(x, t)))
+    return let(ls, lambda x: let(F.filter(F.transform(x, lambda y: F.struct(receipt_branch(y).alias("k"), y.alias("x"))), lambda t: t["k"].isNotNull()), lambda t: _receipt_fields(x, t)))
 
 
 def _receipt_fields(ls: Column, tagged: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from berkas.functions.text import lines, words
+from berkas.functions.text import let, lines, words
 
 # Month names and short forms; the first letters of vehicle plates.
 MONTHS = ["JANUARI", "FEBRUARI", "MARET", "APRIL", "MEI", "JUNI", "JULI", "AGUSTUS", "SEPTEMBER", "OKTOBER", "NOVEMBER", "DESEMBER", "JAN", "FEB", "MAR", "APR", "JUN", "JUL", "AUG", "AGU", "SEP", "OKT", "NOV", "DES"]
@@ -16,12 +16,24 @@ PLATES = [
 ]
 
 
-def _per_line(text: Column, find) -> Column:
-    return F.array_distinct(F.flatten(F.transform(lines(text), lambda x: find(words(x)))))
+class Cut:
+    """A text that has been cut: the words of each line, and the tokens of the whole."""
 
+    def __init__(self, line_words: Column, tokens: Column) -> None:
+        self.line_words, self.tokens = line_words, tokens
 
-def _tokens(text: Column) -> Column:
-    return F.transform(words(text), lambda t: F.regexp_replace(t, r"^[,.;:()\[\]]+|[,.;:()\[\]]+$", ""))
+
+def _line_words(text: Column) -> Column:
+    return F.transform(lines(text), words)
+
+
+def _per_line(text: Column | Cut, find) -> Column:
+    each = text.line_words if isinstance(text, Cut) else _line_words(text)
+    return F.array_distinct(F.flatten(F.transform(each, lambda ws: let(ws, find))))
+
+
+def _tokens(text: Column | Cut) -> Column:
+    return text.tokens if isinstance(text, Cut) else F.transform(words(text), lambda t: F.regexp_replace(t, r"^[,.;:()\[\]]+|[,.;:()\[\]]+$", ""))
 
 
 def emails(text: Column) -> Column:
@@ -121,14 +133,18 @@ def phone_numbers(text: Column) -> Column:
     return _per_line(text, find)
 
 
+LISTS = {"phone_numbers": phone_numbers, "emails": emails, "dates": dates, "amounts": amounts, "niks": niks, "vehicle_plates": vehicle_plates, "urls": urls}
+
+
 def entities(text: Column) -> Column:
-    """Struct of all seven lists."""
-    return F.struct(phone_numbers(text).alias("phone_numbers"), emails(text).alias("emails"), dates(text).alias("dates"), amounts(text).alias("amounts"), niks(text).alias("niks"), vehicle_plates(text).alias("vehicle_plates"), urls(text).alias("urls"))
+    """Struct of all seven lists; the text is cut into lines and words once for all of them."""
+    cut = F.struct(_line_words(text).alias("w"), _tokens(text).alias("t"))
+    return let(cut, lambda c: F.struct(*[f(Cut(c["w"], c["t"])).alias(n) for n, f in LISTS.items()]))
 
 
 def none_found(e: Column) -> Column:
     """Whether all lists are empty."""
     out = F.lit(True)
-    for f in ("phone_numbers", "emails", "dates", "amounts", "niks", "vehicle_plates", "urls"):
+    for f in LISTS:
         out = out & (F.size(e[f]) == 0)
     return out

@@ -53,8 +53,8 @@ def _entity(name: str):
 
 
 def entities_empty(spark: SparkSession, folder: str) -> DataFrame:
-    e = _docs(spark, folder).withColumn("e", entities.entities(F.col("text")))
-    return e.groupBy(entities.none_found(F.col("e")).alias("is_empty")).agg(F.count("*").alias("n"))
+    empty = tx.let(entities.entities(F.col("text")), entities.none_found)
+    return _docs(spark, folder).groupBy(empty.alias("is_empty")).agg(F.count("*").alias("n"))
 
 
 def digit_fold(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from berkas.llm.graph import components
+from berkas.llm.graph import components, meetings
 from berkas.session import stored
 
 # Abbreviations in addresses.
@@ -293,6 +293,50 @@ def neighbours(distinct_forms: DataFrame, window: int) -> DataFrame:
     return pairs.dropDuplicates(["fa", "fb"])
 
 
+def alike(names: DataFrame) -> DataFrame:
+    """(v, w) of the different values of the column v that are `near`, each with itself too, in both orders. Values within
+    k edits share a form with up to k letters left out, so none is missed; only different values are compared."""
+    short = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    v = F.col("v")
+    one = F.array_distinct(F.concat(F.array(v), short(v)))
+    cuts = F.when(F.length(v) >= 9, F.array_distinct(F.concat(one, F.flatten(F.transform(one, short))))).otherwise(one)
+    names = names.where("v <> ''").distinct()
+    keys = stored(names.where(F.length(v) >= 4).select("v", F.explode(cuts).alias("d")))
+    two = meetings(keys, keys.select(F.col("v").alias("w"), "d"), "d", "w").where("v < w").distinct()
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    two = stored(two.where(close(F.col("v"), F.col("w"))))
+    return two.unionAll(two.select(F.col("w").alias("v"), F.col("v").alias("w"))).unionAll(names.select("v", F.col("v").alias("w")))
+
+
+def agreeing_forms(distinct_forms: DataFrame) -> DataFrame:
+    """(fa, fb), fa < fb: every pair of different forms whose `agreement` is above 0. Such forms share number, letter and
+    suffix and either have villages that are near or, where one names no village, a near district or city, an equal
+    postcode or equal neighbourhood numbers; all forms that share one of these are compared."""
+    f = stored(distinct_forms.where("a.street <> '' and a.number <> ''").select("form", "a"))
+    names = stored(alike(f.select(F.explode(F.array("a.village", "a.district", "a.city")).alias("v"))))
+    house = [F.col("a.number"), F.col("a.letter"), F.col("a.suffix")]
+    place = lambda src, kind, *c: src.where(" and ".join(f"a.{x} <> ''" for x in c)).select("form", "a", *[F.col(f"a.{x}").alias(f"_{x}") for x in c], F.lit(kind).alias("kind"))
+    kinds = [("V", ["village"]), ("D", ["district"]), ("C", ["city"]), ("P", ["postcode"]), ("R", ["rt", "rw"])]
+    left = right = None
+    for kind, cols in kinds:
+        x, y = place(f if kind == "V" else f.where("a.village = ''"), kind, *cols), place(f, kind, *cols)
+        if kind in "VDC":
+            x = x.join(names, x[f"_{cols[0]}"] == names["v"]).drop("v").withColumn(f"_{cols[0]}", F.col("w")).drop("w")
+        x = x.select(F.xxhash64("kind", *house, *[f"_{c}" for c in cols]).alias("key"), F.col("form").alias("x"), F.col("a"), F.lit(kind == "V").alias("once"))
+        y = y.select(F.xxhash64("kind", *house, *[f"_{c}" for c in cols]).alias("key"), F.col("form").alias("y"), F.col("a").alias("b"))
+        left, right = x if left is None else left.unionAll(x), y if right is None else right.unionAll(y)
+    # an edit with swaps of limit 3 is at most 6 plain edits; the length changes by 3 at most
+    met = meetings(stored(left), stored(right), "key", "y").where("x <> y and (x < y or not once)")
+    met = met.where((F.abs(F.length("a.street") - F.length("b.street")) <= 3) & (F.levenshtein("a.street", "b.street", 6) >= 0))
+    met = met.where(F.col("a.village").isin("") | F.col("b.village").isin("") | (F.levenshtein("a.village", "b.village", 4) >= 0))
+    met = met.withColumn("fa", F.least("x", "y")).withColumn("fb", F.greatest("x", "y")).dropDuplicates(["fa", "fb"])
+    return met.where(agreeing(F.col("a"), F.col("b")) > 0).select("fa", "fb")
+
+
 def same_houses(records: DataFrame, *, window: int = 32) -> DataFrame:
     """Pairs (rec_a, rec_b), rec_a < rec_b, of records at the same house. records: rec_id, a (components), one row per
     rec_id. window: places compared after each form in each order; forms of one house that lie further apart are joined

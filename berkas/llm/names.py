@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from berkas.llm.addresses import agreement, near, osa
-from berkas.llm.graph import components
+from berkas.llm.addresses import agreeing_forms, agreement, forms, near, osa
+from berkas.llm.graph import components, meetings
 from berkas.operators.packed_fields import _DATE, MONTHS
 from berkas.session import stored
 
@@ -320,26 +319,34 @@ def _same_person(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def linked_persons(records: DataFrame, *, window: int = 32) -> DataFrame:
+def linked_persons(records: DataFrame, *, block: int = 1000) -> DataFrame:
     """Pairs (rec_a, rec_b), rec_a < rec_b, of records of one person. records: rec_id, p (profile), a (components of the
-    address or null), one row per rec_id. Within a bucket of token and evidence, each profile meets the `window` next
-    ones by name and number; profiles further apart are joined through those between them."""
+    address or null), one row per rec_id. All profiles that share a token class and one piece of evidence are compared;
+    the evidence of a house is an address that agrees in number, street and place. block: rows of one bucket that one
+    task compares with all others of it; it changes how the work is spread, not the result."""
     rec = records.select("rec_id", F.struct("p.tokens", "p.nik", "p.dob", "p.place", "p.born", "a").alias("p")).where(F.size("p.tokens") > 0)
     rec = stored(rec.withColumn("pid", F.xxhash64("p.tokens", "p.nik", "p.dob", "p.place", "p.born", F.col("p.a"))))
     prof = stored(rec.groupBy("pid").agg(F.first("p").alias("p")))
     tok = prof.select("pid", F.explode(F.array_distinct("p.tokens")).alias("token"))
     reps = stored(token_index(stored(tok.groupBy("token").agg(F.count("*").alias("n")))))
     day = lambda c: F.when(F.col(c) != "", F.concat(F.lit("D"), F.col(c)))
-    house = F.when((F.col("p.a.number") != "") & (F.col("p.a.street") != ""), F.concat_ws("|", F.lit("H"), "p.a.number", "p.a.letter", "p.a.suffix"))
     number = F.when(F.col("p.nik") != "", F.concat(F.lit("N"), F.substring("p.nik", 1, 10)))
     tail = F.when(F.length("p.nik") >= 10, F.concat(F.lit("T"), F.substring("p.nik", -8, 8)))
-    evidence = F.array_distinct(F.filter(F.array(day("p.dob"), day("p.born"), house, number, tail), lambda x: x.isNotNull()))
-    ev = prof.select("pid", F.explode(evidence).alias("ev"))
-    keys = tok.join(reps, "token").select("pid", "rep").distinct().join(ev, "pid").select("pid", F.xxhash64("ev", "rep").alias("bucket"))
-    sort = prof.select("pid", F.concat_ws(" ", F.sort_array("p.tokens")).alias("name"), F.col("p.nik").alias("nik"))
-    w = Window.partitionBy("bucket").orderBy("name", "nik", "pid").rowsBetween(1, window)
-    met = keys.join(sort, "pid").withColumn("nxt", F.collect_list("pid").over(w)).select("pid", F.explode("nxt").alias("other"))
-    met = met.select(F.least("pid", "other").alias("x"), F.greatest("pid", "other").alias("y")).distinct()
+    housed = stored(forms(prof.select("pid", F.col("p.a").alias("a"))))
+    near_by = agreeing_forms(housed.select("form", "a").dropDuplicates(["form"]))
+    at = lambda c: F.concat(F.lit("H"), F.col(c).cast("string"))
+    evidence = F.array_distinct(F.filter(F.array(day("p.dob"), day("p.born"), number, tail), lambda x: x.isNotNull()))
+    ev = prof.select("pid", F.explode(evidence).alias("ev")).unionAll(housed.select("pid", at("form")))
+    near_ev = housed.select("pid", F.col("form").alias("fa")).join(near_by, "fa").select("pid", at("fb").alias("ev"))
+    known = stored(tok.join(reps, "token").select("pid", "rep").distinct())
+    bucket = F.xxhash64("ev", "rep").alias("bucket")
+    keys = stored(known.join(ev, "pid").join(prof.select("pid", F.col("p.nik").alias("nik")), "pid").select("pid", "nik", bucket))
+    others = known.join(near_ev, "pid").join(prof.select("pid", F.col("p.nik").alias("nik")), "pid").select("pid", "nik", bucket, F.lit(False).alias("own"))
+    left = stored(keys.withColumn("own", F.lit(True)).unionAll(others)).withColumnsRenamed({"pid": "x", "nik": "nx"})
+    met = meetings(left, keys.withColumnsRenamed({"pid": "y", "nik": "ny"}), "bucket", "y", block=block).where("x <> y and (x < y or not own)")
+    # full numbers that differ in more than two digits contradict each other
+    met = met.where((F.length("nx") != 16) | (F.length("ny") != 16) | (F.levenshtein("nx", "ny", 2) >= 0))
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pa, pb = prof.select(F.col("pid").alias("x"), F.col("p").alias("a")), prof.select(F.col("pid").alias("y"), F.col("p").alias("b"))
     links = stored(met.join(pa, "x").join(pb, "y").where(_same_person(F.col("a"), F.col("b"))).select("x", "y"))
     group = stored(components(links, "x", "y"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from berkas.llm import addresses as ad
 from berkas.llm import names as nm
-from berkas.llm.graph import components
+from berkas.llm.graph import components, meetings
+from berkas.session import stored
 
 CITIES = frozenset(["BUMIBALA", "TEGALWENING"])
 
@@ -127,3 +128,25 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(e, "a", "b").collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
     assert components(e.limit(0), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("ttl, address", [(None, "JL MELATI RAYA NO.12, KEL. {}"), ("BUMIBALA, 05-06-1980", None)])
+def test_persons_far_apart_in_a_bucket(spark, ttl, address):
+    words = ["".join(p) + "TUNO" for p in itertools.product(["MA", "NO", "PU", "RI"], ["BE", "GO", "KI", "SU"], ["DA", "FO", "LE"])]
+    names = ["LIDAR KUSOKUSU", "LIDAR XUSOKUSU", *[f"LIDAR {w}" for w in words]]  # 48 others lie between the two spellings
+    villages = ["SARI", "SARI", *[w[::-1] for w in words]]
+    rows = [(i, n, None, ttl, address and address.format(v)) for i, (n, v) in enumerate(zip(names, villages))]
+    df = spark.createDataFrame(rows, "rec_id long, nama string, nik string, ttl string, alamat string")
+    a = F.when(F.col("alamat").isNotNull(), ad.parsed(F.col("alamat"), []))
+    df = stored(df.select("rec_id", nm.profiled(F.col("nama"), F.col("nik"), F.col("ttl")).alias("p"), a.alias("a")))
+    people = [r.asDict(True) for r in df.orderBy("rec_id").collect()]
+    people = [(r["rec_id"], r["p"] | {"a": r["a"]}) for r in people]
+    want = {(i, j) for (i, p), (j, q) in itertools.combinations(people, 2) if nm.same_person(p, q)}
+    assert (0, 1) in want and want <= {tuple(r) for r in nm.linked_persons(df).collect()}
+
+
+def test_meetings_in_blocks(spark):
+    x = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(30)], "k long, x long")
+    y = spark.createDataFrame([(k, i) for k in (1, 3) for i in range(40)], "k long, y long")
+    got = [tuple(r) for r in meetings(x, y, "k", "y", block=7).collect()]
+    assert sorted(got) == [(i, j) for i in range(30) for j in range(40)]

@@ -1,9 +1,9 @@
 """Postal addresses that denote the same house.
 
 An address is parsed into street, direction or street number, house number, letter, neighbourhood numbers, village,
-district, city and postcode, in whatever order they stand. Equal parses are one form; forms are compared in several
-sorted neighbourhoods, each sorted by the components in another order, and pairs inside a window are scored by
-edit-distance with transpositions, under strict checks of house number and letter.
+district, city and postcode, in whatever order they stand. Equal parses are one form; all forms of equal house number,
+letter and street number that share a place (a village, district or city within typing errors, a postcode or
+neighbourhood numbers) are scored by edit-distance with transpositions.
 
 Edge cases: a null, empty or unparsable address (no street or no house number) has no partners; an address that names
 neither village, district, neighbourhood, city nor postcode in common with the other is not linked (street and number
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from berkas.llm.graph import components, meetings
 from berkas.session import stored
@@ -255,44 +254,12 @@ def agreeing(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-#: Orders of the components: what leads (equal within a neighbourhood) and what the neighbourhood is sorted by.
-PASSES = [
-    (["number", "letter", "village"], ["street", "suffix", "rt", "rw"]),
-    (["number", "letter", "street", "suffix"], ["village", "district", "city"]),
-    (["number", "letter", "suffix", "rt", "rw"], ["street", "village"]),
-    (["number", "letter", "suffix", "district"], ["street", "village"]),
-    (["number", "letter", "suffix", "city"], ["street", "village"]),
-    (["number", "letter", "suffix", "village"], ["street", "district"]),
-]
-
-
 def forms(records: DataFrame) -> DataFrame:
     """`records` (rec_id, a: struct of components) with `form`, a hash that equal parses share; rows without street or
     number are left out."""
     return records.where("a.street <> '' and a.number <> ''").withColumn("form", F.xxhash64(*[F.col(f"a.{f}") for f in FIELDS]))
 
 
-def neighbours(distinct_forms: DataFrame, window: int) -> DataFrame:
-    """Candidate pairs (fa, fb, a, b) of forms within `window` places of each other in one of the sorted orders."""
-    pairs = None
-    for lead, rest in PASSES:
-        w = Window.partitionBy(*[f"a.{c}" for c in lead]).orderBy(*[f"a.{c}" for c in rest], "form")
-        nxt = F.collect_list(F.struct("form", "a")).over(w.rowsBetween(1, window))
-        filled = [F.col(f"a.{c}") != "" for c in lead if c in ("village", "rt", "district", "city")]
-        src = distinct_forms
-        for c in filled:
-            src = src.where(c)
-        p = src.withColumn("nxt", nxt).select("form", "a", F.explode("nxt").alias("n"))
-        # strict and cheap checks before any scoring
-        p = p.where((F.levenshtein("a.street", F.col("n.a.street"), 3) >= 0) & (F.col("a.suffix") == F.col("n.a.suffix")))
-        p = p.where((F.col("a.village") == "") | (F.col("n.a.village") == "") | (F.levenshtein("a.village", F.col("n.a.village"), 3) >= 0))
-        swap = F.col("form") > F.col("n.form")
-        p = p.select(F.when(swap, F.col("n.form")).otherwise(F.col("form")).alias("fa"), F.when(swap, F.col("form")).otherwise(F.col("n.form")).alias("fb"),
-                     F.when(swap, F.col("n.a")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("n.a")).alias("b"))
-        pairs = p if pairs is None else pairs.unionAll(p)
-    return pairs.dropDuplicates(["fa", "fb"])
-
-
 def alike(names: DataFrame) -> DataFrame:
     """(v, w) of the different values of the column v that are `near`, each with itself too, in both orders. Values within
     k edits share a form with up to k letters left out, so none is missed; only different values are compared."""
@@ -312,7 +279,7 @@ def alike(names: DataFrame) -> DataFrame:
     return two.unionAll(two.select(F.col("w").alias("v"), F.col("v").alias("w"))).unionAll(names.select("v", F.col("v").alias("w")))
 
 
-def agreeing_forms(distinct_forms: DataFrame) -> DataFrame:
+def agreeing_forms(distinct_forms: DataFrame, *, block: int = 1000) -> DataFrame:
     """(fa, fb), fa < fb: every pair of different forms whose `agreement` is above 0. Such forms share number, letter and
     suffix and either have villages that are near or, where one names no village, a near district or city, an equal
     postcode or equal neighbourhood numbers; all forms that share one of these are compared."""
@@ -330,20 +297,20 @@ def agreeing_forms(distinct_forms: DataFrame) -> DataFrame:
         y = y.select(F.xxhash64("kind", *house, *[f"_{c}" for c in cols]).alias("key"), F.col("form").alias("y"), F.col("a").alias("b"))
         left, right = x if left is None else left.unionAll(x), y if right is None else right.unionAll(y)
     # an edit with swaps of limit 3 is at most 6 plain edits; the length changes by 3 at most
-    met = meetings(stored(left), stored(right), "key", "y").where("x <> y and (x < y or not once)")
+    met = meetings(stored(left), stored(right), "key", "y", block=block).where("x <> y and (x < y or not once)")
     met = met.where((F.abs(F.length("a.street") - F.length("b.street")) <= 3) & (F.levenshtein("a.street", "b.street", 6) >= 0))
     met = met.where(F.col("a.village").isin("") | F.col("b.village").isin("") | (F.levenshtein("a.village", "b.village", 4) >= 0))
     met = met.withColumn("fa", F.least("x", "y")).withColumn("fb", F.greatest("x", "y")).dropDuplicates(["fa", "fb"])
     return met.where(agreeing(F.col("a"), F.col("b")) > 0).select("fa", "fb")
 
 
-def same_houses(records: DataFrame, *, window: int = 32) -> DataFrame:
+def same_houses(records: DataFrame, *, window: int = 1000) -> DataFrame:
     """Pairs (rec_a, rec_b), rec_a < rec_b, of records at the same house. records: rec_id, a (components), one row per
-    rec_id. window: places compared after each form in each order; forms of one house that lie further apart are joined
-    through those between them. The pairs of a house are the result itself, so their number is that of the rows out."""
+    rec_id. window: forms of one key that one task compares with all others of it; it changes how the work is spread,
+    not the result. The pairs of a house are the result itself, so their number is that of the rows out."""
     recs = forms(records)
-    uniq = recs.groupBy("form").agg(F.first("a").alias("a"))
-    linked = stored(neighbours(uniq, window).where(agreeing(F.col("a"), F.col("b")) > 0).select("fa", "fb"))
+    uniq = stored(recs.groupBy("form").agg(F.first("a").alias("a")))
+    linked = stored(agreeing_forms(uniq, block=window))
     # the house of a form is also that of the forms linked to its links, where nothing contradicts
     known = stored(components(linked, "fa", "fb").join(uniq.withColumnRenamed("form", "node"), "node"))
     x, y = known.select("label", F.col("node").alias("fa"), "a"), known.select("label", F.col("node").alias("fb"), F.col("a").alias("b"))

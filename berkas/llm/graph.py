@@ -29,7 +29,9 @@ def meetings(left: DataFrame, right: DataFrame, key: str, part: str, *, block: i
     """Every pair of a row of `left` and a row of `right` with equal `key`; their other columns must differ in name. The
     rows of `right` under one key are dealt by the column `part` into blocks of some `block` rows, each of which meets
     all rows of `left`, so a key that very many rows hold is spread over many tasks and no pair is left out."""
-    big = right.groupBy(key).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
+    big = stored(right.groupBy(key).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1"))
+    if big.isEmpty():
+        return left.join(right, key).drop(key)
     blocks = F.coalesce("blocks", F.lit(1))
     x = left.join(big, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
     y = right.join(big, key, "left").withColumn("salt", F.pmod(F.xxhash64(part), blocks).cast("int")).drop("blocks")

@@ -150,3 +150,13 @@ def test_meetings_in_blocks(spark):
     y = spark.createDataFrame([(k, i) for k in (1, 3) for i in range(40)], "k long, y long")
     got = [tuple(r) for r in meetings(x, y, "k", "y", block=7).collect()]
     assert sorted(got) == [(i, j) for i in range(30) for j in range(40)]
+
+
+def test_houses_far_apart_in_every_order(spark):
+    words = ["".join(p) for p in itertools.product(["MA", "NO", "PU", "RI"], ["BE", "GO", "KI", "SU"], ["DAWET", "FOLIR", "LEPUN"])]
+    texts = ["JL KENCANA NO.12, KOTA BUMIBALA", "JL XENCANA NO.12, KOTA BUMIBALA", *[f"JL {w} NO.12, KOTA BUMIBALA" for w in words]]
+    df = stored(spark.createDataFrame(list(enumerate(texts)), "rec_id long, t string").select("rec_id", ad.parsed(F.col("t"), list(CITIES)).alias("a")))
+    a = [r["a"].asDict() for r in df.orderBy("rec_id").collect()]
+    want = {(i, j) for (i, p), (j, q) in itertools.combinations(enumerate(a), 2) if ad.agreement(p, q) > 0}
+    got = {tuple(r) for r in ad.same_houses(df).collect()}
+    assert (0, 1) in want and want <= got

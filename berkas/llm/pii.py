@@ -21,7 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from berkas.session import stored
+
 THRESHOLD = 0.5
+#: a token of the register said more than WORD_LEAST times, and WORD_RATE times as often a row as names are, is a plain word
+WORD_LEAST = 20
+WORD_RATE = 8.0
 
 # Words that speak for or against a kind of number.
 PHONE_WORDS = re.compile(r"(?i)telp|telepon|phone|hp\b|kontak|contact|hubungi|layanan|darurat|wa\b|fax|call|\bdi\b|\bon\b|left|at\b")
@@ -336,40 +341,97 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 _SPANS = "array<struct<kind:string,start_pos:int,end_pos:int,score:double>>"
 
 
-def spans(text: Column, before: Column, tokens: list[str], places: list[str]) -> Column:
-    """Array of spans of a text column, positions of first and last character from 1."""
+def spans(text: Column, before: Column, tokens: list[str] | Column, places: list[str]) -> Column:
+    """Array of spans of a text column, positions of first and last character from 1. tokens: the name tokens, or a
+    column with those that the row needs (`with_tokens`)."""
+
+    def positions(t: str | None, p: str | None, names: Names) -> list[dict]:
+        return [{"kind": x.kind, "start_pos": x.start + 1, "end_pos": x.end, "score": float(x.score)} for x in find(t, names, p)]
 
     @F.pandas_udf(_SPANS)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         names = Names(tokens, places)
         for s, b in batches:
-            yield pd.Series([[{"kind": x.kind, "start_pos": x.start + 1, "end_pos": x.end, "score": float(x.score)} for x in find(t, names, p)] for t, p in zip(s, b)])
+            yield pd.Series([positions(t, p, names) for t, p in zip(s, b)])
+
+    @F.pandas_udf(_SPANS)
+    def run_own(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = frozenset(places)
+        for s, b, own in batches:
+            yield pd.Series([positions(t, p, Names(() if w is None else w, known)) for t, p, w in zip(s, b, own)])
 
-    return run(text, before)
+    return run_own(text, before, tokens) if isinstance(tokens, Column) else run(text, before)
 
 
-def placeholders(text: Column, tokens: list[str], places: list[str]) -> Column:
-    """The text column with typed placeholders."""
+def placeholders(text: Column, tokens: list[str] | Column, places: list[str]) -> Column:
+    """The text column with typed placeholders. tokens: as in `spans`."""
+
+    def replaced(t: str | None, names: Names) -> str | None:
+        return redacted(t, find(t, names)) if t is not None else None
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = Names(tokens, places)
         for s in batches:
-            yield s.map(lambda t: redacted(t, find(t, names)) if t is not None else None)
-
-    return run(text)
+            yield s.map(lambda t: replaced(t, names))
 
-
-def name_tokens(names: DataFrame, column: str, *, min_rows: int = 2, limit: int = 300_000) -> list[str]:
-    """Tokens of the names of a register, seen in at least `min_rows` rows and of three letters or more. Distinct name
-    tokens of a population are few (tens of thousands); the bound is checked, and where it is passed the rare ones are
-    found as misspellings of the frequent ones, which the index of deletes covers."""
-    tok = names.select(F.explode(F.split(F.upper(column), r"[^A-Z]+")).alias("token")).where("length(token) >= 3").groupBy("token").agg(F.count("*").alias("n"))
-    while True:
-        got = [r[0] for r in tok.where(F.col("n") >= min_rows).select("token").limit(limit + 1).collect()]
-        if len(got) <= limit:
-            return got
-        min_rows *= 2
+    @F.pandas_udf("string")
+    def run_own(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = frozenset(places)
+        for s, own in batches:
+            yield pd.Series([replaced(t, Names(() if w is None else w, known)) for t, w in zip(s, own)], dtype=object)
+
+    return run_own(text, tokens) if isinstance(tokens, Column) else run(text)
+
+
+def name_tokens(names: DataFrame, column: str, *, texts: DataFrame | None = None, limit: int = 300_000) -> list[str] | DataFrame:
+    """Every token of three letters or more of the names of a register, however rare: a list where it fits a closure,
+    above `limit` a table (token), from which `with_tokens` gives each text the tokens that bear on it. Both find the
+    same spans. texts: the texts (column text) to search; a token that is far more usual there, against its rows in the
+    register, than names are as a whole is a word of the language (a broken piece of a name in the register) and no name."""
+    tok = names.select(F.explode(F.split(F.upper(column), r"[^A-Z]+")).alias("token")).where("length(token) >= 3").groupBy("token").agg(F.count("*").alias("r"))
+    if texts is not None:
+        tok = stored(tok)
+        word = texts.select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("w")).where("length(w) >= 3 and w rlike '^[A-Z]'").select(F.upper("w").alias("token"))
+        said = word.groupBy("token").agg(F.count("*").alias("t"))
+        tok = stored(tok.join(said, "token", "left").select("token", "r", F.coalesce("t", F.lit(0)).alias("t")))
+        # the rate of names is that of the median row of the register, which single words cannot move
+        rate = tok.agg(F.expr("percentile(t / r, 0.5, r)")).first()[0] or 0.0
+        tok = tok.where((F.col("t") <= WORD_LEAST) | (F.col("t") <= WORD_RATE * max(1.0, rate) * F.col("r")))
+    tok = tok.select("token")
+    got = [r[0] for r in tok.limit(limit + 1).collect()]
+    return got if len(got) <= limit else tok
+
+
+def with_tokens(texts: DataFrame, tokens: list[str] | DataFrame) -> tuple[DataFrame, list[str] | Column]:
+    """`texts` (column text) and the tokens to give to `spans` and `placeholders`. A table of tokens is joined with the
+    capitalised words of the texts: each text gets its words that are tokens and, for each misspelt or misread word, a
+    token that shows it. Deletes of words meet deletes of tokens one to one, so no key is held by many rows."""
+    if isinstance(tokens, list):
+        return texts, tokens
+
+    @F.pandas_udf("array<string>")
+    def words(s: pd.Series) -> pd.Series:
+        return pd.Series([sorted({m.group() for m in _CAP.finditer(t)}) if t else [] for t in s], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set(deletes(w.upper()))) if len(w) >= 5 else [] for w in s], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def read(s: pd.Series) -> pd.Series:
+        def forms(low: str) -> list[str]:
+            return sorted({(low[:i] + b.lower() + low[i + len(a) :]).upper() for a, b in MISREAD for i in range(len(low)) if low.startswith(a.lower(), i)})
+
+        return pd.Series([[w.upper(), *(forms(w.lower()) if len(w) >= 4 else [])] for w in s], dtype=object)
+
+    once = texts.where("text is not null").select("text").distinct().select("text", F.explode(words("text")).alias("word"))
+    seen = once.select("word").distinct()
+    as_is = seen.select("word", F.explode(read("word")).alias("token")).join(tokens, "token")
+    index = tokens.select("token", F.explode(cut("token")).alias("d")).groupBy("d").agg(F.min("token").alias("token"))
+    near = seen.select("word", F.explode(cut("word")).alias("d")).join(index, "d").groupBy("word").agg(F.min("token").alias("token"))
+    own = once.join(as_is.select("word", "token").unionAll(near.select("word", "token")), "word").groupBy("text").agg(F.collect_set("token").alias("own_tokens"))
+    return texts.join(own, "text", "left"), F.col("own_tokens")
 
 
 def previous_line(lines: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:

@@ -9,7 +9,7 @@ from berkas.llm.addresses import same_houses
 from berkas.llm.cards import addresses, city_names, persons
 from berkas.llm.names import linked_merchants, linked_persons
 from berkas.llm.pagenoise import _FIRST, _SECOND, HYPHENS, corrections, ends_broken, figure_fixes, following, labelled_lines, lexicon, opened, paragraphs, plain_word, without_halves, word_rows, WORD_BREAK, repeated_headings, whole_words, words_of, _cased
-from berkas.llm.pii import name_tokens, placeholders, previous_line, spans
+from berkas.llm.pii import name_tokens, placeholders, previous_line, spans, with_tokens
 from berkas.llm.mixing import mixed, shares
 from berkas.llm.packing import packed, token_count
 from berkas.llm.percentiles import bounds, multi_select, summaries
@@ -32,13 +32,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_houses(stored(addresses(spark, folder)))
 
 
-def _register(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
+def _register(spark: SparkSession, folder: str) -> tuple[list[str] | DataFrame, list[str]]:
     """Name tokens and names of places (administrative units) of the register of identity cards."""
     ktp = table(spark, folder, "ktp_data")
     places = [r[0] for r in known_values((ktp, "kota_kabupaten"), (ktp, "kel_desa")).limit(200_001).collect()]
     if len(places) > 200_000:
         raise ValueError("more than 200,000 names of places: not a list of administrative units")
-    return name_tokens(ktp, "nama"), places
+    texts = table(spark, folder, "ocr_text").select("text").unionAll(table(spark, folder, "documents").select("text"))
+    return name_tokens(ktp, "nama", texts=texts), places
 
 
 P5_KINDS = ["person_name", "phone", "email", "id_number", "address"]
@@ -48,9 +49,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal information in scanned lines and documents, with its place in the text."""
     tokens, places = _register(spark, folder)
     lines = previous_line(table(spark, folder, "ocr_text").select("ocr_id", "doc", "page", "idx", "text").where("text is not null").distinct(), ["doc", "page"], ["idx", "ocr_id"], "text")
-    a = lines.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), spans(F.col("text"), F.col("before"), tokens, places).alias("s"))
-    docs = table(spark, folder, "documents").where("text is not null")
-    b = docs.select(F.lit("documents").alias("carrier"), F.col("doc_id").alias("row_id"), spans(F.col("text"), F.lit(""), tokens, places).alias("s"))
+    lines, own = with_tokens(lines, tokens)
+    a = lines.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), spans(F.col("text"), F.col("before"), own, places).alias("s"))
+    docs, own = with_tokens(table(spark, folder, "documents").where("text is not null"), tokens)
+    b = docs.select(F.lit("documents").alias("carrier"), F.col("doc_id").alias("row_id"), spans(F.col("text"), F.lit(""), own, places).alias("s"))
     found = a.unionAll(b).select("carrier", "row_id", F.explode("s").alias("s")).select("carrier", "row_id", "s.kind", "s.start_pos", "s.end_pos")
     return found.where(F.col("kind").isin(P5_KINDS)).distinct()
 
@@ -58,7 +60,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with typed placeholders in the place of personal information."""
     tokens, places = _register(spark, folder)
-    return table(spark, folder, "documents").select("doc_id", placeholders(F.col("text"), tokens, places).alias("text"))
+    docs, own = with_tokens(table(spark, folder, "documents"), tokens)
+    return docs.select("doc_id", placeholders(F.col("text"), own, places).alias("text"))
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:

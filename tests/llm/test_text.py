@@ -166,3 +166,23 @@ def test_queries_run(spark):
 
     for name in ("p3_found", "p4_paragraphs", "p6_found", "p7_fill", "p8_shares", "p2_combined", "p5_redacted", "p9_composition"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_names_that_are_rare_in_the_register(spark):
+    register = spark.createDataFrame([("MALONI SAPINA",), ("MALONI SAPINA",), ("QUXORBANE WIDLETTO",), (None,)], "nama string")
+    texts = ["Kemarin Quxorbane Widletto datang ke kantor.", "Saudara Malon1 Sapina hadir.", "nama: Maloni Sapna", "Tanpa nama.", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = []
+    for limit in (100, 2):  # the list fits a closure, or the words of the texts are joined with the table
+        t, own = pii.with_tokens(df, pii.name_tokens(register, "nama", limit=limit))
+        s = pii.spans(F.col("text"), F.lit(""), own, [])
+        rows = t.select("id", s.alias("s"), pii.placeholders(F.col("text"), own, []).alias("r")).orderBy("id").collect()
+        got.append([(r["id"], [tuple(x) for x in r["s"]], r["r"]) for r in rows])
+    assert got[0] == got[1]
+    assert got[0][0][2] == "Kemarin [PERSON_NAME] datang ke kantor." and all(x[1] for x in got[0][:3])
+
+
+def test_plain_words_in_the_register(spark):
+    register = spark.createDataFrame([("MALONI SAPINA",)] * 5 + [("SUDI JAYA",)], "nama string")
+    texts = spark.createDataFrame([("Toko Lestari Jaya",)] * 60 + [("Sudi Maloni",)], "text string")
+    assert sorted(pii.name_tokens(register, "nama", texts=texts)) == ["MALONI", "SAPINA", "SUDI"]

@@ -1,7 +1,7 @@
 """Spellings of a name that mean the same person or merchant.
 
 A token index finds candidates: every distinct token is connected, through its symmetric deletes (the token and each
-form with one letter left out), with the frequent tokens within one edit of it; a token made of several glued ones is
+form with one letter left out), with the tokens within one edit of it; a token made of several glued ones is
 connected with its parts. Records meet where they share such a token and one piece of evidence on the person (birth
 date, identity number, house number); a candidate pair counts if its tokens align under an optimal assignment that
 admits edits, initials and short forms, and if no evidence contradicts.
@@ -243,15 +243,17 @@ def profiled(name: Column, nik: Column, ttl: Column) -> Column:
 
 
 def token_index(tokens: DataFrame, *, frequent: int = 3) -> DataFrame:
-    """(token, rep): each distinct token with itself and the frequent tokens one edit away (symmetric deletes), and with
-    the frequent tokens it is glued from. tokens: (token, n). The joins are on hashes of deletes of distinct tokens, so
+    """(token, rep): each distinct token with itself and all tokens one edit away (symmetric deletes), and with the
+    frequent tokens it is glued from. tokens: (token, n). The joins are on hashes of deletes of distinct tokens, so
     a token that a third of all names hold costs as much as any other."""
     sounded = tokens.select("token", F.col("n"), sounding(F.col("token")).alias("s"))
     s = F.col("s")
     cut = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
     deletes = sounded.where(F.length(s) >= 4).select("token", "n", "s", F.explode(F.array_distinct(F.concat(F.array(s), cut))).alias("d"))
-    often = deletes.where(F.col("n") >= frequent).select(F.col("token").alias("rep"), F.col("s").alias("rs"), "d")
-    near1 = deletes.select("token", "s", "d").join(often, "d").where((F.levenshtein("s", "rs", 2) >= 0) & (F.abs(F.length("s") - F.length("rs")) <= 1)).select("token", "rep")
+    others = deletes.select(F.col("token").alias("rep"), F.col("s").alias("rs"), F.col("n").alias("rn"), "d")
+    # of two rare tokens the one with fewer rows goes to the other, so that both meet once
+    towards = (F.col("rn") >= frequent) | (F.struct("n", "token") < F.struct("rn", "rep"))
+    near1 = deletes.join(others, "d").where(towards & (F.levenshtein("s", "rs", 2) >= 0) & (F.abs(F.length("s") - F.length("rs")) <= 1)).select("token", "rep")
     words = tokens.where((F.col("n") >= frequent) & (F.length("token") >= 4)).select(F.col("token").alias("rep"))
     t = F.col("token")
     rare = tokens.where((F.length(t) >= 7) & (F.col("n") < frequent))
@@ -321,8 +323,8 @@ def _same_person(a: Column, b: Column) -> Column:
 
 def linked_persons(records: DataFrame, *, block: int = 1000) -> DataFrame:
     """Pairs (rec_a, rec_b), rec_a < rec_b, of records of one person. records: rec_id, p (profile), a (components of the
-    address or null), one row per rec_id. All profiles that share a token class and one piece of evidence are compared;
-    the evidence of a house is an address that agrees in number, street and place. block: rows of one bucket that one
+    address or null), one row per rec_id. All profiles that share a token class and one piece of evidence, or a full
+    number, are compared; the evidence of a house is an address that agrees in number, street and place. block: rows of one bucket that one
     task compares with all others of it; it changes how the work is spread, not the result."""
     rec = records.select("rec_id", F.struct("p.tokens", "p.nik", "p.dob", "p.place", "p.born", "a").alias("p")).where(F.size("p.tokens") > 0)
     rec = stored(rec.withColumn("pid", F.xxhash64("p.tokens", "p.nik", "p.dob", "p.place", "p.born", F.col("p.a"))))
@@ -340,7 +342,10 @@ def linked_persons(records: DataFrame, *, block: int = 1000) -> DataFrame:
     near_ev = housed.select("pid", F.col("form").alias("fa")).join(near_by, "fa").select("pid", at("fb").alias("ev"))
     known = stored(tok.join(reps, "token").select("pid", "rep").distinct())
     bucket = F.xxhash64("ev", "rep").alias("bucket")
-    keys = stored(known.join(ev, "pid").join(prof.select("pid", F.col("p.nik").alias("nik")), "pid").select("pid", "nik", bucket))
+    keys = known.join(ev, "pid").join(prof.select("pid", F.col("p.nik").alias("nik")), "pid").select("pid", "nik", bucket)
+    # equal full numbers meet whatever the names
+    full = prof.where(F.length("p.nik") == 16).select("pid", F.col("p.nik").alias("nik"), F.xxhash64(F.lit("F"), "p.nik").alias("bucket"))
+    keys = stored(keys.unionAll(full))
     others = known.join(near_ev, "pid").join(prof.select("pid", F.col("p.nik").alias("nik")), "pid").select("pid", "nik", bucket, F.lit(False).alias("own"))
     left = stored(keys.withColumn("own", F.lit(True)).unionAll(others)).withColumnsRenamed({"pid": "x", "nik": "nx"})
     met = meetings(left, keys.withColumnsRenamed({"pid": "y", "nik": "ny"}), "bucket", "y", block=block).where("x <> y and (x < y or not own)")

@@ -160,3 +160,10 @@ def test_houses_far_apart_in_every_order(spark):
     want = {(i, j) for (i, p), (j, q) in itertools.combinations(enumerate(a), 2) if ad.agreement(p, q) > 0}
     got = {tuple(r) for r in ad.same_houses(df).collect()}
     assert (0, 1) in want and want <= got
+
+
+def test_rare_spellings_meet(spark):
+    rows = [(1, "SENGGOPIPIT", "9976010506801111", None), (2, "SENGGPAIPIT", "9976010506801111", None), (3, "QUXORBANE", None, "BUMIBALA, 06-11-1990"), (4, "QUXORBANI", None, "BUMIBALA, 06-11-1990"), (5, "LIDAR", None, "BUMIBALA, 06-11-1990")]
+    df = spark.createDataFrame(rows, "rec_id long, nama string, nik string, ttl string")
+    df = df.select("rec_id", nm.profiled(F.col("nama"), F.col("nik"), F.col("ttl")).alias("p"), ad.parsed(F.lit(None).cast("string"), []).alias("a"))
+    assert {tuple(r) for r in nm.linked_persons(df).collect()} == {(1, 2), (3, 4)}

@@ -24,9 +24,17 @@ from pyspark.sql.window import Window
 from berkas.session import stored
 
 THRESHOLD = 0.5
-#: a token of the register said more than WORD_LEAST times, and WORD_RATE times as often a row as names are, is a plain word
+#: a token of the register said more than WORD_LEAST times, and WORD_RATE times as often a row as names are, is a plain word too
+#: and PLAIN_RATE times as often no name at all
 WORD_LEAST = 20
-WORD_RATE = 8.0
+WORD_RATE = 2.5
+PLAIN_RATE = 8.0
+#: mark of such a token in a list of tokens
+WEAK = "?"
+#: what stands between the tokens of a register name; any other sign inside a token is a misread letter
+NAME_BREAK = r"[\s.,;:/()\"]+"
+# Digits and signs that scanning puts for letters.
+MISREAD_FROM, MISREAD_TO = "0158@43+|", "OISBAAETI"
 
 # Words that speak for or against a kind of number.
 PHONE_WORDS = re.compile(r"(?i)telp|telepon|phone|hp\b|kontak|contact|hubungi|layanan|darurat|wa\b|fax|call|\bdi\b|\bon\b|left|at\b")
@@ -124,10 +132,12 @@ def deletes(word: str) -> list[str]:
 
 
 class Names:
-    """Name tokens with a symmetric-delete index for misspelt ones, and names of places."""
+    """Name tokens with a symmetric-delete index for misspelt ones, and names of places. A token marked `WEAK` is a plain
+    word too: it makes a name only beside another token or after words that announce a name."""
 
     def __init__(self, tokens, places) -> None:
-        self.tokens = frozenset(tokens)
+        self.weak = frozenset(t[: -len(WEAK)] for t in tokens if t.endswith(WEAK))
+        self.tokens = frozenset(t for t in tokens if not t.endswith(WEAK)) | self.weak
         self.places = frozenset(places)
         self.index: set[str] | None = None
         self.memo: dict[str, bool] = {}
@@ -179,7 +189,7 @@ def _numbers_in(text: str, a: int, b: int, near, out: list[Span]) -> None:
         raw = m.group()
         d = _digits(raw)
         ctx = near(m.start())
-        s = 0.75 * nik_valid(d) + 0.4 * bool(NIK_WORDS.search(ctx)) - 0.6 * bool(CODE_WORDS.search(ctx)) + 0.1 * (text[m.end() : m.end() + 1] == "/" or text[m.start() - 1 : m.start()] == "/") + 0.1 * (not luhn(d))
+        s = 0.75 * nik_valid(d) + 0.5 * bool(NIK_WORDS.search(ctx)) - 0.6 * bool(CODE_WORDS.search(ctx)) + 0.1 * (text[m.end() : m.end() + 1] == "/" or text[m.start() - 1 : m.start()] == "/")
         if _real(raw) >= 11:
             out.append(Span(m.start(), m.end(), "id_number", s + 0.05))
     for m in _TAX.finditer(text, a, b):
@@ -231,8 +241,6 @@ def _emails(text: str) -> list[Span]:
 def _addresses(text: str, names: Names) -> list[Span]:
     out = []
     for m in _STREET.finditer(text):
-        if len(m.group("name")) > 60:
-            continue
         at = m.end()
         while True:
             sep = re.compile(r"\s*,\s*|\s+-\s+|[ \t]+|\s?\n(?=[A-Z0-9])").match(text, at)
@@ -302,7 +310,8 @@ def _names(text: str, names: Names, taken: list[tuple[int, int]]) -> list[Span]:
         own = any(words[k][2].upper() not in COMMON and len(words[k][2]) > 1 for k in range(lo, hi + 1))
         strong = sum(sure[k] for k in range(lo, hi + 1))
         ctx = bool(NAME_WORDS.search(text[max(0, start - 18) : start])) or (bool(prior) and prior[-1] in TITLE_BEFORE)
-        score = 0.5 * own + 0.1 * strong + 0.3 * ctx - 0.9 * firm
+        plain = strong > 0 and all(words[k][2].upper() in names.weak for k in range(lo, hi + 1) if sure[k])
+        score = 0.5 * own + 0.1 * strong + 0.3 * ctx - 0.9 * firm - 0.5 * (plain and not ctx)
         if score >= THRESHOLD:
             out.append(Span(start, end, "person_name", min(0.9, score)))
         used = hi
@@ -363,43 +372,47 @@ def spans(text: Column, before: Column, tokens: list[str] | Column, places: list
     return run_own(text, before, tokens) if isinstance(tokens, Column) else run(text, before)
 
 
-def placeholders(text: Column, tokens: list[str] | Column, places: list[str]) -> Column:
-    """The text column with typed placeholders. tokens: as in `spans`."""
+def placeholders(text: Column, before: Column, tokens: list[str] | Column, places: list[str]) -> Column:
+    """The text column with typed placeholders. before, tokens: as in `spans`."""
 
-    def replaced(t: str | None, names: Names) -> str | None:
-        return redacted(t, find(t, names)) if t is not None else None
+    def replaced(t: str | None, p: str | None, names: Names) -> str | None:
+        return redacted(t, find(t, names, p)) if t is not None else None
 
     @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         names = Names(tokens, places)
-        for s in batches:
-            yield s.map(lambda t: replaced(t, names))
+        for s, b in batches:
+            yield pd.Series([replaced(t, p, names) for t, p in zip(s, b)], dtype=object)
 
     @F.pandas_udf("string")
-    def run_own(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run_own(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known = frozenset(places)
-        for s, own in batches:
-            yield pd.Series([replaced(t, Names(() if w is None else w, known)) for t, w in zip(s, own)], dtype=object)
+        for s, b, own in batches:
+            yield pd.Series([replaced(t, p, Names(() if w is None else w, known)) for t, p, w in zip(s, b, own)], dtype=object)
 
-    return run_own(text, tokens) if isinstance(tokens, Column) else run(text)
+    return run_own(text, before, tokens) if isinstance(tokens, Column) else run(text, before)
 
 
 def name_tokens(names: DataFrame, column: str, *, texts: DataFrame | None = None, limit: int = 300_000) -> list[str] | DataFrame:
-    """Every token of three letters or more of the names of a register, however rare: a list where it fits a closure,
-    above `limit` a table (token), from which `with_tokens` gives each text the tokens that bear on it. Both find the
-    same spans. texts: the texts (column text) to search; a token that is far more usual there, against its rows in the
-    register, than names are as a whole is a word of the language (a broken piece of a name in the register) and no name."""
-    tok = names.select(F.explode(F.split(F.upper(column), r"[^A-Z]+")).alias("token")).where("length(token) >= 3").groupBy("token").agg(F.count("*").alias("r"))
+    """Every token of three letters or more of the names of a register, however rare, misread letters led back: a list
+    where it fits a closure, above `limit` a table (token, weak), from which `with_tokens` gives each text the tokens that
+    bear on it. Both find the same spans. texts: the texts (column text) to search; a token that they have far more often,
+    against its rows in the register, than names as a whole, or more often in lower case than as a name, is marked `WEAK`."""
+    folded = F.translate(F.upper(column), MISREAD_FROM, MISREAD_TO)
+    tok = names.select(F.explode(F.split(folded, NAME_BREAK)).alias("token")).where("token rlike '^[A-Z]{3,}$'").groupBy("token").agg(F.count("*").alias("r"))
+    weak = F.lit(False)
     if texts is not None:
         tok = stored(tok)
-        word = texts.select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("w")).where("length(w) >= 3 and w rlike '^[A-Z]'").select(F.upper("w").alias("token"))
-        said = word.groupBy("token").agg(F.count("*").alias("t"))
-        tok = stored(tok.join(said, "token", "left").select("token", "r", F.coalesce("t", F.lit(0)).alias("t")))
+        word = texts.select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("w")).where("length(w) >= 3")
+        said = word.groupBy("w").agg(F.count("*").alias("n")).groupBy(F.upper("w").alias("token")).agg(F.sum(F.when(F.col("w").rlike("^[A-Z]"), F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("every"))
+        tok = stored(tok.join(said, "token", "left").select("token", "r", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("every", F.lit(0)).alias("every")))
         # the rate of names is that of the median row of the register, which single words cannot move
         rate = tok.agg(F.expr("percentile(t / r, 0.5, r)")).first()[0] or 0.0
-        tok = tok.where((F.col("t") <= WORD_LEAST) | (F.col("t") <= WORD_RATE * max(1.0, rate) * F.col("r")))
-    tok = tok.select("token")
-    got = [r[0] for r in tok.limit(limit + 1).collect()]
+        often = lambda k: (F.col("t") > WORD_LEAST) & (F.col("t") > k * max(1.0, rate) * F.col("r"))
+        tok = tok.where(~often(PLAIN_RATE))
+        weak = often(WORD_RATE) | (F.col("every") > F.col("t") * 2)
+    tok = tok.select("token", weak.alias("weak"))
+    got = [r["token"] + WEAK * r["weak"] for r in tok.limit(limit + 1).collect()]
     return got if len(got) <= limit else tok
 
 
@@ -427,10 +440,11 @@ def with_tokens(texts: DataFrame, tokens: list[str] | DataFrame) -> tuple[DataFr
 
     once = texts.where("text is not null").select("text").distinct().select("text", F.explode(words("text")).alias("word"))
     seen = once.select("word").distinct()
-    as_is = seen.select("word", F.explode(read("word")).alias("token")).join(tokens, "token")
+    as_is = seen.select("word", F.explode(read("word")).alias("token")).join(tokens.select("token"), "token")
     index = tokens.select("token", F.explode(cut("token")).alias("d")).groupBy("d").agg(F.min("token").alias("token"))
     near = seen.select("word", F.explode(cut("word")).alias("d")).join(index, "d").groupBy("word").agg(F.min("token").alias("token"))
-    own = once.join(as_is.select("word", "token").unionAll(near.select("word", "token")), "word").groupBy("text").agg(F.collect_set("token").alias("own_tokens"))
+    shown = as_is.select("word", "token").unionAll(near.select("word", "token")).join(tokens, "token")
+    own = once.join(shown, "word").groupBy("text").agg(F.collect_set(F.concat("token", F.when(F.col("weak"), WEAK).otherwise(""))).alias("own_tokens"))
     return texts.join(own, "text", "left"), F.col("own_tokens")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from berkas.llm.addresses import same_houses
@@ -45,23 +45,29 @@ def _register(spark: SparkSession, folder: str) -> tuple[list[str] | DataFrame,
 P5_KINDS = ["person_name", "phone", "email", "id_number", "address"]
 
 
+def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str] | Column, list[str]]:
+    """(carrier, row_id, text, before) of every scanned line and document, each once and spread over the tasks, with the
+    name tokens and places to search them by. Lines are moved once, by page: copies fall together and the line before is
+    at hand."""
+    tokens, places = _register(spark, folder)
+    lines = table(spark, folder, "ocr_text").select("ocr_id", "doc", "page", "idx", "text").where("text is not null").repartition("doc", "page").distinct()
+    lines = previous_line(lines, ["doc", "page"], ["idx", "ocr_id"], "text").select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), "text", "before")
+    docs = table(spark, folder, "documents").where("text is not null").select(F.lit("documents").alias("carrier"), F.col("doc_id").alias("row_id"), "text", F.lit("").alias("before"))
+    texts, own = with_tokens(lines.unionAll(docs.repartition("row_id")), tokens)
+    return texts, own, places
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal information in scanned lines and documents, with its place in the text."""
-    tokens, places = _register(spark, folder)
-    lines = previous_line(table(spark, folder, "ocr_text").select("ocr_id", "doc", "page", "idx", "text").where("text is not null").distinct(), ["doc", "page"], ["idx", "ocr_id"], "text")
-    lines, own = with_tokens(lines, tokens)
-    a = lines.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), spans(F.col("text"), F.col("before"), own, places).alias("s"))
-    docs, own = with_tokens(table(spark, folder, "documents").where("text is not null"), tokens)
-    b = docs.select(F.lit("documents").alias("carrier"), F.col("doc_id").alias("row_id"), spans(F.col("text"), F.lit(""), own, places).alias("s"))
-    found = a.unionAll(b).select("carrier", "row_id", F.explode("s").alias("s")).select("carrier", "row_id", "s.kind", "s.start_pos", "s.end_pos")
+    texts, own, places = _texts(spark, folder)
+    found = texts.select("carrier", "row_id", F.explode(spans(F.col("text"), F.col("before"), own, places)).alias("s")).select("carrier", "row_id", "s.kind", "s.start_pos", "s.end_pos")
     return found.where(F.col("kind").isin(P5_KINDS)).distinct()
 
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document with typed placeholders in the place of personal information."""
-    tokens, places = _register(spark, folder)
-    docs, own = with_tokens(table(spark, folder, "documents"), tokens)
-    return docs.select("doc_id", placeholders(F.col("text"), own, places).alias("text"))
+    """Every scanned line and document with typed placeholders in the place of personal information."""
+    texts, own, places = _texts(spark, folder)
+    return texts.select("carrier", "row_id", placeholders(F.col("text"), F.col("before"), own, places).alias("text")).distinct()
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_checks():
 def test_placeholders_and_long_texts(spark):
     t = "x Lidar, 0812-3456-7890 😀 Maloni."
     df = spark.createDataFrame([(t,), (None,), ("",), ((t + " ") * 2000,)], "t string")
-    got = [r[0] for r in df.select(pii.placeholders(F.col("t"), sorted(NAMES.tokens), [])).collect()]
+    got = [r[0] for r in df.select(pii.placeholders(F.col("t"), F.lit(""), sorted(NAMES.tokens), [])).collect()]
     assert got[0] == "x [PERSON_NAME], [PHONE] 😀 [PERSON_NAME]." and got[1] is None and got[2] == "" and got[3].count("[PHONE]") == 2000
     s = df.limit(1).select(F.explode(pii.spans(F.col("t"), F.lit(""), sorted(NAMES.tokens), [])).alias("s")).collect()
     assert [t[r["s"]["start_pos"] - 1 : r["s"]["end_pos"]] for r in s] == ["Lidar", "0812-3456-7890", "Maloni"]
@@ -176,7 +176,7 @@ def test_names_that_are_rare_in_the_register(spark):
     for limit in (100, 2):  # the list fits a closure, or the words of the texts are joined with the table
         t, own = pii.with_tokens(df, pii.name_tokens(register, "nama", limit=limit))
         s = pii.spans(F.col("text"), F.lit(""), own, [])
-        rows = t.select("id", s.alias("s"), pii.placeholders(F.col("text"), own, []).alias("r")).orderBy("id").collect()
+        rows = t.select("id", s.alias("s"), pii.placeholders(F.col("text"), F.lit(""), own, []).alias("r")).orderBy("id").collect()
         got.append([(r["id"], [tuple(x) for x in r["s"]], r["r"]) for r in rows])
     assert got[0] == got[1]
     assert got[0][0][2] == "Kemarin [PERSON_NAME] datang ke kantor." and all(x[1] for x in got[0][:3])
@@ -186,3 +186,20 @@ def test_plain_words_in_the_register(spark):
     register = spark.createDataFrame([("MALONI SAPINA",)] * 5 + [("SUDI JAYA",)], "nama string")
     texts = spark.createDataFrame([("Toko Lestari Jaya",)] * 60 + [("Sudi Maloni",)], "text string")
     assert sorted(pii.name_tokens(register, "nama", texts=texts)) == ["MALONI", "SAPINA", "SUDI"]
+
+
+def test_words_that_are_names_too(spark):
+    register = spark.createDataFrame([(f"{n} {f}",) for n in ("BUNGA", "MURNI", "SINAR", "MALONI") for f in ("SAPINA", "KEMITA", "LIDARBEYA")] * 2, "nama string")
+    said = ["Bunga bank naik.", "Emas Murni itu bunga.", "Sinar matahari murni."] * 30 + ["Maloni Sapina hadir.", "Kemita dan Lidarbeya hadir."] * 8
+    tokens = pii.name_tokens(register, "nama", texts=spark.createDataFrame([(t,) for t in said], "text string"))
+    names = pii.Names(tokens, [])
+    for t in ("Bunga bank naik", "emas Murni", "Sinar matahari"):
+        assert pii.find(t, names) == []
+    for t in ("Maloni hadir", "Bunga Sapina hadir", "Yth. Sdr. Bunga"):
+        assert [s.kind for s in pii.find(t, names)] == ["person_name"]
+
+
+def test_a_larger_register_has_no_pieces(spark):
+    """Misread letters inside a name leave no pieces in the dictionary, however large the register."""
+    register = spark.createDataFrame([("WERAOBOBANG MAR1NOJAYA",), ("NA5UTAMA KEL0TI",), ("PAN1OBOBEYA, H. PUR0ASENA",)] * 1000, "nama string")
+    assert sorted(pii.name_tokens(register, "nama")) == ["KELOTI", "MARINOJAYA", "NASUTAMA", "PANIOBOBEYA", "PUROASENA", "WERAOBOBANG"]

@@ -3,8 +3,13 @@
 Lines are labelled page by page with a hidden Markov model (header, title, body, break, footer) over layout features:
 place on the page, gap to the neighbours, page-number shape and whether the numbers run on from page to page, repetition
 on other pages of the document and at page edges of the corpus. Its tables are counted over all pages from lines whose
-kind is beyond doubt. Broken words are joined with the next text line, also over a page end; misread words are led back
-to the frequent word of the same skeleton (letters that scanning confuses count as one), with counts over all texts.
+kind is beyond doubt, with a prior on how the parts of a page follow each other. Broken words are joined with the next
+text line, also over a page end; misread words are led back to the frequent word of the same skeleton (letters that
+scanning confuses count as one), with counts over all texts.
+
+Lines pass through Python twice, page by page in Arrow batches: once for what a line shows by itself, once for its label
+and its words; cutting words and telling letter cases there costs a fifth of the regular expressions of the JVM. All that
+is counted, joined and compared over the corpus is DataFrame work on the few columns it needs.
 
 Edge cases: null and empty lines carry nothing and are skipped when the next text line is sought; a page of one line, a
 document of one page and an empty table are labelled like others; repeated rows count once; a break that no text follows
@@ -16,14 +21,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from berkas.llm.graph import components
 from berkas.session import stored
 
 HYPHENS = "-­¬‐"
@@ -69,8 +78,6 @@ def _roman(s: str) -> int:
 def page_number(text: str) -> tuple[str, int]:
     """(shape, number) of a line that may be a page number, ('', -1) otherwise."""
     t = text.strip()
-    if len(t) > 24:
-        return "", -1
     for shape, rx in _NUMBER_SHAPES:
         if m := rx.match(t):
             g = m.group(1)
@@ -97,88 +104,137 @@ def split_number(text: str) -> tuple[str, str, int]:
 
 
 #: a line of running text: a mark inside or at its end
-LONG = r"[.:;,] [A-Za-z0-9]|[.:;,]$"
-NO_LETTERS = r"[\s0-9.,;:()/\"!?#%&*<=>\[\]\\^_`{}~@+|$'\u00A0-\u00BF\u2010-\u2026-]+"
-_EDGE = "struct<rest:string,shape:string,number:int>"
-
+LONG = re.compile(r"[.:;,] [A-Za-z0-9]|[.:;,]$")
+NO_LETTERS = re.compile(r"[\s0-9.,;:()/\"!?#%&*<=>\[\]\\^_`{}~@+|$'\u00A0-\u00BF\u2010-\u2026-]+")
+_SMALL = re.compile("[a-z]")
+_LINE = "ocr_id long, doc long, page int, idx int, text string, top int, bottom int, place string, gap string, case string, ending string, size string, rest string, shape string, number int, norm string"
 
-def _split_numbers(text: Column) -> Column:
-    @F.pandas_udf(_EDGE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([split_number(t) for t in s], columns=["rest", "shape", "number"])
 
-    return run(text)
+def _norm(text: str) -> str:
+    return NO_LETTERS.sub("", skeleton(text))
 
 
-def edges(lines: DataFrame) -> DataFrame:
-    """`lines` (ocr_id, doc, page, idx, text, min_y, max_y; no nulls in text) with features: top and bottom rank, gaps
-    above and below against the usual pitch, and for the three lines at each edge the page number and repetition."""
-    page = Window.partitionBy("doc", "page")
-    order = page.orderBy("idx", "ocr_id")
-    x = lines.withColumn("top", F.row_number().over(order)).withColumn("n", F.count("*").over(page)).withColumn("bottom", F.col("n") - F.col("top") + 1)
-    x = x.withColumn("above", F.col("min_y") - F.lag("min_y").over(order)).withColumn("below", F.lead("min_y").over(order) - F.col("min_y"))
-    x = x.withColumn("pitch", (F.max("min_y").over(page) - F.min("min_y").over(page)) / F.greatest(F.col("n") - 1, F.lit(1)))
-    return x
+def _whole_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by doc and page, cut where pages end."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if b.empty:
+            continue
+        same = ((b["doc"] == b["doc"].iloc[-1]) & (b["page"] == b["page"].iloc[-1])).to_numpy()
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        rest, done = b.iloc[cut:], b.iloc[:cut]
+        if len(done):
+            yield done
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _pages(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the page of each row, from 0; first row and length of each page."""
+    doc, page = b["doc"].to_numpy(), b["page"].to_numpy()
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])]
+    start = np.flatnonzero(new)
+    return np.cumsum(new) - 1, start, np.diff(np.r_[start, len(b)])
+
+
+def _case(text: str, size: str) -> str:
+    up, low = text.upper(), text.lower()
+    if up == low:
+        return "none"
+    if text == up:
+        return "upper"
+    # headings with a misread letter or two are capitals still
+    if size == "short" and len(small := _SMALL.findall(text)) * 5 <= len(text) and len(small) * 5 <= len(NO_LETTERS.sub("", low)):
+        return "upper"
+    return "lower" if "a" <= text[0] <= "z" else "mixed"
 
 
-def labelled_lines(lines: DataFrame) -> DataFrame:
-    """(ocr_id, doc, page, idx, text, state, next_text, first) of every line with text; next_text is the next line of the
-    page that is no furniture, first tells the first such line of a page."""
+def edges(lines: DataFrame) -> DataFrame:
+    """`lines` (ocr_id, doc, page, idx, text, min_y; no nulls in text), each once, with what they show by themselves: rank
+    from top and bottom, gaps against the usual pitch, letter case, ending, length; for the three lines at each edge of a
+    page the rest beside a page number, its shape and number. norm: letters by skeleton, of edge lines and of the short
+    lines between them. Lines are moved once, by page; copies of a line fall together and are dropped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _whole_pages(batches):
+            b = b[b["ocr_id"].ne(b["ocr_id"].shift())] if len(b) > 1 else b
+            at, start, n = _pages(b)
+            top = np.arange(len(b)) - start[at] + 1
+            bottom = n[at] - top + 1
+            y = b["min_y"].to_numpy(dtype=float)
+            pitch = ((np.fmax.reduceat(y, start) - np.fmin.reduceat(y, start)) / np.maximum(n - 1, 1))[at]
+            with np.errstate(invalid="ignore"):
+                above, below = np.r_[np.nan, np.diff(y)], np.r_[np.diff(y), np.nan]
+                above[start], below[start + n - 1] = np.nan, np.nan
+                wide = (above > pitch * 1.6) | (below > pitch * 1.6)
+            texts = b["text"].to_list()
+            size = ["short" if len(t) <= 60 and not LONG.search(t) else "long" for t in texts]
+            edge = (top <= 3) | (bottom <= 3)
+            rest, shape, number, norm = ([None] * len(b) for _ in range(4))
+            for i in np.flatnonzero(edge):
+                rest[i], shape[i], number[i] = split_number(texts[i])
+                norm[i] = _norm(rest[i])
+            for i in np.flatnonzero(~edge):
+                if size[i] == "short" or (texts[i].endswith(":") and len(texts[i]) <= 60 and not LONG.search(texts[i][:-1])):
+                    norm[i] = _norm(texts[i])
+            place = np.where(top <= 3, np.char.add("t", top.astype(str)), np.where(bottom <= 3, np.char.add("b", bottom.astype(str)), "mid"))
+            out = b[["ocr_id", "doc", "page", "idx", "text"]]
+            yield out.assign(
+                top=top.astype(np.int32), bottom=bottom.astype(np.int32), place=place, gap=np.where(wide, "wide", "usual"), case=[_case(t, z) for t, z in zip(texts, size)],
+                ending=["stop" if t[-1] in ".!?" else "hyphen" if t[-1] in HYPHENS else "open" for t in texts], size=size, rest=rest, shape=shape, number=pd.array(number, dtype="Int32"), norm=norm,
+            )
+
+    page = lines.select("ocr_id", "doc", "page", "idx", "text", "min_y").repartition("doc", "page").sortWithinPartitions("doc", "page", "idx", "ocr_id")
+    return page.mapInPandas(run, _LINE)
+
+
+def featured(lines: DataFrame) -> DataFrame:
+    """Every line with its features (`FEATURES`) and its seed, the state of lines beyond doubt. Repetition and page numbers
+    that run on are counted over the edge lines of all pages; the other lines are not moved."""
     x = stored(edges(lines))
-    edge = x.where("top <= 3 or bottom <= 3").select("ocr_id", "doc", "page", "top", "bottom", _split_numbers(F.col("text")).alias("s"))
-    edge = stored(edge.select("ocr_id", "doc", "page", "top", "bottom", "s.rest", "s.shape", "s.number", F.regexp_replace(skeleton_column(F.col("s.rest")), NO_LETTERS, "").alias("norm")))
+    edge = x.where("shape is not null").select("ocr_id", "doc", "page", "rest", "shape", "number", "norm")
     # page numbers that run on: the same difference to the page on two pages, or the page itself
     run = edge.where("shape <> ''").groupBy("doc", "shape", (F.col("number") - F.col("page")).alias("shift")).agg(F.count_distinct("page").alias("run"))
-    # repetition at edges of other pages of the document, and of the corpus
-    rep = edge.where("length(norm) >= 3").groupBy("doc", "norm").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page"))
+    # repetition at edges of other pages of the document, and of the corpus; a norm too short to tell is not looked up, so
+    # the bare page numbers, which share the empty norm, are no hot key
+    lettered = edge.where("length(norm) >= 3")
+    rep = lettered.groupBy("doc", "norm").agg(F.count_distinct("page").alias("pages"))
     corpus = rep.groupBy("norm").agg(F.count("*").alias("docs"), F.max("pages").alias("most"), F.sum("pages").alias("edge_pages"))
-    inside = x.where("top > 3 and bottom > 3 and length(text) <= 60").where(~F.col("text").rlike(r"[.:;,] [A-Za-z0-9]|[.;,]$")).groupBy(F.regexp_replace(skeleton_column(F.col("text")), NO_LETTERS, "").alias("norm")).agg(F.count("*").alias("inside"))
+    inside = x.where("shape is null and norm is not null").groupBy("norm").agg(F.count("*").alias("inside"))
     corpus = corpus.join(inside, "norm", "left").select("norm", "docs", "most", (F.coalesce("inside", F.lit(0)) * 10 > F.col("edge_pages")).alias("inside"))
-    pages = x.groupBy("doc").agg(F.min("page").alias("page_1"), F.count_distinct("page").alias("page_n"))
-    e = edge.join(run, (edge.doc == run.doc) & (edge["shape"] == run["shape"]) & (edge.number - edge.page == run["shift"]), "left").select(edge["*"], "run", "shift")
-    e = e.join(rep, ["doc", "norm"], "left").join(corpus, "norm", "left").select("ocr_id", "rest", "shape", "number", "run", "shift", "pages", "docs", "most", "inside")
-    # only lines at edges have these features; the others, most of a page, are not moved again
-    y = x.where("top <= 3 or bottom <= 3").join(e, "ocr_id", "left").join(pages, "doc")
-    none = {"rest": "string", "shape": "string", "number": "int", "run": "long", "shift": "int", "pages": "long", "docs": "long", "most": "long", "inside": "boolean", "page_1": "int", "page_n": "long"}
-    y = y.unionByName(x.where("top > 3 and bottom > 3").withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"page_1": F.lit(1)}))
+    known = stored(rep.join(corpus, "norm").select("doc", "norm", ((F.col("pages") >= 2) & ~F.col("inside")).alias("many"), ((F.col("docs") >= 3) & (F.col("most") >= 2) & ~F.col("inside")).alias("common")))
+    pages = edge.groupBy("doc").agg(F.min("page").alias("page_1"), F.count_distinct("page").alias("page_n"))
+    e = x.where("shape is not null").withColumn("shift", F.col("number") - F.col("page")).join(run, ["doc", "shape", "shift"], "left").join(pages, "doc").join(known, ["doc", "norm"], "left")
     bare = F.col("shape").isin("bare", "roman") & (F.col("rest") == "")
-    on = (F.col("run") >= 2) | ((F.col("page_n") == 1) & (F.col("shift") == 0))
-    number = F.when(F.coalesce("shape", F.lit("")) == "", "none").when(bare & on, "runs").when(bare, "lone").when(F.col("rest") == "", F.when(on, "deco_runs").otherwise("deco")).otherwise(F.when(on | (F.col("shape") == "deco"), "beside").otherwise("none"))
-    place = F.when(F.col("top") == 1, "t1").when(F.col("top") == 2, "t2").when(F.col("top") == 3, "t3").when(F.col("bottom") == 1, "b1").when(F.col("bottom") == 2, "b2").when(F.col("bottom") == 3, "b3").otherwise("mid")
-    apart = ~F.coalesce("inside", F.lit(True))
-    repeat = F.when((F.coalesce("pages", F.lit(0)) >= 2) & apart, "many").when((F.coalesce("docs", F.lit(0)) >= 3) & (F.coalesce("most", F.lit(0)) >= 2) & apart, "corpus").otherwise("no")
-    gap = F.when((F.col("above") > F.col("pitch") * 1.6) | (F.col("below") > F.col("pitch") * 1.6), "wide").otherwise("usual")
-    t, up, low = F.col("text"), F.upper("text"), F.lower("text")
-    # headings with a misread letter or two are capitals still; counted only where the line is short
-    letters, small = F.length(F.regexp_replace(low, NO_LETTERS, "")), F.length(t) - F.length(F.regexp_replace(t, "[a-z]", ""))
-    mostly = (F.length(t) <= 60) & ~t.rlike(LONG) & (small * 5 <= letters)
-    case = F.when(up == low, "none").when(t == up, "upper").when(mostly, "upper").when(t.rlike(r"^[a-z]"), "lower").otherwise("mixed")
-    tail = F.substring("text", -1, 1)
-    ending = F.when(tail.isin(".", "!", "?"), "stop").when(tail.isin(list(HYPHENS)), "hyphen").otherwise("open")
-    size = F.when((F.length("text") <= 60) & ~F.col("text").rlike(LONG), "short").otherwise("long")
-    mark = F.concat_ws("/", number, repeat, size)
-    first = F.when(F.coalesce(F.col("page") == F.col("page_1"), F.lit(False)), "first").otherwise("later")
-    y = y.select("ocr_id", "doc", "page", "idx", "text", mark.alias("mark"), number.alias("number"), place.alias("place"), repeat.alias("repeat"), gap.alias("gap"), case.alias("case"), ending.alias("ending"), size.alias("size"), first.alias("first"))
-    y = stored(y)
+    on = F.coalesce((F.col("run") >= 2) | ((F.col("page_n") == 1) & (F.col("shift") == 0)), F.lit(False))
+    number = F.when(F.col("shape") == "", "none").when(bare & on, "runs").when(bare, "lone").when(F.col("rest") == "", F.when(on, "deco_runs").otherwise("deco")).otherwise(F.when(on | (F.col("shape") == "deco"), "beside").otherwise("none"))
+    repeat = F.when(F.col("many"), "many").when(F.col("common"), "corpus").otherwise("no")
+    first = F.when(F.col("page") == F.col("page_1"), "first").otherwise("later")
+    keep = ["ocr_id", "doc", "page", "idx", "text", "place", "gap", "case", "ending", "size"]
+    mid = x.where("shape is null")
+    y = e.select(*keep, number.alias("number"), repeat.alias("repeat"), first.alias("first"))
+    y = y.unionAll(mid.select(*keep, F.lit("none").alias("number"), F.lit("no").alias("repeat"), F.when(F.col("page") == 1, "first").otherwise("later").alias("first")))
+    y = y.withColumn("mark", F.concat_ws("/", "number", "repeat", "size"))
+    return y.withColumn("seed", _seed())
+
+
+_LABEL = "ocr_id long, doc long, page int, idx int, text string, state string, next_text string, first boolean, broken boolean, cut string, figs string"
+
+
+def labelled_lines(lines: DataFrame) -> DataFrame:
+    """(ocr_id, doc, page, idx, text, state, next_text, first, broken, cut, figs) of every line with text: next_text is the
+    next line of the page that is no furniture, first tells the first such line of a page, broken whether it ends in a
+    hyphen; cut holds its words and figs its figures with letters in them, as of `words_of` and `figures`."""
+    y = stored(featured(lines))
     model = fitted(y)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            if b.empty:
-                continue
-            same = ((b["doc"] == b["doc"].iloc[-1]) & (b["page"] == b["page"].iloc[-1])).to_numpy()
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            rest, done = b.iloc[cut:], b.iloc[:cut]
-            if len(done):
-                yield _label_pages(done, model)
-        if rest is not None and len(rest):
-            yield _label_pages(rest, model)
+        for b in _whole_pages(batches):
+            yield _label_pages(b, model)
 
-    sorted_pages = y.repartition("doc", "page").sortWithinPartitions("doc", "page", "idx", "ocr_id")
-    return sorted_pages.mapInPandas(label, "ocr_id long, doc long, page int, idx int, text string, state string, next_text string, first boolean")
+    rows = y.select("ocr_id", "doc", "page", "idx", "text", *FEATURES)
+    return rows.repartition("doc", "page").sortWithinPartitions("doc", "page", "idx", "ocr_id").mapInPandas(label, _LABEL)
 
 
 #: mark: page number, repetition and length of the line as one feature, since they depend on each other
@@ -202,19 +258,27 @@ def _seed() -> Column:
 
 
 def fitted(y: DataFrame) -> dict:
-    """Log-probabilities of the features in each state and of the states after each other, counted over all lines. The
-    tables that reach the driver have a row per state and feature value (a few hundred)."""
-    y = y.withColumn("seed", _seed())
-    counts = {}
-    sums = y.where("seed is not null").groupBy("seed").agg(*[F.count_if(F.col(f) == v).alias(f"{f}={v}") for f, vs in VALUES.items() for v in vs], F.count("*").alias("n")).collect()
-    for r in sums:
-        counts[r["seed"]] = r.asDict()
-    emit = {}
-    for s in STATES:
-        c = counts.get(s, {})
-        n = c.get("n", 0)
-        emit[s] = {f: {v: math.log((c.get(f"{f}={v}", 0) + 0.5) / (n + 0.5 * len(vs))) for v in vs} for f, vs in VALUES.items()}
-    return {"emit": emit, "move": MOVES}
+    """Log-probabilities of the features in each state and of the states after each other, counted over all lines. What
+    reaches the driver has a row per combination of feature values that occurs (some hundreds, 72,576 at most) and per pair
+    of states. The prior on the order of states (`MOVES`) weighs as much as `PRIOR` lines; what it rules out stays so."""
+    counts: dict[str, Counter] = {s: Counter() for s in STATES}
+    total: Counter = Counter()
+    for r in y.where("seed is not null").groupBy("seed", *FEATURES).agg(F.count("*").alias("n")).collect():
+        total[r["seed"]] += r["n"]
+        for f in FEATURES:
+            counts[r["seed"]][f, r[f]] += r["n"]
+    emit = {s: {f: {v: math.log((counts[s][f, v] + 0.5) / (total[s] + 0.5 * len(vs))) for v in vs} for f, vs in VALUES.items()} for s in STATES}
+    order = Window.partitionBy("doc", "page").orderBy("idx", "ocr_id")
+    steps = y.select("doc", "page", "idx", "ocr_id", F.coalesce("seed", F.lit("")).alias("seed"))
+    steps = steps.select(F.lag("seed", 1, "start").over(order).alias("a"), F.col("seed").alias("b")).where("a <> '' and b <> ''").groupBy("a", "b").agg(F.count("*").alias("n"))
+    seen = {(r["a"], r["b"]): r["n"] for r in steps.collect()}
+    move = {}
+    for a, row in MOVES.items():
+        prior = {b: math.exp(w) for b, w in row.items() if w > _NO}
+        scale = PRIOR / sum(prior.values())
+        c = {b: seen.get((a, b), 0) + w * scale for b, w in prior.items()}
+        move[a] = {b: math.log(c[b] / sum(c.values())) if b in c else _NO for b in row}
+    return {"emit": emit, "move": move}
 
 
 VALUES = {
@@ -226,7 +290,8 @@ VALUES = {
     "first": ["first", "later"],
 }
 _NO = -1e9
-#: Structure of a page: headers, a title, text with paragraph ends, footers.
+PRIOR = 200.0
+#: Prior on the structure of a page: headers, a title, text with paragraph ends, footers.
 MOVES = {
     "start": {"header": -0.9, "title": -2.5, "body": -1.0, "break": -3.0, "footer": _NO},
     "header": {"header": -1.5, "title": -3.0, "body": -0.5, "break": -2.5, "footer": -6.0},
@@ -270,9 +335,7 @@ def _label_pages(done: pd.DataFrame, model: dict) -> pd.DataFrame:
     for f in FEATURES:
         table = np.array([[model["emit"][s][f][v] for s in STATES] for v in VALUES[f]])
         score += table[pd.Categorical(done[f], categories=VALUES[f]).codes]
-    doc, page = done["doc"].to_numpy(), done["page"].to_numpy()
-    new = np.r_[False, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])]
-    number = np.cumsum(new)
+    number, _, _ = _pages(done)
     states = np.array(STATES, dtype=object)[viterbi(score, number, model["move"])]
     body = np.flatnonzero((states != "header") & (states != "footer"))
     on = number[body]
@@ -281,83 +344,128 @@ def _label_pages(done: pd.DataFrame, model: dict) -> pd.DataFrame:
     nxt, first = np.full(len(done), None, dtype=object), np.zeros(len(done), bool)
     nxt[body[follows]] = text[body[1:][follows[:-1]]] if len(body) else []
     first[body] = np.r_[True, on[1:] != on[:-1]] if len(body) else []
-    return done[["ocr_id", "doc", "page", "idx", "text"]].assign(state=states, next_text=nxt, first=first)
+    cut, figs = np.full(len(done), None, dtype=object), np.full(len(done), None, dtype=object)
+    for i in body:
+        cut[i], figs[i] = cut_line(text[i])
+    return done[["ocr_id", "doc", "page", "idx", "text"]].assign(state=states, next_text=nxt, first=first, broken=[t.rstrip()[-1:] in _HYPHENS for t in text], cut=cut, figs=figs)
 
 
 # --- broken words ---------------------------------------------------------------------------------------------------
 
 _FIRST = rf"([\p{{L}}0-9@+|$'’]+(?:[-'][\p{{L}}0-9@+|$]+)*)[{HYPHENS}]\s*$"
 _SECOND = r"^\s*[\"'(]?([\p{Ll}0-9@+|$][\p{L}0-9@+|$]*(?:[-'][\p{L}0-9@+|$]+)*)"
+_MARKS = r"^[.,;:!?)\"']+"
+_HYPHENS = frozenset(HYPHENS)
+_END = regex.compile(_FIRST)
+_INSIDE = regex.compile(rf"[\p{{L}}0-9@+|$-]+[{HYPHENS}]\s+[\p{{Ll}}0-9@+|$]+")
+_HALVES = regex.compile(rf"((?:[\p{{L}}0-9@+|$]+-)*[\p{{L}}0-9@+|$]+)[{HYPHENS}]\s+([\p{{Ll}}0-9@+|$]+)")
+_SPACED = re.compile(f"[{HYPHENS}][ \n\r]")
 
 
 def following(labels: DataFrame) -> DataFrame:
     """Text lines of labelled_lines with `next_text` over a page end too. Only the last lines of pages that end in a hyphen
     are joined with the first line of the next page, so a document may be of any size."""
     body = labels.where("state not in ('header', 'footer')")
-    open_ = F.col("next_text").isNull() & ends_broken(F.col("text"))
+    open_ = F.col("next_text").isNull() & F.col("broken")
     heads = body.where("first").select("doc", (F.col("page") - 1).alias("page"), F.col("text").alias("over_page"))
     over = body.where(open_).drop("next_text").join(heads, ["doc", "page"], "left").withColumnRenamed("over_page", "next_text")
     return body.where(~open_).unionByName(over)
 
 
-_ADDRESS = r"\S+(?:@|\[at\])\S*\.\S+|https?://\S+|www\.\S+"
-#: what stands between words, as a list and not as the negation of the letters: the regular-expression engine looks up a
-#: listed character in a table, fifteen times as fast
-WORD_BREAK = r"[\s.,;:()/\"!?#%&*<=>\[\]\\^_`{}~\u00A0\u00AD\u00AC\u00B0\u00AB\u00BB\u2010-\u2026]+"
+_ADDRESS = re.compile(r"\S+(?:@|\[at\])\S*\.\S+|https?://\S+|www\.\S+")
+_LINKED = re.compile(r"@|\[at\]|://|www\.")
+#: what stands between words
+_BETWEEN = ".,;:()/\"!?#%&*<=>[]\\^_`{}~\u00A0\u00AD\u00AC\u00B0\u00AB\u00BB" + "".join(map(chr, range(0x2010, 0x2027)))
+_BLANKED = str.maketrans(_BETWEEN, " " * len(_BETWEEN))
+#: a mark before a word that begins a sentence with a misread letter: the letter was a capital
+OPENED = "\uE000"
+_OPENS = re.compile(r"([.!?] )(?=[0-9@+|$][a-z]{2})")
+_MIXED = re.compile(r"[0-9][.,/:-]?[OoDlIiZSBbgq]|[OoDlIiZSBbgq][.,/:-]?[0-9]")
+
 
+def without_halves(text: str) -> str:
+    """A text without the halves of broken words, at its end and inside."""
+    if text.rstrip()[-1:] in _HYPHENS:
+        text = _END.sub(" ", text)
+    return _INSIDE.sub(" ", text) if _SPACED.search(text) else text
 
-def words_of(text: Column) -> Column:
-    """Array of word-like stretches of a text, addresses and links left out; `word_rows` makes words of them."""
-    marked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
-    clean = F.when(marked, F.regexp_replace(text, _ADDRESS, " ")).otherwise(text)
-    return F.split(clean, WORD_BREAK)
 
+def words_of(text: str) -> list[str]:
+    """The words of a text: two marks or more with a letter among them, addresses and links left out."""
+    if _LINKED.search(text):
+        text = _ADDRESS.sub(" ", text)
+    words = text.translate(_BLANKED).split()
+    return [w for w in (w.strip("-'") if w[0] in "-'" or w[-1] in "-'" else w for w in words) if len(w) > 1 and not w.isdigit()]
 
-def word_rows(df: DataFrame, *keep: str) -> DataFrame:
-    """A row (keep, raw) per word of `words`, marks at its ends left out, two letters or more. Words are cut after the
-    explosion, where code generation reaches; the outer explosion has no filter inferred that would split each text again."""
-    return _tidy(df.select(*keep, F.explode_outer("words").alias("raw")))
 
+def cut_line(text: str) -> tuple[str, str | None]:
+    """Words of a line or cell, and its figures with letters in them as they were, each list joined by blanks."""
+    whole = without_halves(text)
+    figs = " ".join(b for _, b in figures(whole)) if _MIXED.search(text) else ""
+    return " ".join(words_of(_OPENS.sub(rf"\1{OPENED}", whole))), figs or None
 
-def _tidy(x: DataFrame) -> DataFrame:
-    raw = F.col("raw")
-    marked = raw.startswith("-") | raw.startswith("'") | raw.endswith("-") | raw.endswith("'")
-    return x.withColumn("raw", F.when(marked, F.trim(raw, F.lit("-'"))).otherwise(raw)).where(F.length("raw") >= 2)
 
+_CELL = "cell_id long, doc long, text string, cut string, figs string, halves array<struct<a:string,b:string>>"
 
-def opened(text: Column) -> Column:
-    """The text with a mark before a word that begins a sentence with a misread letter: the letter was a capital."""
-    return F.regexp_replace(text, r"([.!?] )(?=[0-9@+|$][a-z]{2})", "$1\uE000")
 
+def cut_cells(cells: DataFrame) -> DataFrame:
+    """`cells` (cell_id, doc, text; no nulls in text) with words, figures and the halves of words broken inside."""
 
-def lexicon(words: list[DataFrame], texts: list[DataFrame] = ()) -> DataFrame:
-    """(word, n) over all rows of tables with a column `words`, and of tables with a column `text`; lower case; counted with
-    map-side combination, so that a frequent word costs one row per task."""
-    parts = [word_rows(t) for t in words] + [_text_words(t) for t in texts]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [cut_line(t) for t in b["text"]]
+            halves = [[{"a": m.group(1), "b": m.group(2)} for m in _HALVES.finditer(t)] if _SPACED.search(t) else [] for t in b["text"]]
+            yield b.assign(cut=[c for c, _ in both], figs=[f for _, f in both], halves=halves)
+
+    return cells.select("cell_id", "doc", "text").mapInPandas(run, _CELL)
+
+
+def lexicon(cut: list[DataFrame], texts: list[DataFrame] = ()) -> DataFrame:
+    """(word, n) over all rows of tables with a column `cut` of words joined by blanks, and of tables with a column `text`;
+    lower case. Every task counts its words first, so that a frequent word costs one row per task."""
+    parts = [_counted(t.select("cut")) for t in cut] + [_counted(t.select("text")) for t in texts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.groupBy(plain_word(F.col("raw")).alias("word")).agg(F.count("*").alias("n"))
+    return out.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+_ASCII_BLANKED = bytes(32 if i < 128 and chr(i) in _BETWEEN else i for i in range(256))
+_WIDE_BLANKS = re.compile(rb"\xe2\x80[\x90-\xa6]|\xc2[\xa0\xad\xac\xb0\xab\xbb]")
 
 
-def _text_words(df: DataFrame) -> DataFrame:
-    """The words of a column `text`, split and exploded in one step, so that the list of a long text is made once."""
-    return _tidy(df.select(F.explode_outer(F.split("text", WORD_BREAK)).alias("raw")))
+def _counted(texts: DataFrame) -> DataFrame:
+    """Partial counts (word, n) of the words of the one column of `texts`, on the bytes of whole batches."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        out: Counter = Counter()
+        for raw, n in counts.items():
+            w = raw.decode("utf-8", "ignore").lstrip(OPENED).lower().strip("-'")
+            if len(w) > 1:
+                out[w] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for b in batches:
+            raw = "\n".join(t for t in b.column(0).to_pylist() if t).encode()
+            counts.update(_WIDE_BLANKS.sub(b" ", raw).translate(_ASCII_BLANKED).split())
+            if len(counts) > 500_000:
+                yield rows(counts)
+                counts = Counter()
+        yield rows(counts)
+
+    return texts.mapInArrow(run, "word string, n long")
 
 
 def plain_word(raw: Column) -> Column:
-    """Lower case, without the mark of `opened`."""
-    return F.lower(F.when(raw.startswith("\uE000"), F.ltrim(raw, F.lit("\uE000"))).otherwise(raw))
+    """Lower case, without the mark of a capital."""
+    return F.lower(F.when(raw.startswith(OPENED), F.ltrim(raw, F.lit(OPENED))).otherwise(raw))
 
 
-def without_halves(text: Column) -> Column:
-    """A text without the halves of broken words, at its end and inside."""
-    end = F.when(ends_broken(text), F.regexp_replace(text, _FIRST, " ")).otherwise(text)
-    inner = F.lit(False)
-    for h in HYPHENS:
-        for space in " \n\r":
-            inner = inner | F.contains(end, F.lit(h + space))
-    return F.when(inner, F.regexp_replace(end, rf"[\p{{L}}0-9@+|$-]+[{HYPHENS}]\s+[\p{{Ll}}0-9@+|$]+", " ")).otherwise(end)
+def word_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """A row (keep, raw) per word of the column `cut`."""
+    return df.select(*keep, F.explode(F.split("cut", " ")).alias("raw"))
 
 
 def ends_broken(text: Column) -> Column:
@@ -377,13 +485,14 @@ def corrections(lex: DataFrame, *, ratio: float = 0.12, frequent: int = 8) -> Da
     return hit.groupBy("word").agg(F.max_by("w", "m").alias("fixed"))
 
 
-# As read, as written; what a scan makes of a letter.
-READINGS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("lc", "k"), ("vv", "w"), ("c", "e"), ("q", "g"), ("f", "t"), ("l", "i"), ("i", "l"), ("m", "rn"), ("v", "u"), ("f", "e"), ("h", "b"), ("e", "c"))
+# As read, as written; what a scan makes of a letter. Those of ALONE lead to too many words to be combined.
+READINGS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("lc", "k"), ("vv", "w"), ("c", "e"), ("q", "g"), ("f", "t"))
+ALONE = (("l", "i"), ("i", "l"), ("m", "rn"), ("v", "u"), ("f", "e"), ("h", "b"), ("e", "c"))
 ODD = (("1", "i"), ("1", "l"), ("0", "o"), ("@", "a"), ("5", "s"), ("6", "b"), ("+", "t"), ("4", "a"), ("8", "b"), ("3", "e"), ("9", "g"), ("$", "s"), ("7", "t"), ("|", "l"), ("|", "i"))
 
 
 def readable(word: Column, fixed: Column) -> Column:
-    """Whether one or two readings of letters lead from the fixed word to the word as read."""
+    """Whether up to three readings of letters, or one of `ALONE`, lead from the fixed word to the word as read."""
 
     @F.pandas_udf("boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -396,6 +505,8 @@ def readable(word: Column, fixed: Column) -> Column:
 def _readable(word: str, fixed: str, depth: int = 3) -> bool:
     if word == fixed:
         return True
+    if depth == 3 and any(word[:i] + b + word[i + len(a) :] == fixed for a, b in ALONE for i in range(len(word)) if word.startswith(a, i)):
+        return True
     if depth == 0:
         return False
     i = 0
@@ -404,7 +515,7 @@ def _readable(word: str, fixed: str, depth: int = 3) -> bool:
     for k in (i, i - 1):
         if k < 0 or (k < i and word[k] != fixed[k]):
             continue
-        for a, b in (*ODD, *READINGS[:10]):
+        for a, b in (*ODD, *READINGS):
             if word.startswith(a, k) and fixed.startswith(b, k) and _readable(word[k + len(a) :], fixed[k + len(b) :], depth - 1):
                 return True
     return False
@@ -412,7 +523,7 @@ def _readable(word: str, fixed: str, depth: int = 3) -> bool:
 
 def cased(word: str, fixed: str) -> str:
     """`fixed` in the letter case of `word`."""
-    if word[:1] == "\uE000":
+    if word[:1] == OPENED:
         return fixed[:1].upper() + fixed[1:]
     up = sum(c.isupper() for c in word)
     low = sum(c.islower() for c in word)
@@ -441,17 +552,6 @@ def figures(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def figure_fixes(text: Column) -> Column:
-    """Array of (raw, fixed) figures of a text column; only rows with a digit beside a letter are looked at."""
-
-    @F.pandas_udf("array<struct<raw:string,fixed:string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: [{"raw": a, "fixed": b} for a, b in figures(t)] if t else [])
-
-    return run(text)
-
-
 def _cased(word: Column, fixed: Column) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -480,17 +580,86 @@ def whole_words(halves: DataFrame, lex: DataFrame, fixes: DataFrame) -> DataFram
     return x.withColumn("fixed", F.when(F.lower(raw) == low, raw).otherwise(_cased(raw, low)))
 
 
-def paragraphs(labels: DataFrame, fixes: DataFrame | None = None) -> DataFrame:
-    """(doc, page, par, text): the lines of a page without furniture, joined into paragraphs that end at breaks; words
-    broken over lines are whole again."""
+def repaired(texts: DataFrame, row: str, fixes: DataFrame) -> DataFrame:
+    """`texts` (row, text, cut, figs) with misread words and figures of the text replaced. fixes: (word, fixed) of
+    distinct words; only rows that hold a misread word are moved."""
+    hit = word_rows(texts.select(row, "cut"), row).join(fixes.withColumnRenamed("fixed", "w"), plain_word(F.col("raw")) == F.col("word"))
+    hit = hit.groupBy(row).agg(F.collect_set(F.struct("raw", "w")).alias("hit"))
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for t, f, h in batches:
+            yield pd.Series([_replaced(x, y is not None, () if z is None else z) for x, y, z in zip(t, f, h)], dtype=object)
+
+    touched = F.col("hit").isNotNull() | F.col("figs").isNotNull()
+    x = texts.join(hit, row, "left")
+    return x.withColumn("text", F.when(touched, run(F.col("text"), F.col("figs"), F.col("hit"))).otherwise(F.col("text"))).drop("hit")
+
+
+def _replaced(text: str, figs: bool, hit) -> str:
+    for raw, fixed in figures(text) if figs else ():
+        text = text.replace(raw, fixed)
+    for h in hit:
+        raw = h["raw"].lstrip(OPENED)
+        text = re.sub(rf"(?<![^\W_]){re.escape(raw)}(?![^\W_])", lambda _, r=h["raw"], w=h["w"]: cased(r, w), text)
+    return text
+
+
+def joined_cell(text: Column, whole: Column) -> Column:
+    """A cell with its broken words (array of a, b, fixed) whole; null where there is none."""
+    gap = F.lit(rf"[{HYPHENS}]\s+")
+    quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
+    return F.aggregate(whole, text, lambda t, w: F.regexp_replace(t, F.concat(quoted(w["a"]), gap, quoted(w["b"])), w["fixed"]))
+
+
+def rejoined(lines: DataFrame, whole: DataFrame) -> DataFrame:
+    """Lines (ocr_id, doc, page, idx, text, next_text, next_of_page, first, state) with every broken word whole in the line of its first
+    half, and its second half gone from the next line. whole: (row_id, a, b, fixed)."""
+    w = whole.select(F.col("row_id").alias("ocr_id"), "a", F.col("b").alias("_b"), "fixed")
+    x = lines.join(w, "ocr_id", "left")
+    # the line after a broken one: the next one of the page, or the first one of the next page
+    order = Window.partitionBy("doc", "page").orderBy("idx", "ocr_id")
+    x = x.withColumn("half", F.lag("_b").over(order))
+    over = x.where("next_of_page is null and _b is not null").select("doc", (F.col("page") + 1).alias("page"), F.col("_b").alias("over"))
+    x = x.join(over, ["doc", "page"], "left").withColumn("half", F.coalesce("half", F.when(F.col("first"), F.col("over"))))
+    # the second half and the marks that follow it move to the word
+    marks = F.coalesce(F.regexp_extract(F.expr("substring(ltrim(next_text), length(_b) + 1)"), _MARKS, 0), F.lit(""))
+    text = F.when(F.col("fixed").isNotNull(), F.concat(F.regexp_replace("text", _FIRST, ""), F.col("fixed"), marks)).otherwise(F.col("text"))
+    begun = F.coalesce(F.startswith(F.ltrim("text"), F.col("half")), F.lit(False))
+    rest = F.when(begun, F.ltrim(F.regexp_replace(F.expr("substring(ltrim(text), length(half) + 1)"), _MARKS, ""))).otherwise(F.col("text"))
+    x = x.withColumns({"goes_on": begun & F.col("first"), "text": rest})
+    return x.withColumn("text", text).select("ocr_id", "doc", "page", "idx", "text", "state", "goes_on")
+
+
+def paragraphs(labels: DataFrame) -> DataFrame:
+    """(doc, page, par, text): the lines without furniture joined into paragraphs that end at breaks, titles and the ends of
+    sentences before a page end; a paragraph that a page cuts goes on over the page end and has the place of its start.
+    labels: (ocr_id, doc, page, idx, text, state) and, from `rejoined`, goes_on: the line lost the half of a word to the
+    page before. Lines are gathered page by page; only paragraphs that pages cut are
+    linked, by components, so a document may have any number of pages."""
     x = labels.where("state in ('body', 'break', 'title')")
+    x = x if "goes_on" in x.columns else x.withColumn("goes_on", F.lit(False))
     order = Window.partitionBy("doc", "page").orderBy("idx", "ocr_id")
     ends = F.lag(F.when(F.col("state").isin("break", "title"), 1).otherwise(0), 1, 0).over(order)
     x = x.withColumn("ends", ends).withColumn("par", F.sum("ends").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int") + 1)
-    g = x.groupBy("doc", "page", "par").agg(F.sort_array(F.collect_list(F.struct("idx", "ocr_id", "text"))).alias("l"))
+    g = x.groupBy("doc", "page", "par").agg(F.sort_array(F.collect_list(F.struct("idx", "ocr_id", "text", "state", "goes_on"))).alias("l"))
     text = F.array_join(F.transform("l", lambda r: r["text"]), "\n")
     text = F.regexp_replace(text, f"(\\p{{L}})[­¬‐-]\\s*\\n(?=\\p{{Ll}})", "$1")
-    return g.select("doc", "page", "par", F.regexp_replace(text, r"\s*\n\s*", " ").alias("text"))
+    g = g.select("doc", "page", "par", F.regexp_replace(F.trim(text), r"\s*\n\s*", " ").alias("text"), F.element_at("l", -1)["state"].alias("state"), F.element_at("l", 1)["goes_on"].alias("goes_on"))
+    g = stored(g.withColumn("last", F.max("par").over(Window.partitionBy("doc", "page")) == F.col("par")))
+    open_ = (F.col("state") == "body") & ~F.col("text").rlike(r"[.!?:][\"')]*$")
+    head = g.where("last").select("doc", "page", "par", open_.alias("open"))
+    tail = g.where("par = 1").select("doc", (F.col("page") - 1).alias("page"), "goes_on", F.col("text").rlike(r"^[\"'(]?[\p{Ll}0-9]").alias("low"))
+    name = lambda page, par: F.concat_ws("/", F.lpad(F.col("doc").cast("string"), 20, "0"), F.lpad(page.cast("string"), 10, "0"), F.lpad(par.cast("string"), 10, "0"))
+    link = stored(head.join(tail, ["doc", "page"]).where("goes_on or (open and low)").select(name(F.col("page"), F.col("par")).alias("a"), name(F.col("page") + 1, F.lit(1)).alias("b")))
+    g = g.withColumn("node", name(F.col("page"), F.col("par")))
+    if link.isEmpty():
+        return g.select("doc", "page", "par", "text").where("text <> ''")
+    g = g.join(components(link, "a", "b"), "node", "left")
+    alone = g.where("label is null").select("doc", "page", "par", "text")
+    cut = g.where("label is not null").groupBy("doc", "label").agg(F.sort_array(F.collect_list(F.struct("page", "par", "text"))).alias("l"))
+    whole = cut.select("doc", F.col("l")[0]["page"].alias("page"), F.col("l")[0]["par"].alias("par"), F.array_join(F.transform("l", lambda r: r["text"]), " ").alias("text"))
+    return alone.unionByName(whole).where("text <> ''")
 
 
 # --- tables ---------------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from berkas.llm.addresses import same_houses
 from berkas.llm.cards import addresses, city_names, persons
 from berkas.llm.names import linked_merchants, linked_persons
-from berkas.llm.pagenoise import _FIRST, _SECOND, HYPHENS, corrections, ends_broken, figure_fixes, following, labelled_lines, lexicon, opened, paragraphs, plain_word, without_halves, word_rows, WORD_BREAK, repeated_headings, whole_words, words_of, _cased
+from berkas.llm.pagenoise import _FIRST, _SECOND, corrections, cut_cells, following, joined_cell, labelled_lines, lexicon, paragraphs, plain_word, rejoined, repaired, word_rows, repeated_headings, whole_words, _cased
 from berkas.llm.pii import name_tokens, placeholders, previous_line, spans, with_tokens
 from berkas.llm.mixing import mixed, shares
 from berkas.llm.packing import packed, token_count
@@ -70,50 +70,60 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("carrier", "row_id", placeholders(F.col("text"), F.col("before"), own, places).alias("text")).distinct()
 
 
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The scanned lines that have text, each once."""
-    t = table(spark, folder, "ocr_text").where("trim(text) <> ''")
-    return t.select("ocr_id", "doc", "page", "idx", "text", "min_y", "max_y").dropDuplicates(["ocr_id"])
+class _Noise:
+    """The tables that the queries on page noise share: labelled lines, cells, the lexicon and the corrections."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        lines = table(spark, folder, "ocr_text").where("trim(text) <> ''").select("ocr_id", "doc", "page", "idx", "text", "min_y")
+        self.labels = stored(labelled_lines(lines))
+        cells = stored(table(spark, folder, "table_cells").select("cell_id", "doc", "row_no", "col_no", "text").distinct())
+        self.heads = stored(repeated_headings(cells))
+        self.cells = stored(cut_cells(cells.join(self.heads, "cell_id", "left_anti").where("text is not null")))
+        docs = table(spark, folder, "documents").where("text is not null").select("text")
+        self.lexicon = stored(lexicon([self.labels, self.cells], [docs]))
+        self.fixes = stored(corrections(self.lexicon))
+
+    def halves(self) -> DataFrame:
+        """(carrier, row_id, a, b) of words broken over lines, and inside cells."""
+        over = following(self.labels.where("broken or first")).where("broken")
+        a, b = F.regexp_extract("text", _FIRST, 1), F.regexp_extract("next_text", _SECOND, 1)
+        h1 = over.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), a.alias("a"), b.alias("b"))
+        h2 = self.cells.select(F.lit("table_cells").alias("carrier"), F.col("cell_id").alias("row_id"), F.explode("halves").alias("h")).select("carrier", "row_id", "h.a", "h.b")
+        return h1.unionAll(h2).where("a <> '' and b <> '' and a rlike '[A-Za-z]' and b rlike '[A-Za-z]'")
+
+    def whole(self) -> DataFrame:
+        return whole_words(self.halves(), self.lexicon, self.fixes).select("carrier", "row_id", "a", "b", "fixed")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Page furniture, broken words and misread words in scanned lines and table cells."""
-    labels = stored(labelled_lines(_lines(spark, folder)))
-    cells = stored(table(spark, folder, "table_cells").select("cell_id", "doc", "row_no", "col_no", "text").dropDuplicates(["cell_id"]))
-    docs = table(spark, folder, "documents").where("text is not null").select(F.lower("text").alias("text"))
-    heads = stored(repeated_headings(cells))
-    # words are cut once and kept beside the text
-    cut = words_of(opened(without_halves(F.col("text")))).alias("words")
-    body = stored(following(labels).select("ocr_id", "text", "next_text", cut))
-    kept_cells = stored(cells.join(heads, "cell_id", "left_anti").where("text is not null").select("cell_id", "text", cut))
-    lex = stored(lexicon([body, kept_cells], [docs]))
-    fixes = stored(corrections(lex))
-    # furniture
-    f1 = labels.where("state in ('header', 'footer')").select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"))
-    f2 = heads.select(F.lit("table_cells").alias("carrier"), F.col("cell_id").alias("row_id"))
+    x = _Noise(spark, folder)
+    f1 = x.labels.where("state in ('header', 'footer')").select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"))
+    f2 = x.heads.select(F.lit("table_cells").alias("carrier"), F.col("cell_id").alias("row_id"))
     furniture = f1.unionAll(f2).select("carrier", "row_id", F.lit("furniture").alias("kind"), F.lit("").alias("fixed"))
-    # words broken over lines, and inside cells
-    a, b = F.regexp_extract("text", _FIRST, 1), F.regexp_extract("next_text", _SECOND, 1)
-    h1 = body.where(ends_broken(F.col("text"))).select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), a.alias("a"), b.alias("b"))
-    inner = F.regexp_extract_all("text", F.lit(rf"((?:[\p{{L}}0-9@+|$]+-)*[\p{{L}}0-9@+|$]+[{HYPHENS}]\s+[\p{{Ll}}0-9@+|$]+)"), F.lit(1))
-    h2 = kept_cells.select(F.col("cell_id").alias("row_id"), F.explode(inner).alias("m"))
-    h2 = h2.select(F.lit("table_cells").alias("carrier"), "row_id", F.regexp_extract("m", rf"^(.*)[{HYPHENS}]\s+", 1).alias("a"), F.regexp_extract("m", rf"[{HYPHENS}]\s+(.*)$", 1).alias("b"))
-    halves = h1.unionAll(h2).where("a <> '' and b <> '' and a rlike '[A-Za-z]' and b rlike '[A-Za-z]'")
-    hyphen = whole_words(halves, lex, fixes).select("carrier", "row_id", F.lit("hyphen").alias("kind"), "fixed")
+    hyphen = x.whole().select("carrier", "row_id", F.lit("hyphen").alias("kind"), "fixed")
     # misread words and figures; the halves of broken words are not words
-    t1 = body.select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), "words", "text")
-    t2 = kept_cells.select(F.lit("table_cells").alias("carrier"), F.col("cell_id").alias("row_id"), "words", "text")
-    texts = t1.unionAll(t2)
+    t1 = x.labels.where("cut is not null").select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), "cut", "figs")
+    texts = t1.unionAll(x.cells.select(F.lit("table_cells").alias("carrier"), F.col("cell_id").alias("row_id"), "cut", "figs"))
     words = word_rows(texts, "carrier", "row_id").withColumn("word", plain_word(F.col("raw")))
-    char = words.join(fixes, "word").select("carrier", "row_id", F.lit("char").alias("kind"), _cased(F.col("raw"), F.col("fixed")).alias("fixed"))
-    figs = texts.where(r"text rlike '[0-9][.,/:-]?[OoDlIiZSBbgq]|[OoDlIiZSBbgq][.,/:-]?[0-9]'").select("carrier", "row_id", F.explode(figure_fixes(without_halves(F.col("text")))).alias("f"))
-    figs = figs.select("carrier", "row_id", F.lit("char").alias("kind"), "f.fixed")
+    char = words.join(x.fixes, "word").select("carrier", "row_id", F.lit("char").alias("kind"), _cased(F.col("raw"), F.col("fixed")).alias("fixed"))
+    figs = texts.where("figs is not null").select("carrier", "row_id", F.lit("char").alias("kind"), F.explode(F.split("figs", " ")).alias("fixed"))
     return furniture.unionAll(hyphen).unionAll(char).unionAll(figs).distinct()
 
 
 def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """The continuous paragraphs of every page."""
-    return paragraphs(labelled_lines(_lines(spark, folder)))
+    """The continuous paragraphs of every document: without furniture, broken words whole, misread words corrected."""
+    x = _Noise(spark, folder)
+    body = following(x.labels.withColumn("next_of_page", F.col("next_text"))).select("ocr_id", "doc", "page", "idx", "text", "state", "next_text", "first", "next_of_page", "cut", "figs")
+    return paragraphs(rejoined(repaired(body, "ocr_id", x.fixes), x.whole().where("carrier = 'ocr_text'")))
+
+
+def p4_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table cell that is no repeated heading, broken words whole and misread words corrected."""
+    x = _Noise(spark, folder)
+    whole = x.whole().where("carrier = 'table_cells'").groupBy("row_id").agg(F.collect_list(F.struct("a", "b", "fixed")).alias("w"))
+    t = repaired(x.cells.select("cell_id", "doc", "text", "cut", "figs"), "cell_id", x.fixes).join(whole.withColumnRenamed("row_id", "cell_id"), "cell_id", "left")
+    return t.select("cell_id", "doc", F.coalesce(joined_cell(F.col("text"), F.col("w")), F.col("text")).alias("text"))
 
 
 def _subject_shares(spark: SparkSession, folder: str, least: float) -> DataFrame:
@@ -209,7 +219,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries, "p2_combined": p2_combined, "p7_packed": p7_packed, "p7_fill": p7_fill,
-    "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p9_found": p9_found, "p9_composition": p9_composition}
+    "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p4_cells": p4_cells, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p9_found": p9_found, "p9_composition": p9_composition}
 SQL: dict[str, str] = {
     "p2_percentiles": """
 with t as (select distinct doc, worker_id, doc_format, cast(account_id as varchar) as account_id, strftime(ts, '%Y-%m-%d') as "day",

@@ -108,6 +108,28 @@ def test_labels_and_joins(spark):
     assert pn.labelled_lines(df.limit(0)).count() == 0
 
 
+def test_repaired_paragraphs(spark):
+    rows = [(1, 1, 1, 0, "Menurut catatan, laporan ini disu-"), (2, 1, 1, 1, "sun, lalu meniinggu 13.412.5OO rupiah yang"), (3, 1, 1, 2, "disampaikan secara berta-"), (4, 1, 2, 0, "hap. Sidang selesai dengan baik dan lancar.")]
+    df = spark.createDataFrame(rows, "ocr_id long, doc long, page int, idx int, text string")
+    body = df.withColumn("next_text", F.expr("case ocr_id when 1 then 'sun, lalu meniinggu 13.412.5OO rupiah yang' when 3 then 'hap. Sidang selesai dengan baik dan lancar.' end"))
+    body = body.withColumn("next_of_page", F.expr("case when ocr_id = 1 then next_text when ocr_id = 2 then 'x' end")).withColumn("first", F.col("idx") == 0).withColumn("state", F.lit("body"))
+    cut = {r[0]: pn.cut_line(r[4]) for r in rows}
+    body = body.join(spark.createDataFrame([(k, *v) for k, v in cut.items()], "ocr_id long, cut string, figs string"), "ocr_id")
+    fixes = spark.createDataFrame([("meniinggu", "menunggu")], "word string, fixed string")
+    whole = spark.createDataFrame([(1, "disu", "sun", "disusun"), (3, "berta", "hap", "bertahap")], "row_id long, a string, b string, fixed string")
+    got = pn.paragraphs(pn.rejoined(pn.repaired(body, "ocr_id", fixes), whole)).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, "Menurut catatan, laporan ini disusun, lalu menunggu 13.412.500 rupiah yang disampaikan secara bertahap. Sidang selesai dengan baik dan lancar.")]
+    cell = spark.createDataFrame([("nilai ke- luar (x)", [("ke", "luar", "keluar")]), ("tetap", None)], "t string, w array<struct<a:string,b:string,fixed:string>>")
+    assert [r[0] for r in cell.select(pn.joined_cell(F.col("t"), F.col("w"))).collect()] == ["nilai keluar (x)", None]
+
+
+def test_words_and_counts(spark):
+    assert pn.words_of("Surat 12 (resmi), a.b@c.id dan 'KB-33O5' x") == ["Surat", "resmi", "dan", "KB-33O5"]
+    assert pn.cut_line("setu-") == ("", None) and pn.cut_line("nilai 13.412.5OO. 5urat itu")[1] == "13.412.500"
+    t = spark.createDataFrame([("Satu dua-dua\u00a0SATU, é",), (None,), ("",)], "text string")
+    assert {r["word"]: r["n"] for r in pn.lexicon([], [t]).collect()} == {"satu": 2, "dua-dua": 1}
+
+
 def test_whole_words(spark):
     lex = spark.createDataFrame([("kembali", 9), ("berturut-turut", 9), ("kesaksian", 20)], "word string, n long")
     fixes = spark.createDataFrame([("lcesaksian", "kesaksian")], "word string, fixed string")

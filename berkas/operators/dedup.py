@@ -36,9 +36,10 @@ def content_key(content):
 
 
 def scored_once(df: DataFrame, content: str, score, columns: list[str]) -> DataFrame:
-    """df with the columns that `score` (a DataFrame with key and content -> the same with `columns`) adds, computed once
-    per different content. The result table takes the place of a cache: it is as large as the different contents, and
-    nothing is evicted."""
-    keyed = df.withColumn("_key", content_key(F.col(content)))
-    once = keyed.groupBy("_key").agg(F.first(content).alias(content))
-    return keyed.join(score(once).select("_key", *columns), "_key", "left").drop("_key")
+    """df with `key` and the columns that `score` (a DataFrame with key and content -> the same with `columns`) adds,
+    computed once per different content. The result table takes the place of a cache: it is as large as the different
+    contents, and nothing is evicted. Equal contents meet by key, in each task before the shuffle; the join moves keys
+    alone where the content is not asked for, as column pruning leaves it behind."""
+    keyed = df.withColumn("key", content_key(F.col(content)))
+    once = keyed.select("key", content).dropDuplicates(["key"])
+    return keyed.join(score(once).select("key", *columns), "key", "left")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +59,44 @@ def hocr(words: DataFrame, pages: DataFrame, keys: list[str], order: str = "idx"
     return x.select(*keys, text.alias("hocr"))
 
 
-def as_json(*columns: str, pretty: bool = False) -> Column:
+def as_json(*columns: str | Column, pretty: bool = False) -> Column:
     """Columns as one JSON object, nulls kept."""
     return F.to_json(F.struct(*columns), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"})
 
 
+def _box(prefix: str = "") -> Column:
+    return F.struct(*[F.col(f"{prefix}{c}").cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+
+
+def document_json(words: DataFrame, keys: list[str], *, pretty: bool = False, order: str = "idx") -> DataFrame:
+    """(keys, json): whole results as {"text", "confidence", "lines", "regions"}, nulls kept. words: keys, idx, line_no, conf,
+    box columns, text. Lines and regions have text, confidence, bounds and line number, in reading order."""
+    region = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("conf").alias("confidence"), F.col("line_no").alias("line_number"), _box().alias("bbox"))
+    r = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), region.alias("r")))).alias("rs"), F.coalesce(F.avg("conf"), F.lit(0.0)).alias("confidence"))
+    g = words.groupBy(*keys, "line_no").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("text", F.lit("")).alias("t")))).alias("ts"), F.avg("conf").alias("c"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
+    line = F.struct(F.col("line_no").alias("n"), F.struct(F.array_join(F.transform("ts", lambda t: t["t"]), " ").alias("text"), F.col("c").alias("confidence"), F.col("line_no").alias("line_number"), _box().alias("bbox")).alias("l"))
+    x = g.groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("ls")).join(r, keys)
+    lines = F.transform("ls", lambda x: x["l"])
+    whole = F.struct(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"), F.col("confidence"), lines.alias("lines"), F.transform("rs", lambda x: x["r"]).alias("regions"))
+    return x.select(*keys, F.to_json(whole, {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("json"))
+
+
+def batch_json(items: DataFrame, keys: list[str], *, pretty: bool = False) -> DataFrame:
+    """(keys, json) of batches of items (keys, pos, source, success, text, error, duration_ms): the items in order and their
+    counts. A batch is one JSON text, so it has to fit into a row; use the rows themselves for anything larger."""
+    item = F.struct("pos", F.struct("source", "success", "text", "error", "duration_ms").alias("i"))
+    g = items.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["i"]).alias("items"), F.count("*").alias("total"), F.count_if("success").alias("succeeded"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"), F.sum("duration_ms").alias("total_duration_ms"))
+    return g.select(*keys, as_json("items", "total", "succeeded", "failed", "total_duration_ms", pretty=pretty).alias("json"))
+
+
+def pages_json(pages: DataFrame, keys: list[str], *, pretty: bool = False) -> DataFrame:
+    """(keys, json) of documents made of pages (keys, page_number, source, text, confidence, width, height)."""
+    page = F.struct("page_number", "source", "text", "confidence", F.array("width", "height").alias("dimensions"))
+    g = pages.groupBy(*keys).agg(F.sort_array(F.collect_list(page)).alias("pages"), F.count("*").alias("total_pages"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    text = F.array_join(F.filter(F.transform("pages", lambda p: p["text"]), lambda t: t != ""), "\n\n")
+    return g.select(*keys, as_json("pages", "total_pages", text.alias("text"), "confidence", pretty=pretty).alias("json"))
+
+
 def pdf_escaped(text: Column) -> Column:
     """Text of a PDF string: parentheses and backslashes escaped, line feed, return and tab named, all else outside
     printable ASCII a blank."""
@@ -104,3 +140,25 @@ def searchable_pdf(rgb: bytes, width: int, height: int, stream: str) -> bytes:
     out += b"xref\n0 7\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % a for a in at)
     out += b"trailer\n<< /Size 7 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % xref
     return bytes(out)
+
+
+def searchable_pdfs(images: DataFrame, layers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pdf, error): a PDF per image (keys, height, width, data in blue-green-red or grey) with the text layer of its
+    content stream (keys, stream of `text_layer`). An image that cannot be laid out has an error; one without a stream an
+    empty text layer."""
+
+    @F.pandas_udf("struct<pdf:binary,error:string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            out = []
+            for h, w, data, stream in zip(*cols):
+                try:
+                    px = np.frombuffer(data, np.uint8).reshape(h, w, -1)
+                    rgb = np.repeat(px[..., :1], 3, 2) if px.shape[2] == 1 else px[..., 2::-1]
+                    out.append((searchable_pdf(rgb.tobytes(), w, h, stream or "q\nBT\n3 Tr\nET\n"), None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((None, f"Invalid image: {e}"))
+            yield pd.DataFrame(out, columns=["pdf", "error"])
+
+    x = images.select(*keys, "height", "width", "data").join(layers.select(*keys, "stream"), keys, "left")
+    return x.withColumn("p", run("height", "width", "data", "stream")).select(*keys, "p.pdf", "p.error")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from berkas.config import Config
 from berkas.operators.dedup import appended_text, native_lines, new_text
 
 
@@ -50,3 +54,49 @@ def document_or_error(pages: DataFrame, keys: list[str]) -> DataFrame:
     page's."""
     bad = pages.where("error is not null").groupBy(*keys).agg(F.min_by("error", "page_number").alias("error"))
     return document(pages, keys).join(bad, keys, "left").withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+
+
+_PAGE = "page_number int, native_text string, images array<struct<height:int,width:int,data:binary>>, rendered struct<height:int,width:int,data:binary>, error string"
+
+
+def extracted(files: DataFrame, parser: Callable | None, config: Config = Config(), *, render_width: int = 1024) -> DataFrame:
+    """files (content, ...) of PDF documents as rows of pages: own text, embedded images of enough area, and the page
+    rendered where it has neither. parser: bytes -> pages, each with `text`, `images` (height, width, blue-green-red bytes)
+    and `render(width)`; no library comes along, and without one, or for a document that it cannot read, there is one row
+    with an error. A document with too many pages is not read."""
+    keep = [f for f in files.schema.fields if f.name not in ("content", "page_number", "native_text", "images", "rendered", "error")]
+
+    def pages(content) -> list[tuple]:
+        if parser is None:
+            return [(None, None, [], None, "Invalid PDF: no PDF library was given")]
+        try:
+            found = list(parser(content))
+        except Exception as e:  # noqa: BLE001
+            return [(None, None, [], None, f"Invalid PDF: {e}")]
+        if len(found) > config.max_pdf_pages:
+            return [(None, None, [], None, f"PDF too many pages: {len(found)} pages exceeds limit of {config.max_pdf_pages}")]
+        out = []
+        for i, p in enumerate(found, 1):
+            text = (p.text or "").strip()
+            images = [{"height": h, "width": w, "data": d} for h, w, d in p.images if h * w >= config.pdf_embedded_img_min_area]
+            shot, error = None, None
+            if not images and not any(c.isalnum() for c in text):
+                try:
+                    h, w, d = p.render(render_width)
+                    shot = {"height": h, "width": w, "data": d}
+                except Exception as e:  # noqa: BLE001
+                    error = f"PDF rendering failed: {e}"
+            out.append((i, text, images, shot, error))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(len(b)):
+                rows = pd.DataFrame(pages(b["content"].iloc[k]), columns=["page_number", "native_text", "images", "rendered", "error"])
+                rows["page_number"] = rows["page_number"].astype("Int32")
+                for f in keep:
+                    rows[f.name] = [b[f.name].iloc[k]] * len(rows)
+                yield rows[[*(f.name for f in keep), "page_number", "native_text", "images", "rendered", "error"]]
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), _PAGE])
+    return files.select(*[f.name for f in keep], "content").mapInPandas(run, schema)

@@ -27,9 +27,9 @@ def batch_summary(items: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("all_succeeded", F.col("failed") == 0)
 
 
-def batch_texts(items: DataFrame) -> DataFrame:
-    """Texts of the items that succeeded."""
-    return items.where("success")
+def batch_texts(items: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text) of the items (keys, text, success) that succeeded; an item whose success is null did not."""
+    return items.where("success").select(*keys, "text")
 
 
 def page(pages: DataFrame, number: int) -> DataFrame:

@@ -234,3 +234,58 @@ def mapped_pixels(images: DataFrame, change: Callable[[np.ndarray], np.ndarray])
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "height int", "width int", "data binary", "error string"])
     keep = images.select(*[f.name for f in fields], "height", "width", "data").withColumn("error", F.lit(None).cast("string"))
     return keep.mapInPandas(run, schema)
+
+
+def coloured(gray: np.ndarray) -> np.ndarray:
+    """A grey image in three equal channels."""
+    return np.repeat(gray[..., None], 3, axis=2)
+
+
+def mapped_grids(df: DataFrame, column: str, width: int, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """df with the array column `column`, the pixels of a grey image of some width row by row, changed by a function on grey
+    images; a null image stays null."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if v is None else change(np.asarray(v).reshape(-1, width).astype(np.uint8)).astype(np.int32).ravel() for v in s], dtype=object)
+
+    return df.withColumn(column, run(F.col(column)))
+
+
+def grid_contours(df: DataFrame, column: str, width: int, threshold: float) -> DataFrame:
+    """df without `column`, a map of some width, but with the number of its contours and of their points."""
+
+    @F.pandas_udf("struct<n_contours:int,n_points:int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            found = [contours(np.asarray(v).reshape(-1, width), threshold) if v is not None else [] for v in s]
+            yield pd.DataFrame({"n_contours": [len(c) for c in found], "n_points": [sum(map(len, c)) for c in found]}, dtype="int32")
+
+    return df.withColumn("_c", run(F.col(column))).select(*[c for c in df.columns if c != column], "_c.n_contours", "_c.n_points")
+
+
+# Colours of the bands of confidence, from the least confidence on.
+BANDS = [(0.9, (34, 197, 94)), (0.75, (59, 130, 246)), (0.5, (245, 158, 11)), (-1.0, (239, 68, 68))]
+
+
+def annotated(images: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """images (keys, height, width, data) with the polygons of their regions (keys, polygon, conf) drawn in the colour of
+    their confidence; an image without regions stays as it is."""
+    g = regions.groupBy(*keys).agg(F.collect_list(F.struct("polygon", "conf")).alias("_regions"))
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for cols in batches:
+            out = []
+            for h, w, data, found in zip(*cols):
+                if found is None or data is None or not h or not w or h < 0:
+                    out.append(data)
+                    continue
+                rgb = np.frombuffer(data, np.uint8).reshape(h, w, 3)[..., ::-1]
+                drawn = [(np.array([(p["x"], p["y"]) for p in r["polygon"]]), next(c for b, c in BANDS if r["conf"] >= b)) for r in found]
+                out.append(outlined(rgb, drawn)[..., ::-1].tobytes())
+            yield pd.Series(out, dtype=object)
+
+    x = images.join(g, keys, "left")
+    return x.withColumn("data", run("height", "width", "data", "_regions")).select(*images.columns)

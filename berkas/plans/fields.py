@@ -208,8 +208,17 @@ select doc_id, line_no, case when c > 0 and k1 <> '' and v1 <> '' then k1 else k
 union all select doc_id, i, 1, p, word || ' ' || w2 || ' ' || w3 from s where regexp_full_match({_DIG.format('word')}, '[0-9]+') and try_cast({_DIG.format('word')} as bigint) between 1 and 31 and regexp_matches(upper(w2), '{'|'.join(entities.MONTHS)}') and strlen({_DIG.format('w3')}) = 4)""", "i, kind, p"),
     "entities_vehicle_plates": "with " + _ranked(f"""{_W}, f as (select doc_id, i, p, upper(word) || ' ' || w2 || ' ' || w3 as value from s where upper(word) in ({', '.join(repr(x) for x in entities.PLATES)}) and length(regexp_replace(w2, '[^0-9]', '', 'g')) between 1 and 4
 and length(regexp_replace(w3, '[^A-Za-z]', '', 'g')) between 1 and 3 and strlen(w3) <= 4)"""),
+    "entities_phone_numbers": "with recursive " + _ranked(f"""{_W}, t0 as (select doc_id, i, p, {_STRIP2.format('word')} as h, regexp_replace(word, '^[,.;]+|[,.;]+$', '', 'g') as t from w),
+t1 as (select *, regexp_full_match(t, '[0-9-]{{3,6}}') as goes from t0), t2 as (select *, coalesce(min(case when not goes then p end) over (partition by doc_id, i order by p rows between 1 following and unbounded following), max(p) over (partition by doc_id, i) + 1) as stop from t1),
+hd as (select doc_id, i, p, h, stop from t2 where regexp_matches(h, '^(\\+62|08|628|021)')),
+wh as (select hd.doc_id, hd.i, hd.p, hd.stop, hd.h || coalesce(string_agg(' ' || t2.t, '' order by t2.p), '') as value from hd left join t2 on t2.doc_id = hd.doc_id and t2.i = hd.i and t2.p > hd.p and t2.p < hd.stop group by hd.doc_id, hd.i, hd.p, hd.stop, hd.h),
+gd as (select * from wh where length(regexp_replace(value, '[^0-9]', '', 'g')) between 10 and 15),
+pk as (select doc_id, i, p, stop, value from (select *, row_number() over (partition by doc_id, i order by p) as k from gd) where k = 1
+union all select gd.doc_id, gd.i, gd.p, gd.stop, gd.value from (select pk.doc_id, pk.i, min(gd.p) as p from pk join gd on gd.doc_id = pk.doc_id and gd.i = pk.i and gd.p >= pk.stop group by pk.doc_id, pk.i) n join gd on gd.doc_id = n.doc_id and gd.i = n.i and gd.p = n.p),
+f as (select doc_id, i, p, value from pk)"""),
     "digit_fold": f"select distinct rec_id, {_FOLD.format('nik')} as digits, coalesce(regexp_full_match(nik, '[0-9]{{16}}'), false) as valid from ktp_data",
     "npwp_format": f"select distinct rec_id, case when length({_FOLD.format('npwp_raw')}) = 15 then regexp_replace({_FOLD.format('npwp_raw')}, '^(..)(...)(...)(.)(...)(...)$', '\\1.\\2.\\3.\\4-\\5.\\6') else {_FOLD.format('npwp_raw')} end as formatted from npwp_data",
     "currency_parse": f"select cell_id, {_money('text')} as amount from (select distinct cell_id, text from table_cells)",
     "normalized_lines": "select distinct ocr_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as normalized from ocr_text",
 }
+SQL["entities_empty"] = "select doc_id not in (" + " union ".join(f"select doc_id from ({SQL[f'entities_{n}']}) t_{n}" for n in entities.LISTS) + ") as is_empty, count(*) as n from documents where text is not null group by 1"

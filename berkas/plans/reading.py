@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from berkas.config import CODES, ERRORS, LANGUAGES, error_text, language_of, languages
+from berkas.config import ERRORS, error_text, language_of, languages
 from berkas.functions import geometry as geo
 from berkas.functions.text import normalized
-from berkas.operators import dedup, export, layout, metrics, nms, pages, recognition, results, tables
+from berkas.operators import dedup, export, layout, metrics, nms, pages, recognition, results, tables, vision
 from berkas.sources import files
 from berkas.sources.tables import table
 
@@ -157,7 +157,7 @@ def ctc_decode(spark: SparkSession, folder: str) -> DataFrame:
 
 def second_pass_merge(spark: SparkSession, folder: str) -> DataFrame:
     w = words(spark, folder).select("doc", "page", "idx", "text", "conf")
-    again = w.where("idx % 3 = 0").select("doc", "page", "idx", F.when(F.col("idx") % 2 == 0, "").otherwise(F.upper("text")).alias("re_text"), (1 - F.col("conf") / 2).alias("re_conf"))
+    again = w.select("doc", "page", "idx", F.when(F.length("text") % 2 == 0, "").otherwise(F.upper("text")).alias("re_text"), (1 - F.col("conf") / 2).alias("re_conf"))
     return recognition.second_pass(w, again, [*PAGE, "idx"], below=0.9)
 
 
@@ -181,22 +181,25 @@ def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
     return results.batch_summary(t.select(F.coalesce("doc_format", F.lit("unknown")).alias("doc_format"), ok.alias("success"), F.when(ok, F.floor(F.col("total_ms").cast("double"))).otherwise(0).cast("long").alias("duration_ms")), ["doc_format"])
 
 
+#: lines that stand for the text that the file itself holds; every line is also one that was read from the scan
+NATIVE = "conf >= 0.95"
+
+
 def dedup_native_ocr(spark: SparkSession, folder: str) -> DataFrame:
     w = words(spark, folder)
-    native = w.where("idx % 3 = 0").select("doc", "page", normalized(F.col("text")).alias("native")).where("native <> ''").distinct()
-    ocr = w.where("idx % 2 = 0").select("doc", "page", "idx", "text", "conf")
-    return dedup.new_text(ocr, native, PAGE).select("doc", "page", "idx", "text")
+    native = w.where(NATIVE).select("doc", "page", normalized(F.col("text")).alias("native")).where("native <> ''").distinct()
+    return dedup.new_text(w.select("doc", "page", "idx", "text", "conf"), native, PAGE).select("doc", "page", "idx", "text")
 
 
 def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     w = words(spark, folder)
-    own = w.where("idx % 3 = 0").groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("native_text"))
+    own = w.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.expr(NATIVE), F.struct("idx", "text")))), lambda x: x["text"]), "\n").alias("native_text"))
     kind = F.pmod(F.col("doc") / 2 + F.col("page"), F.lit(4)).cast("int")
     p = own.withColumn("kind", kind).select(
         "doc", "page", F.when(F.col("kind") < 2, F.col("native_text")).otherwise("-").alias("native_text"), F.when(F.col("kind").isin(1, 2), 1).otherwise(0).alias("n_images"),
         F.when(F.col("kind") == 3, F.concat(F.lit("page "), F.col("page").cast("string"))).alias("rendered_text"), F.when(F.col("kind") == 3, 0.5).alias("rendered_conf"), F.lit(700).alias("rendered_width"), F.lit(900).alias("rendered_height"),
     )
-    ocr = w.where("idx % 2 = 0").join(p.where("n_images > 0").select("doc", "page"), PAGE).select("doc", "page", "idx", "text", "conf")
+    ocr = w.join(p.where("n_images > 0").select("doc", "page"), PAGE).select("doc", "page", "idx", "text", "conf")
     return p, ocr
 
 
@@ -211,9 +214,15 @@ def pdf_document(spark: SparkSession, folder: str) -> DataFrame:
     return pages.document(routed, ["doc"]).withColumn("confidence", F.round("confidence", 6))
 
 
+def batch_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the documents of a batch that were read, in order."""
+    d = table(spark, folder, "documents").select("doc_id", "text", (F.length("text") > 0).alias("success"))
+    return results.batch_texts(d, "doc_id")
+
+
 def hash_cache(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
-    return dedup.scored_once(d, "text", lambda once: once.withColumn("n_chars_scored", F.length("text").cast("long")), ["n_chars_scored"]).select("doc_id", "n_chars_scored", dedup.content_key(F.col("text")).alias("key"))
+    return dedup.scored_once(d, "text", lambda once: once.withColumn("n_chars_scored", F.length("text").cast("long")), ["n_chars_scored"]).select("doc_id", "n_chars_scored", "key")
 
 
 def char_error(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,9 +247,9 @@ def percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def timing_summary(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "stage_timing").select("doc", *metrics.STAGES).distinct()
-    # whole milliseconds, so that both engines print alike
-    whole = t.select("doc", *[F.when(F.isnan(c) | F.col(c).isNull(), 0.0).otherwise(F.floor(F.col(c).cast("double"))).cast("double").alias(c) for c in metrics.STAGES])
-    return whole.select("doc", metrics.timing_summary().alias("summary"))
+    # tenths of milliseconds, which no engine has to round for printing
+    tenths = t.select("doc", *[F.when(F.isnan(c) | F.col(c).isNull(), 0.0).otherwise(F.floor(F.col(c).cast("double") * 10) / 10).cast("double").alias(c) for c in metrics.STAGES])
+    return tenths.select("doc", metrics.timing_summary().alias("summary"))
 
 
 HEADS = ["25504446", "89504E470D0A1A0A", "FFD8FFE0", "524946460000000057454250", "5249464600000000574542", "424D0000", "49492A00", "4D4D002A", "504B0304", "4944", ""]
@@ -300,6 +309,44 @@ def pixel_variance(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("vec_id", (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("n2_variance"), ((F.col("n") * F.col("q") - F.col("s") * F.col("s")) < 500 * F.col("n") * F.col("n")).alias("enhance"))
 
 
+def _grids(spark: SparkSession, folder: str) -> DataFrame:
+    """Grey images of eight by eight pixels; every second one of little contrast."""
+    px = F.transform("embedding", lambda v: F.pmod(F.round(v.cast("double") * 1000), F.lit(256.0)).cast("int"))
+    return table(spark, folder, "embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.transform(px, lambda p: (p / 3 + 60).cast("int"))).otherwise(px).alias("pixels"))
+
+
+def _pixels(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.array_join("pixels", ",").alias("pixels"))
+
+
+def pixel_blur(spark: SparkSession, folder: str) -> DataFrame:
+    return _pixels(vision.mapped_grids(_grids(spark, folder), "pixels", 8, vision.box_blur))
+
+
+def pixel_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return _pixels(vision.mapped_grids(_grids(spark, folder), "pixels", 8, vision.adaptive_threshold))
+
+
+def pixel_contrast(spark: SparkSession, folder: str) -> DataFrame:
+    return _pixels(vision.mapped_grids(_grids(spark, folder), "pixels", 8, lambda g: vision.luma(vision.auto_contrast(vision.coloured(g)))))
+
+
+def pixel_turned(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter turn, and a tilt too small to be undone."""
+    return _pixels(vision.mapped_grids(_grids(spark, folder), "pixels", 8, lambda g: vision.deskewed(vision.quarter_turns(g, 1)[..., None], 0.4)[..., 0]))
+
+
+def pixel_contours(spark: SparkSession, folder: str) -> DataFrame:
+    """Areas of the probability map: number and border points of those that are large enough."""
+    return vision.grid_contours(_grids(spark, folder), "pixels", 8, threshold=90)
+
+
+def quad_crops(spark: SparkSession, folder: str) -> DataFrame:
+    """The six by four pixels at column one, row two."""
+    quad = [(1, 2), (7, 2), (7, 6), (1, 6)]
+    return _pixels(vision.mapped_grids(_grids(spark, folder), "pixels", 8, lambda g: vision.quad_crop(g[..., None], quad)[..., 0]))
+
+
 def det_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Regions of a probability map, four of sixteen pixels to a vector."""
     e = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
@@ -361,7 +408,7 @@ QUERIES = {
     for f in (
         page_text, group_lines, line_agg, reading_columns, sorted_lines, table_from_boxes, iou_pairs, nms_boxes, polygon_measures, skew_angle, crop_boxes, input_sizes, rec_batches, ctc_argmax, ctc_decode,
         second_pass_merge, legible_regions, filter_confidence, search_regions, batch_summary, dedup_native_ocr, page_routing, pdf_document, hash_cache, char_error, word_error, percentiles, timing_summary,
-        sniff_format, path_checks, supported_formats, language_list, language_codes, error_messages, confidence_bands, pixel_variance, det_scores, moment_angles, pdf_page, export_tsv, export_hocr, export_table_csv, export_table_markdown,
+        sniff_format, path_checks, supported_formats, language_list, language_codes, error_messages, confidence_bands, pixel_variance, pixel_blur, pixel_threshold, pixel_contrast, pixel_turned, pixel_contours, quad_crops, batch_texts, det_scores, moment_angles, pdf_page, export_tsv, export_hocr, export_table_csv, export_table_markdown,
         export_table_json, export_line_json, export_text_layer,
     )
 }
@@ -371,9 +418,9 @@ _norm = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 _PLAIN = "regexp_replace(text, '[^\\x20-\\x7E]', '?', 'g')"
 _HELD = "(nl = t or (strlen(nl) > 5 and strlen(t) > 5 and (contains(nl, t) or contains(t, nl))))"
 _ROUTE = f"""with {_WORDS},
-own as (select doc, page, string_agg(text, chr(10) order by idx) as own, cast((doc / 2.0 + page) as bigint) % 4 as kind from w where idx % 3 = 0 group by doc, page),
+own as (select doc, page, coalesce(string_agg(text, chr(10) order by idx) filter (where conf >= 0.95), '') as own, cast((doc / 2.0 + page) as bigint) % 4 as kind from w group by doc, page),
 p as (select doc, page, kind, case when kind < 2 then own else '-' end as native_text, kind in (1, 2) as imaged from own),
-o as (select w.doc, w.page, idx, text, conf, {_norm.format('text')} as t from w join p on w.doc = p.doc and w.page = p.page and imaged where idx % 2 = 0),
+o as (select w.doc, w.page, idx, text, conf, {_norm.format('text')} as t from w join p on w.doc = p.doc and w.page = p.page and imaged),
 n as (select doc, page, {_norm.format('unnest(string_split(native_text, chr(10)))')} as nl from p where native_text is not null),
 kept as (select * from o where t <> '' and not exists (select 1 from n where n.doc = o.doc and n.page = o.page and nl <> '' and {_HELD})),
 k as (select doc, page, string_agg(text, chr(10) order by idx) as appended, count(*) as n_kept, avg(conf) as ck from kept group by doc, page),
@@ -398,6 +445,10 @@ join s on s.doc = q.doc and s.rn = q.rn + 1),
 fin as (select doc, an from f qualify row_number() over (partition by doc order by rn desc) = 1)"""
 
 
+_GRID = """g0 as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings),
+g as (select vec_id, i % 8 as x, i // 8 as y, case when vec_id % 2 = 0 then cast(trunc(p / 3.0 + 60) as integer) else p end as p from (select vec_id, i, cast(((round(cast(v as double) * 1000) % 256) + 256) % 256 as integer) as p from g0)),
+n as (select a.vec_id, a.x, a.y, a.p, b.p as q from g a join (select unnest([-1, 0, 1]) as dx) on true join (select unnest([-1, 0, 1]) as dy) on true join g b on b.vec_id = a.vec_id and b.x = least(greatest(a.x + dx, 0), 7) and b.y = least(greatest(a.y + dy, 0), 7)),
+f as (select vec_id, x, y, any_value(p) as p, cast(sum(q) as integer) // 9 as blur from n group by vec_id, x, y)"""
 _OVER = "(least(a.y1, s.max_y) - greatest(a.y0, s.min_y) > 0 and (least(a.y1, s.max_y) - greatest(a.y0, s.min_y)) / least(greatest(a.y1 - a.y0, 1), greatest(s.max_y - s.min_y, 1)) >= 0.5)"
 SQL = {
     "group_lines": f"with {_GROUPED} select doc, page, idx, line_no from g",
@@ -443,7 +494,7 @@ l as (select *, lag(cls, 1, 0) over (partition by crop order by t) as prev from
 c as (select crop, t, p, case when cls <= 26 then chr(cast(96 + cls as integer)) else ' ' end as ch from l where cls <> prev and cls <> 0),
 d as (select *, lag(ch, 1, '') over (partition by crop order by t) as before from c), k as (select * from d where not (ch = ' ' and before = ' '))
 select cast(a.crop as integer) as crop, coalesce(trim(string_agg(ch, '' order by t)), '') as text, round(coalesce(avg(p), 0), 5) as conf from (select distinct crop from s) a left join k on a.crop = k.crop group by a.crop""",
-    "second_pass_merge": f"""with {_WORDS}, a as (select doc, page, idx, case when idx % 2 = 0 then '' else upper(text) end as rt, 1 - conf / 2 as rc from w where idx % 3 = 0),
+    "second_pass_merge": f"""with {_WORDS}, a as (select doc, page, idx, case when length(text) % 2 = 0 then '' else upper(text) end as rt, 1 - conf / 2 as rc from w),
 j as (select w.doc, w.page, w.idx, w.text, w.conf, rt, rc, coalesce(w.conf < 0.9 and rc > w.conf and rt <> '', false) as replaced from w left join a on w.doc = a.doc and w.page = a.page and w.idx = a.idx)
 select doc, page, idx, case when replaced then rt else text end as text, case when replaced then rc else conf end as conf, replaced from j""",
     "legible_regions": f"with {_WORDS} select doc, count(*) as n from w where text <> '' and conf >= 0.8 group by doc",
@@ -453,11 +504,12 @@ select r.doc, r.page, n_regions, n_lines, confidence, text from r join k on r.do
     "search_regions": f"with {_WORDS} select doc, page, idx, text from w where contains(lower(text), 'catatan')",
     "batch_summary": """with t as (select distinct doc, doc_format, total_ms from stage_timing), s as (select coalesce(doc_format, 'unknown') as doc_format, coalesce(total_ms >= 0 and not isnan(total_ms), false) as ok, total_ms from t)
 select doc_format, count(*) as total, count(*) filter (where ok) as succeeded, count(*) filter (where not ok) as failed, cast(sum(case when ok then floor(cast(total_ms as double)) else 0 end) as bigint) as total_duration_ms, count(*) filter (where not ok) = 0 as all_succeeded from s group by doc_format""",
-    "dedup_native_ocr": f"""with {_WORDS}, n as (select distinct doc, page, {_norm.format('text')} as nl from w where idx % 3 = 0), o as (select doc, page, idx, text, {_norm.format('text')} as t from w where idx % 2 = 0)
+    "dedup_native_ocr": f"""with {_WORDS}, n as (select distinct doc, page, {_norm.format('text')} as nl from w where conf >= 0.95), o as (select doc, page, idx, text, {_norm.format('text')} as t from w)
 select doc, page, idx, text from o where t <> '' and not exists (select 1 from n where n.doc = o.doc and n.page = o.page and nl <> '' and {_HELD})""",
     "page_routing": f"{_ROUTE} select doc, page, source, text, round(confidence, 9) as confidence, n_regions, width, height from x",
     "pdf_document": f"{_ROUTE} select doc, count(*) as n_pages, coalesce(string_agg(case when text <> '' then text end, chr(10) || chr(10) order by page), '') as text, round(avg(confidence), 6) as confidence from x group by doc",
     "hash_cache": "select doc_id, length(text) as n_chars_scored, sha256(text) as key from documents where text is not null",
+    "batch_texts": "select doc_id, text from documents where length(text) > 0",
     "char_error": f"""with {_WORDS}, p as (select doc, page, idx, {_PLAIN} as t from w) select a.doc, a.page, a.idx, cast(levenshtein(a.t, b.t) as integer) as distance,
 round(case when a.t = '' then case when b.t = '' then 0.0 else 1.0 end else least(levenshtein(a.t, b.t) / length(a.t), 1.0) end, 6) as cer from p a join p b on a.doc = b.doc and a.page = b.page and b.idx = a.idx + 1""",
     "word_error": f"""with {_WORDS}, p as (select doc, page, idx, list_filter(string_split_regex({_PLAIN}, '\\s+'), lambda x: x <> '') as t from w),
@@ -466,7 +518,7 @@ s as (select doc, page, idx, len(r) as n, len(h) as m, coalesce(list_aggregate(l
 select doc, page, idx, round(case when n = 0 then case when m = 0 then 0.0 else 1.0 end else least(levenshtein(rs, hs) / n, 1.0) end, 6) as wer from s""",
     "percentiles": """with t as (select distinct doc, worker_id, total_ms from stage_timing where total_ms >= 0 and not isnan(total_ms)), g as (select worker_id, count(*) as n, list_sort(list(cast(total_ms as double))) as v from t group by worker_id)
 select worker_id, n, v[1] as "min", v[cast(round(0.5 * (n - 1)) as bigint) + 1] as p50, v[cast(round(0.9 * (n - 1)) as bigint) + 1] as p90, v[cast(round(0.95 * (n - 1)) as bigint) + 1] as p95, v[cast(round(0.99 * (n - 1)) as bigint) + 1] as p99, v[n] as "max", round(list_avg(v), 3) as mean from g""",
-    "timing_summary": "with t as (select distinct doc, " + ", ".join(metrics.STAGES) + " from stage_timing), z as (select doc, " + ", ".join(f"case when {c} is null or isnan({c}) then 0.0 else floor(cast({c} as double)) end as {c}" for c in metrics.STAGES) + " from t) select doc, "
+    "timing_summary": "with t as (select distinct doc, " + ", ".join(metrics.STAGES) + " from stage_timing), z as (select doc, " + ", ".join(f"case when {c} is null or isnan({c}) then 0.0 else floor(cast({c} as double) * 10) / 10 end as {c}" for c in metrics.STAGES) + " from t) select doc, "
     + "repeat('-', 40) || chr(10) || '          STAGE TIMING BREAKDOWN        ' || chr(10) || repeat('-', 40) || chr(10) || "
     + " || ".join((f"case when {c} > 0 then " if cond else "") + f"printf('{label:<19}%8.2f ms', {c}) || chr(10)" + (" else '' end" if cond else "") for label, c, cond in (("Parsing:", "parsing_ms", 1), ("Rendering:", "rendering_ms", 1), ("Preprocessing:", "preprocessing_ms", 0), ("Detection:", "detection_ms", 0), ("Orientation:", "orientation_ms", 1), ("Recognition:", "recognition_ms", 0), ("Second Pass Re-OCR:", "second_pass_ms", 1), ("Postprocessing:", "postprocessing_ms", 0)))
     + " || repeat('-', 40) || chr(10) || printf('TOTAL:             %8.2f ms', total_ms) || chr(10) || repeat('-', 40) || chr(10) as summary from z",
@@ -479,11 +531,39 @@ select p_partkey, extension, extension in ('', 'jpeg', 'jpg', 'png', 'webp', 'bm
 case when extension not in ('', 'jpeg', 'jpg', 'png', 'webp', 'bmp', 'tiff', 'tif', 'pdf') then 'Unsupported file format ''' || extension || '''. Supported formats: jpeg, jpg, png, webp, bmp, tiff, tif, pdf' when len > 52428800 then 'Image too large: ' || len || ' bytes exceeds limit of 52428800'
 when wd = 0 or hg = 0 then 'Invalid image: Image has zero dimensions' when wd > 4096 or hg > 4096 then 'Image too large: ' || wd || 'x' || hg || ' exceeds 4096x4096' when p_size > 50 then 'PDF too many pages: ' || p_size || ' pages exceeds limit of 50' end as error from e""",
     "supported_formats": "select cast(pos as integer) as pos, format from (values " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(files.FORMATS)) + ") t(pos, format)",
-    "language_list": "select * from (values " + ", ".join(f"('{a}', '{b}', '{c}', '{d}', {e}, '{f}', {str(g).lower()})" for a, b, c, d, e, f, g in LANGUAGES) + ") t(id, name, display_name, model_name, character_count, description, auto_download)",
-    "language_codes": "select d.lang, m.language, n from (select lang, count(*) as n from documents group by lang) d left join (values " + ", ".join(f"('{k}', '{v}')" for k, v in CODES.items()) + ") m(code, language) on lower(trim(d.lang)) = m.code",
-    "error_messages": "select n_nationkey, case n_nationkey % 12 " + " ".join(f"when {i} then '" + ERRORS[k].replace("'", "''").replace("{0}", "' || n_name || '").replace("{1}", files.SUPPORTED) + "'" for i, k in enumerate(sorted(ERRORS))) + " end as message from nation",
+    # the values that these queries must give, written out apart from the tables of berkas.config
+    "language_list": """select * from (values ('id', 'Indonesian', 'Indonesian (Latin)', 'PP-OCRv6_rec_small.onnx', 18708, 'Unified PP-OCRv6 model supporting 50 languages. Optimized for Indonesian documents (KTP, SIM, NPWP, receipts, invoices).', true),
+('en', 'English', 'English (Latin)', 'PP-OCRv6_rec_small.onnx', 18708, 'Unified PP-OCRv6 model supporting 50 languages. Full Latin alphabet, numbers, and punctuation support.', true),
+('multi', 'Multilingual', 'Multilingual (50 Languages)', 'PP-OCRv6_rec_small.onnx', 18708, 'Unified PP-OCRv6 model supporting 50 languages with native script recognition.', true),
+('ch', 'Chinese', 'Chinese (Hanzi)', 'PP-OCRv6_rec_small.onnx', 18708, 'Unified PP-OCRv6 model supporting Simplified and Traditional Chinese.', true)) t(id, name, display_name, model_name, character_count, description, auto_download)""",
+    "language_codes": """select d.lang, m.language, n from (select lang, count(*) as n from documents group by lang) d left join (values ('id', 'id'), ('ind', 'id'), ('indonesia', 'id'), ('indonesian', 'id'), ('en', 'en'), ('eng', 'en'), ('english', 'en'), ('multi', 'multi'), ('multilingual', 'multi'), ('all', 'multi'), ('ch', 'ch'), ('zh', 'ch'), ('chinese', 'ch'), ('mandarin', 'ch')) m(code, language) on lower(trim(d.lang)) = m.code""",
+    "error_messages": """select n_nationkey, case n_nationkey % 12
+when 0 then 'Download failed: ' || n_name || ''
+when 1 then 'Image too large: ' || n_name || ''
+when 2 then 'Inference failed: ' || n_name || ''
+when 3 then 'Invalid image: ' || n_name || ''
+when 4 then 'Invalid PDF: ' || n_name || ''
+when 5 then 'IO error: ' || n_name || ''
+when 6 then 'Model loading failed: ' || n_name || ''
+when 7 then 'Model not found: ' || n_name || ''
+when 8 then 'Network error: ' || n_name || ''
+when 9 then 'PDF rendering failed: ' || n_name || ''
+when 10 then 'PDF too many pages: ' || n_name || ''
+when 11 then 'Unsupported file format ''' || n_name || '''. Supported formats: jpeg, jpg, png, webp, bmp, tiff, tif, pdf' end as message from nation""",
     "confidence_bands": f"with {_WORDS} select case when conf >= 0.9 then 'green' when conf >= 0.75 then 'blue' when conf >= 0.5 then 'amber' else 'red' end as band, count(*) as n from w group by 1",
     "pixel_variance": "with e as (select vec_id, unnest(embedding) as v from embeddings), p as (select vec_id, cast(((round(cast(v as double) * 1000) % 256) + 256) % 256 as bigint) as px from e), g as (select vec_id, count(*) as n, cast(sum(px) as bigint) as s, cast(sum(px * px) as bigint) as q from p group by vec_id) select vec_id, n * q - s * s as n2_variance, n * q - s * s < 500 * n * n as enhance from g",
+    "pixel_blur": f"with {_GRID} select vec_id, string_agg(blur, ',' order by y, x) as pixels from f group by vec_id",
+    "pixel_threshold": f"with {_GRID} select vec_id, string_agg(case when p > blur - 10 then 255 else 0 end, ',' order by y, x) as pixels from f group by vec_id",
+    "pixel_contrast": f"""with {_GRID}, r as (select vec_id, min(p) as lo, max(p) as hi from g group by vec_id)
+select g.vec_id, string_agg(case when hi - lo >= 200 or hi = lo then p else (p - lo) * 255 // (hi - lo) end, ',' order by y, x) as pixels from g join r on g.vec_id = r.vec_id group by g.vec_id""",
+    "pixel_turned": f"with {_GRID} select vec_id, string_agg(p, ',' order by x, 7 - y) as pixels from g group by vec_id",
+    "quad_crops": f"with {_GRID} select vec_id, string_agg(p, ',' order by y, x) as pixels from g where x between 1 and 6 and y between 2 and 5 group by vec_id",
+    "pixel_contours": f"""with recursive {_GRID}, o as (select vec_id, x, y from g where p >= 90),
+c as (select vec_id, x, y, y * 8 + x as label from o union select o.vec_id, o.x, o.y, c.label from c join o on o.vec_id = c.vec_id and abs(o.x - c.x) <= 1 and abs(o.y - c.y) <= 1 and (o.x <> c.x or o.y <> c.y)),
+a as (select vec_id, x, y, min(label) as area from c group by vec_id, x, y),
+b as (select *, not ((vec_id, area, x - 1, y) in (select (vec_id, area, x, y) from a) and (vec_id, area, x + 1, y) in (select (vec_id, area, x, y) from a) and (vec_id, area, x, y - 1) in (select (vec_id, area, x, y) from a) and (vec_id, area, x, y + 1) in (select (vec_id, area, x, y) from a)) as border from a),
+e as (select vec_id, area, count(*) filter (where border) as n, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h, max(x) filter (where border) - min(x) filter (where border) + 1 as bw, max(y) filter (where border) - min(y) filter (where border) + 1 as bh from b group by vec_id, area)
+select g.vec_id, cast(coalesce(k, 0) as integer) as n_contours, cast(coalesce(pts, 0) as integer) as n_points from (select distinct vec_id from g) g left join (select vec_id, count(*) as k, sum(n) as pts from e where n >= 3 and bw >= 3 and bh >= 3 group by vec_id) e on g.vec_id = e.vec_id""",
     "pdf_page": f"{_ROUTE} select doc, source, text from x where page = 2",
     "det_scores": """with e as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), p as (select vec_id, cast(i // 16 as integer) as region, abs(cast(v as double)) as p from e),
 s as (select vec_id, region, avg(p) filter (where p >= 0.1) as score from p group by all), o as (select vec_id, cast(count(*) filter (where p >= 0.1) as integer) as n_on from p group by vec_id)
@@ -502,6 +582,12 @@ l as (select doc, i, '|' || string_agg(' ' || text || repeat(' ', greatest(cast(
 h as (select doc, '|' || string_agg('-' || repeat('-', cast(w as integer)) || '-|', '' order by j) || chr(10) as rule from wd group by doc)
 select l.doc, string_agg(line || case when i = 1 then rule else '' end, '' order by i) as markdown from l join h on l.doc = h.doc group by l.doc""",
     "export_line_json": f"""with {_LINES} select doc, page, line_no, '{{"line_no":' || line_no || ',"text":' || cast(to_json(text) as varchar) || ',"n_words":' || n_words || '}}' as json from ln""",
+    "export_table_json": f"""with {_MAT}, k as (select doc, row_no, col_no, '{{' || chr(10) || '    "text" : ' || cast(to_json(text) as varchar) || ',' || chr(10) || '    "confidence" : ' || coalesce(cast(round(confidence, 2) as varchar), 'null') || ',' || chr(10) || '    "row" : ' || row_no || ',' || chr(10) || '    "col" : ' || col_no || chr(10) || '  }}' as j from c),
+r as (select doc, row_no, '[ ' || string_agg(j, ', ' order by col_no) || ' ]' as j from k group by doc, row_no) select doc, '{{' || chr(10) || '  "rows" : [ ' || string_agg(j, ', ' order by row_no) || ' ]' || chr(10) || '}}' as json from r group by doc""",
+    "export_text_layer": f"""with {_LINES}, p as (select doc, page, max(max_x) as w, max(max_y) as h from ln group by doc, page),
+t as (select ln.doc, ln.page, line_no, greatest(max_y - min_y, 6) as lh, min_x, h - min_y as up, text from ln join p on ln.doc = p.doc and ln.page = p.page where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+ly as (select doc, page, string_agg('/F1 ' || printf('%.2f', lh * 0.9) || ' Tf' || chr(10) || '1 0 0 1 ' || printf('%.2f', min_x) || ' ' || printf('%.2f', up - lh) || ' Tm' || chr(10) || '(' || regexp_replace(replace(replace(replace(text, '\\', '\\\\'), '(', '\\('), ')', '\\)'), '[^\\x20-\\x7E]', ' ', 'g') || ') Tj' || chr(10), '' order by line_no) as b from t group by doc, page)
+select p.doc, p.page, printf('q' || chr(10) || '%d 0 0 %d 0 0 cm' || chr(10) || '/Im0 Do' || chr(10) || 'Q' || chr(10) || 'BT' || chr(10) || '3 Tr' || chr(10), cast(w as integer), cast(h as integer)) || coalesce(b, '') || 'ET' || chr(10) as stream from p left join ly on p.doc = ly.doc and p.page = ly.page""",
     "export_hocr": f"""with {_LINES}, g2 as (select *, row_number() over (partition by doc, page, line_no order by idx) as i from g),
 wd as (select doc, page, line_no, string_agg('          <span class=''ocrx_word'' id=''word_' || line_no || '_' || i || ''' title=''bbox ' || printf('%.0f %.0f %.0f %.0f', min_x, min_y, max_x, max_y) || '; x_wconf ' || cast(round(round(conf, 2) * 100) as integer) || '''>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</span>' || chr(10), '' order by i) as ws, avg(round(conf, 2)) as lc from g2 group by all),
 p as (select ln.doc, ln.page, string_agg('      <p class=''ocr_par'' id=''par_' || ln.line_no || ''' title=''bbox ' || printf('%.0f %.0f %.0f %.0f', min_x, min_y, max_x, max_y) || '''>' || chr(10) || '        <span class=''ocr_line'' id=''line_' || ln.line_no || ''' title=''bbox ' || printf('%.0f %.0f %.0f %.0f', min_x, min_y, max_x, max_y) || '; x_wconf ' || cast(round(lc * 100) as integer) || '''>' || chr(10) || ws || '        </span>' || chr(10) || '      </p>' || chr(10), '' order by ln.line_no) as b, max(max_x) as mx, max(max_y) as my from ln join wd on ln.doc = wd.doc and ln.page = wd.page and ln.line_no = wd.line_no group by ln.doc, ln.page)

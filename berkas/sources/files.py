@@ -83,6 +83,111 @@ def read_files(spark: SparkSession, path: str, config: Config = Config()) -> Dat
     return fine.select(*large.columns).unionAll(large)
 
 
+def read_paths(spark: SparkSession, df: DataFrame, column: str, config: Config = Config()) -> DataFrame:
+    """df (paths in `column`, as many as the caller listed) with path, content and error: the contents of all paths that
+    exist are read in one job; a path that does not, is too large or has a wrong ending has an error and no content."""
+    rows = [r[0] for r in df.select(column).distinct().collect() if r[0] and r[0].strip()]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    real = {}
+    for p in rows:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(p.strip())
+            fs = at.getFileSystem(conf)
+            if fs.exists(at) and fs.getFileStatus(at).isFile():
+                real[p] = fs.makeQualified(at).toString()
+        except Exception:  # noqa: BLE001, S112
+            continue
+    there = spark.createDataFrame(list(real.items()) or [("", "")], f"{column} string, path string")
+    if not real:
+        return df.withColumns({"path": F.lit(None).cast("string"), "content": F.lit(None).cast("binary"), "error": error_text("IoError", F.concat(F.lit("no such file: "), F.coalesce(column, F.lit(""))))})
+    got = spark.read.format("binaryFile").load(sorted(set(real.values())))
+    small = got.where(F.col("length") <= config.max_file_size).select("path", "content")
+    size = got.select("path", "length")
+    x = df.join(there, column, "left").join(size, "path", "left").join(small, "path", "left")
+    e = guarded(x.withColumns({c: F.lit(None).cast("int") for c in ("width", "height", "pages")}), config)
+    missing = error_text("IoError", F.concat(F.lit("no such file: "), F.coalesce(column, F.lit(""))))
+    return e.withColumn("error", F.when(F.col("path").isNull(), missing).otherwise(F.col("error"))).select(*df.columns, "path", "content", "error")
+
+
+def decoded(content: bytes) -> tuple[int, int, bytes]:
+    """(height, width, blue-green-red bytes) of an image; PNG and BMP by themselves, other formats where Pillow is there."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and content[28:29] == b"\0" and content[24] == 8:
+        w, h = struct.unpack(">II", content[16:24])
+        colours = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[content[25]]
+        at, data, palette = 8, b"", b""
+        while at < len(content):
+            n, kind = struct.unpack(">I4s", content[at : at + 8])
+            body = content[at + 8 : at + 8 + n]
+            data, palette = data + body if kind == b"IDAT" else data, body if kind == b"PLTE" else palette
+            at += 12 + n
+        raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * colours)
+        px = np.zeros((h, w * colours), np.uint8)
+        for y in range(h):
+            kind, row, up = raw[y, 0], raw[y, 1:], px[y - 1] if y else np.zeros(w * colours, np.uint8)
+            if kind == 0:
+                px[y] = row
+            elif kind == 2:
+                px[y] = row + up
+            elif kind == 1:
+                px[y] = np.add.accumulate(row.reshape(w, colours), axis=0, dtype=np.uint8).ravel()
+            else:
+                out = [0] * (w * colours)
+                for i, v in enumerate(row.tolist()):
+                    a = out[i - colours] if i >= colours else 0
+                    b = int(up[i])
+                    c = int(up[i - colours]) if i >= colours else 0
+                    if kind == 3:
+                        guess = (a + b) // 2
+                    else:
+                        pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                        guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                    out[i] = (v + guess) & 255
+                px[y] = out
+        px = px.reshape(h, w, colours)
+        rgb = np.frombuffer(palette, np.uint8).reshape(-1, 3)[px[..., 0]] if content[25] == 3 else px[..., :3] if colours >= 3 else np.repeat(px[..., :1], 3, 2)
+        return h, w, rgb[..., ::-1].tobytes()
+    if content[:2] == b"BM" and struct.unpack("<H", content[28:30])[0] in (24, 32) and struct.unpack("<I", content[30:34])[0] == 0:
+        start, w, h, bits = struct.unpack("<I", content[10:14])[0], *struct.unpack("<ii", content[18:26]), struct.unpack("<H", content[28:30])[0]
+        step = (w * bits // 8 + 3) // 4 * 4
+        px = np.frombuffer(content, np.uint8, step * abs(h), start).reshape(abs(h), step)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[..., :3]
+        return abs(h), w, (px[::-1] if h > 0 else px).tobytes()
+    try:
+        import io
+
+        from PIL import Image
+    except ImportError:
+        raise ValueError("no decoder for this format") from None
+    img = np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
+    return img.shape[0], img.shape[1], img[..., ::-1].tobytes()
+
+
+def decoded_images(files: DataFrame) -> DataFrame:
+    """files (content, format, error, path or null) with height, width and data in place of the content. Files with a path
+    in a format that Python has no decoder for are left to the JVM's image source by `Engine.recognise_files`."""
+
+    @F.pandas_udf("struct<height:int,width:int,data:binary,error:string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for contents, errors in batches:
+            out = []
+            for c, e in zip(contents, errors):
+                if isinstance(e, str) or c is None:
+                    out.append((None, None, None, e if isinstance(e, str) else "Invalid image: no content"))
+                    continue
+                try:
+                    out.append((*decoded(bytes(c)), None))
+                except Exception as x:  # noqa: BLE001
+                    out.append((None, None, None, f"Invalid image: {x}"))
+            yield pd.DataFrame(out, columns=["height", "width", "data", "error"]).astype({"height": "Int32", "width": "Int32"})
+
+    x = files.withColumn("_d", run("content", "error"))
+    return x.select(*[c for c in files.columns if c not in ("content", "error")], "_d.height", "_d.width", "_d.data", "_d.error")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Images as (path, height, width, n_channels, mode, data), pixels blue-green-red; an image that cannot be decoded has
     width -1."""

@@ -100,6 +100,22 @@ def test_nearest_rank(spark):
     assert metrics.nearest_rank(df, [], "v").first()["n"] == 6
 
 
+def test_nearest_rank_of_large_groups(spark):
+    """Groups above the size that a task sorts are narrowed down range by range, with the same result."""
+    rows = [(g, float(x)) for g, xs in (("a", range(-400, 900)), (None, [5.0] * 700 + [7.5, 1e300, -1e300, 0.1]), ("b", [x**3 / 7 for x in range(600)]), ("c", [1.0, 2.0])) for x in xs]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for keys in (["k"], []):
+        whole, parts = (sorted((tuple(r)[:-1] for r in metrics.nearest_rank(df, keys, "v", sortable=k).collect()), key=str) for k in (10_000, 20))
+        assert whole == parts
+
+
+def test_word_error_of_long_texts(spark):
+    many = [f"w{i}" for i in range(700)]
+    df = spark.createDataFrame([(" ".join(many), " ".join(many[1:] + ["x"])), (None, "a"), ("", ""), ("a", "")], "r string, h string")
+    got = [r[0] for r in df.select(metrics.word_error(F.col("r"), F.col("h"))).collect()]
+    assert abs(got[0] - 2 / 700) < 1e-12 and got[1:] == [None, 0.0, 1.0]
+
+
 def test_error_rates(spark):
     df = spark.createDataFrame([("", ""), ("", "x"), ("abcd", "abxd"), ("a b c", "a x c d"), ("ab", "zzzzzz")], "r string, h string")
     got = df.select(metrics.character_error(F.col("r"), F.col("h")).alias("c"), metrics.word_error(F.col("r"), F.col("h")).alias("w")).collect()

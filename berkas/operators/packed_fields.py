@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,26 +33,25 @@ _DATE = re.compile(
 _BLOOD = re.compile(r"GOL(?:ONGAN|\.)?\s*DARAH\s*:?\s*(?:AB|A|B|O|0|-)[+-]?(?![A-Za-z])|GOL\.?\s*(?:AB|A|B|O)(?![A-Za-z])", re.I)
 _NUMBER = re.compile(r"[0-9OoIlSZBD]{1,3}(?![0-9A-Za-z])")
 _HOOD_LABEL = re.compile(r"RT\s*/\s*RW|RT|RW", re.I)
+_WORD = re.compile(r"[^\s,;|/\\\-.:=\"“”]+")
+_RUN = re.compile(rf"{_WORD.pattern}(?:(?:[ ]|-|\. ?){_WORD.pattern})*")
+_QUALIFIED = re.compile(rf"(?:^|[^A-Z])({'|'.join(map(re.escape, sorted(QUALIFIERS, key=len, reverse=True)))})\s*$")
+#: words without which a text need not be searched for sexes and labels
+_SEXED, _LABELLED = re.compile("LAKI|PEREM|PRIA|WANITA"), re.compile("LAHIR|TTL")
 _HARD = ",;|/\\&"
 _SOFT = " \t\r\n-.:=_"
 
 
-@dataclass(frozen=True)
-class Grammar:
-    """What a field may hold. kind: 'birth' (place, date, further items) or 'hood' (neighbourhood numbers)."""
-
-    kind: str
-    known: tuple[str, ...] = field(default=())
-
-
 def automaton(words):
-    """A multi-pattern automaton over upper-cased values; None for an empty dictionary."""
+    """A multi-pattern automaton over upper-cased values; None for an empty dictionary. words: values, or pairs of a value
+    and whether it is a wider unit, which qualifies the place before it."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for w in words:
+        w, wide = (w, False) if isinstance(w, str) else w
         if w:
-            a.add_word(w.upper(), len(w))
+            a.add_word(_upper(w), (len(w), bool(wide)))
     if not len(a):
         return None
     a.make_automaton()
@@ -90,20 +88,21 @@ def birth_segments(text: str, known) -> list[tuple[int, int, str, float]]:
     """Candidate segments (start, end, kind, weight) of a birth field. known: an automaton or None."""
     up, n = _upper(text), len(text)
     segs: list[tuple[int, int, str, float]] = []
-    places = []
+    places, wide = [], set()
     if known is not None:
-        for end, length in known.iter(up):
+        for end, (length, wider) in known.iter(up):
             a, b = end - length + 1, end + 1
             if _edge(up, a, b):
                 places.append((a, b))
+                if wider:
+                    wide.add((a, b))
     grown = []
     for a, b in places:
         head = up[max(0, a - 14) : a]
-        for q in QUALIFIERS:
-            if (m := re.search(rf"(?:^|[^A-Z]){re.escape(q)}\s*$", head)) is not None:
-                at = a - len(head) + m.start() + (0 if m.group().startswith(q) else 1)
-                grown.append((at, b))
-                break
+        if (m := _QUALIFIED.search(head)) is not None:
+            grown.append((a - len(head) + m.start(1), b))
+            if (a, b) in wide:
+                wide.add(grown[-1])
     spans = {*places, *grown}
     starts = {}
     for a, b in spans:
@@ -114,20 +113,20 @@ def birth_segments(text: str, known) -> list[tuple[int, int, str, float]]:
         m = re.compile(r"\s*,\s*").match(text, b)
         if m:
             for c in starts.get(m.end(), ()):
-                if up[m.end() : c].startswith(("NUSA ", "PROV", "PULAU ")):
+                if (m.end(), c) in wide and (a, b) not in wide:
                     segs.append((a, c, "value", 4.0 * (c - a)))
     for m in _DATE.finditer(text):
         if sum(c.isdigit() for c in m.group()) >= 4:
             segs.append((m.start(), m.end(), "date", 5.0 * (m.end() - m.start())))
-    for m in _BLOOD.finditer(text):
+    for m in _BLOOD.finditer(text) if "GOL" in up else ():
         segs.append((m.start(), m.end(), "item", 4.0 * (m.end() - m.start())))
-    for s in SEXES:
+    for s in SEXES if _SEXED.search(up) else ():
         i = up.find(s)
         while i >= 0:
             if _edge(up, i, i + len(s)):
                 segs.append((i, i + len(s), "item", 4.0 * len(s)))
             i = up.find(s, i + 1)
-    for label in BIRTH_LABELS:
+    for label in BIRTH_LABELS if _LABELLED.search(up) else ():
         i = up.find(label)
         while i >= 0:
             if _edge(up, i, i + len(label)):
@@ -139,10 +138,10 @@ def birth_segments(text: str, known) -> list[tuple[int, int, str, float]]:
     for a, b in _quoted(text):
         segs.append((a, b, "quoted", 8.0 * (b - a)))
     # unknown runs: words up to the next separator, for values the dictionary lacks
-    for m in re.finditer(r"[^\s,;|/\\\-.:=\"“”]+(?:(?:[ ]|-|\. ?)[^\s,;|/\\\-.:=\"“”]+)*", text):
+    for m in _RUN.finditer(text):
         segs.append((m.start(), m.end(), "unknown", 1.0 * (m.end() - m.start()) - 0.5))
-        for w in re.finditer(r"[^\s,;|/\\\-.:=\"“”]+", m.group()):
-            segs.append((m.start() + w.start(), m.start() + w.end(), "unknown", 0.9 * (w.end() - w.start()) - 1))
+        for w in _WORD.finditer(text, m.start(), m.end()):
+            segs.append((w.start(), w.end(), "unknown", 0.9 * (w.end() - w.start()) - 1))
     return segs
 
 
@@ -236,25 +235,28 @@ def unpack(text: str | None, kind: str, known=None) -> list[tuple[int, str]]:
 _PIECES = "array<struct<pos:int,piece:string>>"
 
 
-def unpacked(value: Column, kind: str, words: list[str]) -> Column:
+def unpacked(value: Column, kind: str, words: list) -> Column:
     """Array of (pos, piece) of a text column. words: the dictionary, small enough to go along with each task."""
 
     @F.pandas_udf(_PIECES)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = automaton(words)
         for s in batches:
-            yield s.map(lambda t: [{"pos": p, "piece": v} for p, v in unpack(t, kind, known)] if t is not None else [])
+            # a value that many records share is cut once a batch
+            cut = {t: [{"pos": p, "piece": v} for p, v in unpack(t, kind, known)] for t in set(s.dropna())}
+            yield s.map(lambda t: cut.get(t, []))  # noqa: B023
 
     return run(value)
 
 
 def unpacked_by_hits(value: Column, hits: Column, kind: str) -> Column:
-    """As unpacked, where each row brings the dictionary values that it holds."""
+    """As unpacked, where each row brings the dictionary values (word, wide) that it may hold."""
 
     @F.pandas_udf(_PIECES)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for s, h in batches:
-            yield pd.Series([[{"pos": p, "piece": v} for p, v in unpack(t, kind, automaton([] if w is None else list(w)))] for t, w in zip(s, h)])
+            known = [automaton([] if w is None else [(x["word"], x["wide"]) for x in w]) for w in h]
+            yield pd.Series([[{"pos": p, "piece": v} for p, v in unpack(t, kind, k)] for t, k in zip(s, known)], dtype=object)
 
     return run(value, hits)
 
@@ -267,27 +269,38 @@ def known_values(*columns: tuple[DataFrame, str], min_rows: int = 2) -> DataFram
         part = df.select(F.upper(F.trim(F.col(name))).alias("word"))
         out = part if out is None else out.unionAll(part)
     bare = F.regexp_replace("word", r"^(KABUPATEN|KAB\.|KAB|KOTA|KODYA|PROVINSI)\s+", "")
-    return out.where("word <> ''").groupBy(bare.alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("word")
+    return out.where(F.col("word").rlike(r"[\p{L}\p{N}]")).groupBy(bare.alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("word")
 
 
-def split_packed(df: DataFrame, key: str, fields: dict[str, str], words: DataFrame, *, broadcast_limit: int = 50_000) -> DataFrame:
-    """One row (key, field_name, pos, piece) per value in the columns `fields` (column -> kind) of `df`.
+def _runs(text: Column) -> Column:
+    """The runs of letters and digits of a text, upper case."""
+    return F.filter(F.split(F.upper(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
 
-    A dictionary of up to `broadcast_limit` words goes to each task in the closure. Beyond that the word sequences of
-    each row are joined with the dictionary instead (a hash join on the word), and each row carries its own hits; the
-    result is the same."""
-    got = [r[0] for r in words.limit(broadcast_limit + 1).collect()]
+def split_packed(df: DataFrame, key: str, fields: dict[str, str], words: DataFrame, *, broadcast_limit: int = 50_000) -> DataFrame:
+    """One row (key, field_name, pos, piece) per value in the columns `fields` (column -> kind) of `df`. words: the
+    dictionary (word and, if there, wide: a unit that qualifies the place before it).
+
+    A dictionary of up to `broadcast_limit` words goes to each task in the closure. Beyond that each row brings the words
+    that it may hold: runs of letters and digits of dictionary and field are joined, in sequences as long as the longest
+    word of the dictionary. A word can stand in a field at word edges only where its runs do, so no hit is missing, and the
+    same automaton and cover decide: the result is the same."""
+    words = words if "wide" in words.columns else words.withColumn("wide", F.lit(False))
+    words = words.select("word", "wide")
+    got = [(r["word"], r["wide"]) for r in words.limit(broadcast_limit + 1).collect()]
     parts = None
     for name, kind in fields.items():
         src = df.select(F.col(key).alias("key"), F.col(name).alias("packed")).where("packed is not null")
-        if len(got) <= broadcast_limit:
+        if len(got) <= broadcast_limit or kind != "birth":
             found = src.withColumn("p", unpacked(F.col("packed"), kind, got if kind == "birth" else []))
         else:
-            toks = F.filter(F.split(F.upper("packed"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-            grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("toks") - n + 1)), lambda i: F.array_join(F.slice("toks", i, n), " "))))
-            hits = src.distinct().withColumn("toks", toks).select("key", "packed", F.explode(F.array_distinct(grams)).alias("word")).join(words, "word")
-            hits = hits.groupBy("key", "packed").agg(F.collect_set("word").alias("hits"))
-            found = src.join(hits, ["key", "packed"], "left").withColumn("p", unpacked_by_hits(F.col("packed"), F.col("hits"), kind))
+            entries = words.withColumn("runs", _runs(F.col("word"))).where("size(runs) > 0").select("word", "wide", F.size("runs").alias("n"), F.array_join("runs", " ").alias("gram"))
+            longest = entries.agg(F.max("n")).first()[0] or 1
+            grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("runs"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("runs") - n + 1), lambda i: F.array_join(F.slice("runs", i, n), " "))))
+            texts = src.select("packed").distinct().withColumn("runs", _runs(F.col("packed"))).where("size(runs) > 0")
+            hits = texts.select("packed", F.explode(F.array_distinct(grams)).alias("gram")).join(entries, "gram")
+            hits = hits.groupBy("packed").agg(F.collect_set(F.struct("word", "wide")).alias("hits"))
+            found = src.join(hits, "packed", "left").withColumn("p", unpacked_by_hits(F.col("packed"), F.col("hits"), kind))
         rows = found.select("key", F.lit(name).alias("field_name"), F.explode("p").alias("p")).select(F.col("key").alias(key), "field_name", "p.pos", "p.piece")
         parts = rows if parts is None else parts.unionAll(rows)
     return parts

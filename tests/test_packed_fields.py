@@ -62,6 +62,17 @@ def test_both_ways_agree_and_columns_may_clash(spark):
     assert split_packed(df.limit(0), "rec_id", {"born": "birth"}, words).count() == 0
 
 
+def test_both_ways_agree_on_marks_and_long_names(spark):
+    """Dictionary values with points, commas, hyphens and more than four words, on either side of the limit."""
+    places = [("ST. MARIA, BARU", False), ("MUARA-SARI, UTARA", False), ("D.I. KOTA LAMA DI ATAS BUKIT TINGGI", False), ("SARI", False), ("KEP. LOR", True), ("BARU", False)]
+    texts = ["ST. MARIA, BARU 01-02-1990", "MUARA-SARI, UTARA / 1 Mei 1990", "Kab. Sari, Kep. Lor; 02-03-1991", "D.I. KOTA LAMA DI ATAS BUKIT TINGGI, 1990-01-02", "st maria baru, 01-02-1990", "SARI BARU", "KEP. LOR, SARI", ", 01-02-1990"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_id long, born string")
+    words = spark.createDataFrame(places, "word string, wide boolean")
+    a, b = ({tuple(r) for r in split_packed(df, "rec_id", {"born": "birth"}, words, broadcast_limit=k).collect()} for k in (100, 1))
+    assert a == b
+    assert {(0, "born", 1, "ST. MARIA, BARU"), (1, "born", 1, "MUARA-SARI, UTARA"), (2, "born", 1, "Kab. Sari, Kep. Lor"), (3, "born", 1, "D.I. KOTA LAMA DI ATAS BUKIT TINGGI"), (7, "born", 2, "01-02-1990")} <= a
+
+
 def test_dictionary_counts_all_rows(spark):
     df = spark.createDataFrame([("KOTA BUMIBALA",), ("KABUPATEN BUMIBALA",), ("KOTA X",), (None,), ("",)], "k string")
     assert [r[0] for r in known_values((df, "k")).collect()] == ["BUMIBALA"]

@@ -16,6 +16,7 @@ whole; equal lengths are told apart by document number; an empty table gives no
 from __future__ import annotations
 
 import bisect
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: the vocabulary file of a public tokenizer; on a cluster it has to lie at one path on all workers, or goes along with the
+#: job (`--files`) and is named here. TOKENIZER_FILE in the environment of the driver names another.
+TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _ENCODERS: dict[str, object] = {}
 
 
@@ -81,9 +84,22 @@ class Packing:
         self.free: dict[int, list[tuple[int, int]]] = {}  # gap -> (first bin, number of bins)
         left = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
         large = sorted(s for s in left if 3 * s > capacity)
-        while large:
-            a = large[-1]
-            i = bisect.bisect_right(large, capacity - a) - 1
+        # partners: large sizes that may still have items, found by their place; places once empty are skipped for good
+        below = list(range(len(large)))  # below[i]: the nearest place at or under i with items left, by path halving
+
+        def holds(i: int) -> int:
+            while i >= 0 and not left[large[i]]:
+                below[i] = below[i] if below[i] < i else i - 1
+                step = below[i]
+                if step >= 0 and below[step] < step:
+                    below[i] = below[step]
+                i = below[i]
+            return i
+
+        top = len(large) - 1
+        while (top := holds(top)) >= 0:
+            a = large[top]
+            i = holds(bisect.bisect_right(large, capacity - a) - 1)
             b = large[i] if i >= 0 else None
             if b is None:
                 k = left[a]
@@ -99,8 +115,9 @@ class Packing:
                     self._gap(capacity - 2 * a, at, k)
                     left[a] -= 2 * k
                 if left[a]:  # an odd one: with the next smaller large one, if any
-                    if i > 0:
-                        b = large[i - 1]
+                    i = holds(top - 1)
+                    if i >= 0:
+                        b = large[i]
                         at = self._open(1)
                         self._put(a, 1, at, 1)
                         self._put(b, 1, at, 1)
@@ -119,7 +136,6 @@ class Packing:
                 self._gap(capacity - a - b, at, k)
                 left[a] -= k
                 left[b] -= k
-            large = [s for s in large if left[s] > 0]
         for s in sorted((s for s in left if 3 * s <= capacity), reverse=True):
             n = left[s]
             while n:

@@ -12,7 +12,7 @@ from berkas.llm.pagenoise import _FIRST, _SECOND, corrections, cut_cells, follow
 from berkas.llm.pii import name_tokens, placeholders, previous_line, spans, with_tokens
 from berkas.llm.mixing import mixed, shares
 from berkas.llm.packing import packed, token_count
-from berkas.llm.percentiles import bounds, multi_select, summaries
+from berkas.llm.percentiles import bounds, merged, multi_select, summaries
 from berkas.llm.subjects import SHARE, fitted, passages, subject_shares
 from berkas.operators.packed_fields import known_values
 from berkas.session import stored
@@ -126,9 +126,15 @@ def p4_cells(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("cell_id", "doc", F.coalesce(joined_cell(F.col("text"), F.col("w")), F.col("text")).alias("text"))
 
 
+MOST_SUBJECTS = 1000  #: subjects and capacities are short lists; a table with more of them is refused, not cut
+MOST_CAPACITIES = 1000
+
+
 def _subject_shares(spark: SparkSession, folder: str, least: float) -> DataFrame:
     docs = stored(table(spark, folder, "documents").where("text is not null").select("doc_id", passages(F.col("text")).alias("p")).where("size(p) > 0"))
-    names = sorted(r[0] for r in table(spark, folder, "subjects").select("subject").distinct().limit(1000).collect() if r[0])
+    names = sorted(r[0] for r in table(spark, folder, "subjects").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect() if r[0])
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     return subject_shares(docs, fitted(docs, table(spark, folder, "subject_labels"), names), least)
 
 
@@ -174,23 +180,30 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return _wide(rows, "value").withColumn("max_rank_error", F.lit(0).cast("long"))
 
 
+def _days(spark: SparkSession, folder: str) -> DataFrame:
+    return merged(summaries(_timings(spark, folder), P2_KINDS[:3], P2_MEASURES, part="day", slices=P2_SLICES), slices=P2_SLICES)
+
+
 def p2_day_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """Summaries of each day by worker, format and account: the form in which days are kept and later combined."""
-    s = summaries(_timings(spark, folder), P2_KINDS[:3], P2_MEASURES, part="day", slices=P2_SLICES)
-    return _named(s).select("grouping", "grp", "measure", F.col("part").alias("day"), "n", F.col("vals").alias("slice_ends"), F.col("cum").alias("ranks"))
+    """Summaries of each day by worker, format and account, a row per slice: the form in which days are kept and later
+    combined. The rank of a value between two slice ends is off by less than max_rank_error and their distance."""
+    s = _named(_days(spark, folder)).select("grouping", "grp", "measure", F.col("part").alias("day"), "n", F.col("err").alias("max_rank_error"), F.explode(F.arrays_zip("cum", "vals")).alias("z"))
+    return s.select("grouping", "grp", "measure", "day", "n", "max_rank_error", F.col("z.cum").alias("rank"), F.col("z.vals").cast("double").alias("slice_end"))
 
 
 def p2_combined(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles from the day summaries put together, without the measurements, each with its error bound in ranks."""
-    s = summaries(_timings(spark, folder), P2_KINDS[:3], P2_MEASURES, part="day", slices=P2_SLICES)
-    return _wide(bounds(s, P2_PROBS), "hi", "error").withColumnRenamed("error", "max_rank_error")
+    return _wide(bounds(_days(spark, folder), P2_PROBS), "hi", "error").withColumnRenamed("error", "max_rank_error")
 
 
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its containers of each capacity."""
     docs = stored(table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens")))
     out = None
-    for r in table(spark, folder, "pack_sizes").where("capacity_tokens > 0").limit(1000).collect():
+    sizes = table(spark, folder, "pack_sizes").where("capacity_tokens > 0").limit(MOST_CAPACITIES + 1).collect()
+    if len(sizes) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    for r in sizes:
         x = packed(docs, r["capacity_tokens"]).select(F.lit(r["size_name"]).alias("size_name"), F.lit(r["capacity_tokens"]).alias("capacity_tokens"), "bin_id", "doc_id", "piece", "start_token", "n_tokens")
         out = x if out is None else out.unionAll(x)
     return out if out is not None else spark.createDataFrame([], "size_name string, capacity_tokens int, bin_id long, doc_id long, piece int, start_token int, n_tokens int")
@@ -204,7 +217,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("source is not null and text is not null")
-    return mixed(docs.select("doc_id", "source", F.xxhash64(F.trim("text")).alias("text_key"), token_count(F.col("text")).alias("n_tokens")), table(spark, folder, "mix_targets"))
+    return mixed(docs.select("doc_id", "source", F.md5(F.trim("text")).alias("text_key"), token_count(F.col("text")).alias("n_tokens")), table(spark, folder, "mix_targets"))
 
 
 def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,20 +233,25 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries, "p2_combined": p2_combined, "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p4_cells": p4_cells, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p9_found": p9_found, "p9_composition": p9_composition}
-SQL: dict[str, str] = {
-    "p2_percentiles": """
+_RANKED = """
 with t as (select distinct doc, worker_id, doc_format, cast(account_id as varchar) as account_id, strftime(ts, '%Y-%m-%d') as "day",
                   total_ms, detection_ms, recognition_ms from stage_timing),
 k as (select 'worker_id' as "grouping", worker_id as grp, * from t union all select 'doc_format', doc_format, * from t
       union all select 'account_id', account_id, * from t union all select 'day', "day", * from t),
-m as (select "grouping", grp, 'total_ms' as measure, total_ms as v from k union all select "grouping", grp, 'detection_ms', detection_ms from k
-      union all select "grouping", grp, 'recognition_ms', recognition_ms from k),
+m as (select "grouping", grp, "day", 'total_ms' as measure, total_ms as v from k union all select "grouping", grp, "day", 'detection_ms', detection_ms from k
+      union all select "grouping", grp, "day", 'recognition_ms', recognition_ms from k),
 ok as (select * from m where v is not null and not isnan(v) and v >= 0),
-r as (select "grouping", grp, measure, v, row_number() over (partition by "grouping", grp, measure order by v) as i,
+r as (select "grouping", grp, "day", measure, v, row_number() over (partition by "grouping", grp, measure order by v) as i,
              count(*) over (partition by "grouping", grp, measure) as n from ok)
-select "grouping", grp, measure, n,
+"""
+_PICKED = """select "grouping", grp, measure, n,
        cast(max(case when i = greatest(1, ceil(round(n * 0.5, 9))) then v end) as double) as p50, cast(max(case when i = greatest(1, ceil(round(n * 0.9, 9))) then v end) as double) as p90,
        cast(max(case when i = greatest(1, ceil(round(n * 0.95, 9))) then v end) as double) as p95, cast(max(case when i = greatest(1, ceil(round(n * 0.99, 9))) then v end) as double) as p99,
        cast(0 as bigint) as max_rank_error
-from r group by all""",
+from r"""
+SQL: dict[str, str] = {
+    "p2_percentiles": f"{_RANKED} {_PICKED} group by all",
+    # at the size of the check a day's summary holds every value, so the summaries and what is combined of them are exact
+    "p2_combined": f"""{_RANKED} {_PICKED} where "grouping" <> 'day' group by all""",
+    "p2_day_summaries": _RANKED.replace('partition by "grouping", grp, measure', 'partition by "grouping", grp, measure, "day"') + """ select "grouping", grp, measure, "day", n, cast(0 as bigint) as max_rank_error, i as rank, cast(v as double) as slice_end from r where "grouping" <> 'day'""",
 }

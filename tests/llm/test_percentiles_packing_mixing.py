@@ -58,6 +58,33 @@ def test_summaries_combine_with_their_bound(spark):
         assert low - r["error"] <= r["k"] <= high + r["error"]
 
 
+@pytest.mark.parametrize("slices, fine, page", [(64, 2048, 0), (2, 3, 0)])
+def test_open_ranges_joined_with_the_table(spark, monkeypatch, slices, fine, page):
+    """Where too many ranges are open for a closure they are joined; the result is the same."""
+    for name, value in (("SLICES", slices), ("FINE", fine), ("PAGE", page)):
+        monkeypatch.setattr(percentiles, name, value)
+    monkeypatch.setattr(percentiles.summaries, "__kwdefaults__", {"part": None, "slices": slices})
+    monkeypatch.setattr(percentiles.merged, "__kwdefaults__", {"slices": fine, "fan": 2})
+    df, rows = values(spark)
+    got = {}
+    for r in percentiles.multi_select(df.repartition(5), ["g", "day"], ["v"], PROBS).collect():
+        got.setdefault((["g", "day"][r["kind"]], r["grp"]), [0] * 3)[r["q"]] = np.float32(r["value"])
+    assert got == {("g", k): v for k, v in exact(rows, 1).items()} | {("day", k): v for k, v in exact(rows, 2).items()}
+
+
+@pytest.mark.parametrize("slices", [16, 4096])
+def test_merged_in_a_tree(spark, monkeypatch, slices):
+    monkeypatch.setattr(percentiles, "CHUNK", 20)
+    df, rows = values(spark)
+    s = percentiles.merged(percentiles.summaries(df.repartition(7), ["g"], ["v"], part="day", slices=slices), slices=slices, fan=3)
+    kept = s.collect()
+    assert len({(r["grp"], r["part"]) for r in kept}) == len(kept) and all(len(r["vals"]) <= slices for r in kept)
+    for r in percentiles.bounds(s, PROBS).collect():
+        v = sorted(np.float32(x[3]) for x in rows if x[1] == r["grp"] and x[3] is not None and x[3] >= 0)
+        low, high = np.searchsorted(v, np.float32(r["hi"]), "left") + 1, np.searchsorted(v, np.float32(r["hi"]), "right")
+        assert r["n"] == len(v) and low - r["error"] <= r["k"] <= high + r["error"] and (slices == 16 or r["error"] == 0)
+
+
 def test_empty_and_unusable(spark):
     df = spark.createDataFrame([(1, "a", "d", None), (2, "a", "d", float("nan")), (3, None, "d", -5.0)], "doc long, g string, day string, v float")
     assert percentiles.multi_select(df, ["g"], ["v"], PROBS).count() == 0
@@ -91,6 +118,12 @@ def test_packing_is_whole_and_within_capacity(sizes):
     assert p.bins <= len(ffd) * 11 / 9 + 1
 
 
+def test_packing_of_very_many_sizes():
+    sizes = {s: 1 + s % 3 for s in range(1, 60_000)}
+    p = packing.Packing(sizes, 128_000)
+    assert p.bins * 128_000 >= sum(s * n for s, n in sizes.items()) and sum(b - a for _, a, b, _, _ in p.ranges) == sum(sizes.values())
+
+
 @pytest.mark.parametrize("chunk_rows", [1_000_000, 7])
 def test_packed_documents(spark, chunk_rows):
     rng = random.Random(4)

@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from berkas.session import session
+    from berkas.session import clear_stored, session
 
     s = session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_stored()
     s.stop()

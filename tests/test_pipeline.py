@@ -182,3 +182,26 @@ def test_json(spark):
     p = spark.createDataFrame([(1, 2, "ocr", "dua", 0.5, 10, 20), (1, 1, "native_text", "satu", 1.0, 10, 20)], "doc long, page_number int, source string, text string, confidence double, width int, height int")
     j = json.loads(export.pages_json(p, ["doc"], pretty=True).first()["json"])
     assert j["text"] == "satu\n\ndua" and j["confidence"] == 0.75 and j["pages"][0]["dimensions"] == [10, 20]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from berkas.__main__ import main
+
+    a = tmp_path / "a.png"
+    a.write_bytes(png(picture(BOXES)))
+    e = Engine(spark, recogniser=recogniser, detector=detector)
+    assert main([str(a), "--searchable-pdf", str(tmp_path / "pdf"), "--annotate", str(tmp_path / "marked")], e) == 0
+    assert capsys.readouterr().out == "merah hijau\nbiru\n"
+    assert (tmp_path / "pdf" / "a.png.pdf").read_bytes().count(b"Tj") == 2
+    assert spark.read.parquet(str(tmp_path / "marked")).count() == 1
+    assert main([str(a), "--format", "json", "--no-deskew"], e) == 0
+    assert [x["text"] for x in json.loads(capsys.readouterr().out)["lines"]] == ["merah hijau", "biru"]
+    assert main([str(a)], Engine(spark)) == 1 and "Model not found" in capsys.readouterr().err
+    assert main(["x.pdf"], e) == 1 and main(["info"]) == 0 and main([str(a), "--lang", "xx"], e) == 2
+    words = spark.createDataFrame([(1, 1, 0, "Nama: Sari", 0.9, 0.0, 0.0, 9.0, 9.0)], "doc long, page int, idx int, text string, conf double, min_x double, min_y double, max_x double, max_y double")
+    words.write.parquet(str(tmp_path / "w"))
+    capsys.readouterr()
+    assert main([str(tmp_path / "w"), "--schema", "key-values"], e) == 0
+    assert json.loads(capsys.readouterr().out) == {"key_values": [{"key": "Nama", "value": "Sari"}]}

@@ -19,6 +19,8 @@ DETECTION = ["PP-OCRv6_det_small.onnx", "ppocrv6_small_det.onnx"]
 RECOGNITION = ["PP-OCRv6_rec_small.onnx", "ppocrv6_small_rec.onnx"]
 CHARACTERS = ["ppocrv6_keys.txt", "ppocr_keys_v1.txt"]
 FOLDERS = ["./models", "./models/ocr", "../ocr/models/ocr", "../models"]
+LIBRARIES = ["./libs", "../libs", "../ocr/libs", "./bin"]
+LIBRARY_NAMES = ["libpdfium.so", "libpdfium.dylib", "pdfium.dll"]
 _OPEN: dict[tuple, object] = {}
 
 
@@ -35,6 +37,14 @@ def model_folder() -> Path:
     return next((Path(f) for f in FOLDERS if Path(f).exists()), cache_folder() / "models")
 
 
+def pdf_library(config: Config) -> str | None:
+    """The file of a PDF renderer: the one that is set, PDFIUM_PATH, or one in a usual folder; None where there is none. What
+    opens it is given to the engine as its parser."""
+    named = [config.pdf_library_path, os.environ.get("PDFIUM_PATH")]
+    usual = [str(Path(f) / n) for f in (*LIBRARIES, str(cache_folder() / "libs")) for n in LIBRARY_NAMES]
+    return next((p for p in [*named, *usual] if p and Path(p).is_file()), None)
+
+
 def resolved(config: Config) -> Config:
     """The settings with paths of models and characters filled in where they are not set; the first name stands for one
     that does not exist."""

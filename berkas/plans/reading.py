@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from berkas.config import ERRORS, error_text, language_of, languages
+from berkas.engine import Engine
 from berkas.functions import geometry as geo
 from berkas.functions.text import normalized
 from berkas.operators import dedup, export, layout, metrics, nms, pages, recognition, results, tables, vision
@@ -397,6 +400,56 @@ def export_line_json(spark: SparkSession, folder: str) -> DataFrame:
     return ln.select("doc", "page", "line_no", export.as_json("line_no", "text", "n_words").alias("json"))
 
 
+def export_result_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole results as JSON, read again."""
+    j = export.document_json(layout.grouped_lines(words(spark, folder), PAGE), PAGE)
+    at = lambda path: F.get_json_object("json", path)
+    return j.select("doc", "page", at("$.text").alias("text"), F.round(at("$.confidence").cast("double"), 6).alias("confidence"), F.json_array_length(at("$.lines")).alias("n_lines"), F.json_array_length(at("$.regions")).alias("n_regions"),
+                    at("$.lines[0].text").alias("first_line"), at("$.regions[0].bbox.max_x").cast("double").alias("first_max_x"), at("$.regions[0].line_number").cast("int").alias("first_line_no"))
+
+
+def _pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """Pictures of 96 by 64 pixels, each with a bar of one of three colours in one of four places; every fifth is blank, every
+    seventh has no pixels."""
+
+    @F.pandas_udf("binary")
+    def drawn(ids: pd.Series) -> pd.Series:
+        out = []
+        for i in ids:
+            if i % 7 == 0:
+                out.append(None)
+                continue
+            px = np.full((64, 96, 3), 250, np.uint8)
+            if i % 5:
+                x, y = 10 + 20 * (i % 2), 10 + 24 * (i // 2 % 2)
+                px[y : y + 14, x : x + 50] = 20
+                px[y : y + 14, x : x + 50, 2 - i % 3] = 220
+            out.append(px.tobytes())
+        return pd.Series(out, dtype=object)
+
+    e = table(spark, folder, "embeddings").select("vec_id")
+    return e.select("vec_id", F.lit(64).alias("height"), F.lit(96).alias("width"), drawn("vec_id").alias("data"))
+
+
+def recognise_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The way from pixels to text with stand-in models: to the detector coloured pixels are text, and the recogniser names
+    the colour. A picture without pixels has an error and the others go on."""
+
+    def detector(tensor):
+        rgb = tensor[0].transpose(1, 2, 0) * vision.DEVIATION + vision.MEAN
+        return np.where(rgb.max(2) - rgb.min(2) > 0.3, 0.9, 0.0)
+
+    def recogniser(crops):
+        out = []
+        for c in crops:
+            px = c.reshape(-1, 3).astype(int)
+            out.append((["merah", "hijau", "biru"][px[(px.max(1) - px.min(1)).argmax()].argmax()], 0.9))
+        return out
+
+    found = Engine(spark, recogniser=recogniser, detector=detector).recognise(_pictures(spark, folder))
+    return found.select("vec_id", F.size("regions").alias("n_regions"), F.array_join(F.transform("regions", lambda r: r["text"]), " ").alias("text"), "error")
+
+
 def export_text_layer(spark: SparkSession, folder: str) -> DataFrame:
     ln = layout.line_table(layout.grouped_lines(words(spark, folder), PAGE), PAGE)
     p = ln.groupBy(*PAGE).agg(F.max("max_x").alias("width"), F.max("max_y").alias("height"))
@@ -409,7 +462,7 @@ QUERIES = {
         page_text, group_lines, line_agg, reading_columns, sorted_lines, table_from_boxes, iou_pairs, nms_boxes, polygon_measures, skew_angle, crop_boxes, input_sizes, rec_batches, ctc_argmax, ctc_decode,
         second_pass_merge, legible_regions, filter_confidence, search_regions, batch_summary, dedup_native_ocr, page_routing, pdf_document, hash_cache, char_error, word_error, percentiles, timing_summary,
         sniff_format, path_checks, supported_formats, language_list, language_codes, error_messages, confidence_bands, pixel_variance, pixel_blur, pixel_threshold, pixel_contrast, pixel_turned, pixel_contours, quad_crops, batch_texts, det_scores, moment_angles, pdf_page, export_tsv, export_hocr, export_table_csv, export_table_markdown,
-        export_table_json, export_line_json, export_text_layer,
+        export_table_json, export_line_json, export_result_json, export_text_layer, recognise_images,
     )
 }
 
@@ -584,6 +637,12 @@ select l.doc, string_agg(line || case when i = 1 then rule else '' end, '' order
     "export_line_json": f"""with {_LINES} select doc, page, line_no, '{{"line_no":' || line_no || ',"text":' || cast(to_json(text) as varchar) || ',"n_words":' || n_words || '}}' as json from ln""",
     "export_table_json": f"""with {_MAT}, k as (select doc, row_no, col_no, '{{' || chr(10) || '    "text" : ' || cast(to_json(text) as varchar) || ',' || chr(10) || '    "confidence" : ' || coalesce(cast(round(confidence, 2) as varchar), 'null') || ',' || chr(10) || '    "row" : ' || row_no || ',' || chr(10) || '    "col" : ' || col_no || chr(10) || '  }}' as j from c),
 r as (select doc, row_no, '[ ' || string_agg(j, ', ' order by col_no) || ' ]' as j from k group by doc, row_no) select doc, '{{' || chr(10) || '  "rows" : [ ' || string_agg(j, ', ' order by row_no) || ' ]' || chr(10) || '}}' as json from r group by doc""",
+    "export_result_json": f"""with {_LINES}, c as (select doc, page, round(coalesce(avg(conf), 0), 6) as confidence, count(*) as n_regions from g group by all),
+t as (select doc, page, string_agg(text, chr(10) order by line_no) as text, count(*) as n_lines, arg_min(text, line_no) as first_line from ln group by all),
+f as (select doc, page, arg_min(max_x, idx) as first_max_x, arg_min(line_no, idx) as first_line_no from g group by all)
+select t.doc, t.page, text, confidence, cast(n_lines as integer) as n_lines, cast(n_regions as integer) as n_regions, first_line, first_max_x, first_line_no from t join c on t.doc = c.doc and t.page = c.page join f on t.doc = f.doc and t.page = f.page""",
+    "recognise_images": """select vec_id, case when vec_id % 7 = 0 or vec_id % 5 = 0 then 0 else 1 end as n_regions, case when vec_id % 7 = 0 or vec_id % 5 = 0 then '' else ['merah', 'hijau', 'biru'][cast(vec_id % 3 as integer) + 1] end as text,
+case when vec_id % 7 = 0 then 'Invalid image: Image has zero width or height' end as error from embeddings""",
     "export_text_layer": f"""with {_LINES}, p as (select doc, page, max(max_x) as w, max(max_y) as h from ln group by doc, page),
 t as (select ln.doc, ln.page, line_no, greatest(max_y - min_y, 6) as lh, min_x, h - min_y as up, text from ln join p on ln.doc = p.doc and ln.page = p.page where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
 ly as (select doc, page, string_agg('/F1 ' || printf('%.2f', lh * 0.9) || ' Tf' || chr(10) || '1 0 0 1 ' || printf('%.2f', min_x) || ' ' || printf('%.2f', up - lh) || ' Tm' || chr(10) || '(' || regexp_replace(replace(replace(replace(text, '\\', '\\\\'), '(', '\\('), ')', '\\)'), '[^\\x20-\\x7E]', ' ', 'g') || ') Tj' || chr(10), '' order by line_no) as b from t group by doc, page)

@@ -116,6 +116,9 @@ def test_models(tmp_path, monkeypatch):
     probs = np.array([[0.1, 0.9, 0, 0], [0.1, 0.9, 0, 0], [0.9, 0.1, 0, 0], [0, 0.8, 0, 0.1], [0, 0, 0, 0.6]])
     assert models.greedy(probs, ["a", "b"]) == ("aa", pytest.approx((0.9 + 0.8 + 0.6) / 3))
     models.warmed(None, None)
+    assert models.pdf_library(Config()) is None
+    monkeypatch.setenv("PDFIUM_PATH", str(tmp_path / "ppocrv6_keys.txt"))
+    assert models.pdf_library(Config()).endswith("keys.txt") and models.pdf_library(Config(pdf_library_path=str(tmp_path / "ppocrv6_small_det.onnx"))).endswith("det.onnx")
 
 
 def test_pdf_pages(spark):

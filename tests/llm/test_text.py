@@ -186,7 +186,7 @@ def test_subjects_held_out(spark):
 def test_queries_run(spark):
     from berkas.llm import queries
 
-    for name in ("p3_found", "p4_paragraphs", "p6_found", "p7_fill", "p8_shares", "p2_combined", "p5_redacted", "p9_composition"):
+    for name in ("p3_found", "p4_paragraphs", "p4_cells", "p6_found", "p7_fill", "p8_shares", "p2_combined", "p5_redacted", "p9_composition"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 

@@ -3,7 +3,7 @@
 Regular expressions propose spans. Validators confirm or reject them: the date inside an identity number, Luhn for
 payment cards, mod-97 for bank accounts, digit counts for phone and tax numbers. Words near the span raise or lower its
 score; a span counts from `THRESHOLD` on. Names are proposed by a dictionary of name tokens and joined with their
-neighbours; misread letters are allowed for. Of overlapping spans the one with the higher score stays.
+neighbours; misread letters are allowed for. Which words announce a name is learnt from the texts (`name_contexts`). Of overlapping spans the one with the higher score stays.
 
 Edge cases: a null or empty text has no spans and stays as it is; texts of any length are searched whole; the same value
 twice gives two spans; repeated rows give the same spans, which the query makes distinct; an empty dictionary of names
@@ -36,15 +36,15 @@ NAME_BREAK = r"[\s.,;:/()\"]+"
 # Digits and signs that scanning puts for letters.
 MISREAD_FROM, MISREAD_TO = "0158@43+|", "OISBAAETI"
 
-# Words that speak for or against a kind of number.
-PHONE_WORDS = re.compile(r"(?i)telp|telepon|phone|hp\b|kontak|contact|hubungi|layanan|darurat|wa\b|fax|call|\bdi\b|\bon\b|left|at\b")
+# Words that speak for or against a kind of number, and labels of names.
+PHONE_WORDS = re.compile(r"(?i)telp|telepon|phone|hp\b|kontak|contact|hubungi|layanan|darurat|wa\b|fax|call")
 CODE_WORDS = re.compile(r"(?i)\b(?:resi|unggah|seri|serial|pesanan|order|tracking|kode|code|upload|parcel|faktur|invoice|inv|po|agenda|halaman|page)\b[^.;]{0,12}$")
 NIK_WORDS = re.compile(r"(?i)nik|identitas|identity|ktp")
 TAX_WORDS = re.compile(r"(?i)npwp|tax|pajak")
 SIM_WORDS = re.compile(r"(?i)\bsim\b|licen[cs]e|mengemudi")
 TITLE_BEFORE = frozenset("H HJ DR DRG DRS DRA IR PROF MR MRS MS BAPAK IBU PAK BU SDR SDRI YTH TN NY NN".split())
 FIRM_BEFORE = frozenset("PT CV UD TOKO WARUNG KLINIK APOTEK BENGKEL RESTORAN RESTO RUMAH MAKAN MINIMARKET KEDAI KOPI FA FIRMA YAYASAN KOPERASI".split())
-NAME_WORDS = re.compile(r"(?i)(?:bapak|ibu|\bmrs?\.?|\bms\.?|sdri?\.?|atas nama|a\.n\.|penerima|data\s*:|record\s*:|kasir\s*:|dibuka|applicant|nama\s*:|oleh|by|hadir\s*:|present\s*:|mengetahui,?|belongs to|yth\.?|recipient|hubungi|contact|kepada)\s*$")
+NAME_LABELS = re.compile(r"(?i)(?:\bnam[ae]|atas nama|a\.n\.)\s*:?\s*$")
 COMMON = frozenset(["ABDUL", "MUHAMMAD", "RADEN", "SRI", "SITI"])
 
 _D = "[0-9OoIlSZB]"
@@ -131,19 +131,30 @@ def deletes(word: str) -> list[str]:
     return [word] + [word[:i] + word[i + 1 :] for i in range(len(word))]
 
 
+_LAST = re.compile(r"\S+(?=\s*$)")
+
+
+def _context(text: str, at: int) -> str:
+    """The last word before a place, with the marks at it, lower case."""
+    m = _LAST.search(text[max(0, at - 24) : at])
+    return m.group().lower() if m else ""
+
+
 class Names:
     """Name tokens with a symmetric-delete index for misspelt ones, and names of places. A token marked `WEAK` is a plain
     word too: it makes a name only beside another token or after words that announce a name."""
 
-    def __init__(self, tokens, places) -> None:
+    def __init__(self, tokens, places, contexts=()) -> None:
+        self.contexts = frozenset(contexts)
         self.weak = frozenset(t[: -len(WEAK)] for t in tokens if t.endswith(WEAK))
         self.tokens = frozenset(t for t in tokens if not t.endswith(WEAK)) | self.weak
         self.places = frozenset(places)
         self.index: set[str] | None = None
         self.memo: dict[str, bool] = {}
 
-    def known(self, word: str) -> bool:
-        return word.upper() in self.tokens
+    def announced(self, text: str, at: int) -> bool:
+        """Whether the words before a place announce a name."""
+        return _context(text, at) in self.contexts or NAME_LABELS.search(text, max(0, at - 18), at) is not None
 
     def misspelt(self, word: str) -> bool:
         """Whether a word is within one edit, or one misreading, of a name token."""
@@ -281,7 +292,7 @@ def _names(text: str, names: Names, taken: list[tuple[int, int]]) -> list[Span]:
     while i < n:
         if not sure[i]:
             w = words[i][2]
-            if len(w) < 4 or memo.get(w.upper()) is False or not names.misspelt(w) or names.place(w) or not NAME_WORDS.search(text[max(0, words[i][0] - 18) : words[i][0]]):
+            if len(w) < 4 or memo.get(w.upper()) is False or not names.misspelt(w) or names.place(w) or not names.announced(text, words[i][0]):
                 i += 1
                 continue
         a, b, w = words[i]
@@ -309,7 +320,7 @@ def _names(text: str, names: Names, taken: list[tuple[int, int]]) -> list[Span]:
         firm = bool(prior) and prior[-1] in FIRM_BEFORE and text[max(0, start - 3) : start].strip(" .") .isalpha()
         own = any(words[k][2].upper() not in COMMON and len(words[k][2]) > 1 for k in range(lo, hi + 1))
         strong = sum(sure[k] for k in range(lo, hi + 1))
-        ctx = bool(NAME_WORDS.search(text[max(0, start - 18) : start])) or (bool(prior) and prior[-1] in TITLE_BEFORE)
+        ctx = names.announced(text, start) or (bool(prior) and prior[-1] in TITLE_BEFORE)
         plain = strong > 0 and all(words[k][2].upper() in names.weak for k in range(lo, hi + 1) if sure[k])
         score = 0.5 * own + 0.1 * strong + 0.3 * ctx - 0.9 * firm - 0.5 * (plain and not ctx)
         if score >= THRESHOLD:
@@ -350,45 +361,45 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 _SPANS = "array<struct<kind:string,start_pos:int,end_pos:int,score:double>>"
 
 
-def spans(text: Column, before: Column, tokens: list[str] | Column, places: list[str]) -> Column:
+def spans(text: Column, before: Column, tokens: list[str] | Column, places: list[str], contexts: list[str] = ()) -> Column:
     """Array of spans of a text column, positions of first and last character from 1. tokens: the name tokens, or a
-    column with those that the row needs (`with_tokens`)."""
+    column with those that the row needs (`with_tokens`); contexts: the words that announce a name (`name_contexts`)."""
 
     def positions(t: str | None, p: str | None, names: Names) -> list[dict]:
         return [{"kind": x.kind, "start_pos": x.start + 1, "end_pos": x.end, "score": float(x.score)} for x in find(t, names, p)]
 
     @F.pandas_udf(_SPANS)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        names = Names(tokens, places)
+        names = Names(tokens, places, contexts)
         for s, b in batches:
             yield pd.Series([positions(t, p, names) for t, p in zip(s, b)])
 
     @F.pandas_udf(_SPANS)
     def run_own(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = frozenset(places)
+        known, announce = frozenset(places), frozenset(contexts)
         for s, b, own in batches:
-            yield pd.Series([positions(t, p, Names(() if w is None else w, known)) for t, p, w in zip(s, b, own)])
+            yield pd.Series([positions(t, p, Names(() if w is None else w, known, announce)) for t, p, w in zip(s, b, own)])
 
     return run_own(text, before, tokens) if isinstance(tokens, Column) else run(text, before)
 
 
-def placeholders(text: Column, before: Column, tokens: list[str] | Column, places: list[str]) -> Column:
-    """The text column with typed placeholders. before, tokens: as in `spans`."""
+def placeholders(text: Column, before: Column, tokens: list[str] | Column, places: list[str], contexts: list[str] = ()) -> Column:
+    """The text column with typed placeholders. before, tokens, contexts: as in `spans`."""
 
     def replaced(t: str | None, p: str | None, names: Names) -> str | None:
         return redacted(t, find(t, names, p)) if t is not None else None
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        names = Names(tokens, places)
+        names = Names(tokens, places, contexts)
         for s, b in batches:
             yield pd.Series([replaced(t, p, names) for t, p in zip(s, b)], dtype=object)
 
     @F.pandas_udf("string")
     def run_own(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = frozenset(places)
+        known, announce = frozenset(places), frozenset(contexts)
         for s, b, own in batches:
-            yield pd.Series([replaced(t, p, Names(() if w is None else w, known)) for t, p, w in zip(s, b, own)], dtype=object)
+            yield pd.Series([replaced(t, p, Names(() if w is None else w, known, announce)) for t, p, w in zip(s, b, own)], dtype=object)
 
     return run_own(text, before, tokens) if isinstance(tokens, Column) else run(text, before)
 
@@ -448,6 +459,41 @@ def with_tokens(texts: DataFrame, tokens: list[str] | DataFrame) -> tuple[DataFr
     return texts.join(own, "text", "left"), F.col("own_tokens")
 
 
+def name_contexts(texts: DataFrame, tokens: list[str] | Column, *, least: int = 20, share: float = 1e-4, part: float = 0.5) -> list[str]:
+    """The words that announce a name, learnt from all texts (column text, and the column of tokens if it is one): of the
+    capitalised words after such a word at least `part` begin a certain name (two tokens of the register on end, no plain
+    words), at least `least` times and as a `share` of all certain names, so they are 1 / share at most. Counted in each
+    task first."""
+    own = isinstance(tokens, Column)
+    listed = () if own else tuple(tokens)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = None if own else Names(listed, ())
+        counts: dict[str, list[int]] = {}
+        for b in batches:
+            for i, t in enumerate(b["text"]):
+                n = every or Names(() if b["own"].iloc[i] is None else b["own"].iloc[i], ())
+                sure = n.tokens - n.weak if own else known
+                end, before = -9, False
+                words = [(m.start(), m.end(), m.group().upper()) for m in _CAP.finditer(t)] if t else []
+                for k, (a, z, w) in enumerate(words):
+                    beside = before and a - end <= 2
+                    end, before = z, w in sure
+                    if beside or not (c := _context(t, a)):
+                        continue
+                    hit = before and k + 1 < len(words) and words[k + 1][0] == z + 1 and words[k + 1][2] in sure
+                    got = counts.setdefault(c, [0, 0])
+                    got[0] += hit
+                    got[1] += 1
+        yield pd.DataFrame([(c, a, n) for c, (a, n) in counts.items()], columns=["word", "named", "n"])
+
+    known = frozenset() if own else frozenset(t for t in listed if not t.endswith(WEAK))
+    x = texts.select("text", (tokens if own else F.lit(None).cast("array<string>")).alias("own"))
+    got = stored(x.mapInPandas(run, "word string, named long, n long").groupBy("word").agg(F.sum("named").alias("named"), F.sum("n").alias("n")))
+    total = got.agg(F.sum("named")).first()[0] or 0
+    return [r[0] for r in got.where((F.col("named") >= max(least, total * share)) & (F.col("named") >= F.col("n") * part)).select("word").collect()]
+
+
 def previous_line(lines: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
     """`lines` with `before`: the text of the line before on the same page, '' for the first."""
     return lines.withColumn("before", F.coalesce(F.lag(text).over(Window.partitionBy(*group).orderBy(*order)), F.lit("")))

@@ -9,7 +9,7 @@ from berkas.llm.addresses import same_houses
 from berkas.llm.cards import addresses, city_names, persons
 from berkas.llm.names import linked_merchants, linked_persons
 from berkas.llm.pagenoise import _FIRST, _SECOND, corrections, cut_cells, following, joined_cell, labelled_lines, lexicon, paragraphs, plain_word, rejoined, repaired, word_rows, repeated_headings, whole_words, _cased
-from berkas.llm.pii import name_tokens, placeholders, previous_line, spans, with_tokens
+from berkas.llm.pii import name_contexts, name_tokens, placeholders, previous_line, spans, with_tokens
 from berkas.llm.mixing import mixed, shares
 from berkas.llm.packing import packed, token_count
 from berkas.llm.percentiles import bounds, merged, multi_select, summaries
@@ -45,29 +45,30 @@ def _register(spark: SparkSession, folder: str) -> tuple[list[str] | DataFrame,
 P5_KINDS = ["person_name", "phone", "email", "id_number", "address"]
 
 
-def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str] | Column, list[str]]:
+def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str] | Column, list[str], list[str]]:
     """(carrier, row_id, text, before) of every scanned line and document, each once and spread over the tasks, with the
-    name tokens and places to search them by. Lines are moved once, by page: copies fall together and the line before is
+    name tokens, places and words that announce names to search them by. Lines are moved once, by page: copies fall together and the line before is
     at hand."""
     tokens, places = _register(spark, folder)
     lines = table(spark, folder, "ocr_text").select("ocr_id", "doc", "page", "idx", "text").where("text is not null").repartition("doc", "page").distinct()
     lines = previous_line(lines, ["doc", "page"], ["idx", "ocr_id"], "text").select(F.lit("ocr_text").alias("carrier"), F.col("ocr_id").alias("row_id"), "text", "before")
     docs = table(spark, folder, "documents").where("text is not null").select(F.lit("documents").alias("carrier"), F.col("doc_id").alias("row_id"), "text", F.lit("").alias("before"))
     texts, own = with_tokens(lines.unionAll(docs.repartition("row_id")), tokens)
-    return texts, own, places
+    every = table(spark, folder, "ocr_text").select("text").unionAll(table(spark, folder, "documents").select("text")).where("text is not null")
+    return texts, own, places, name_contexts(*with_tokens(every, tokens))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal information in scanned lines and documents, with its place in the text."""
-    texts, own, places = _texts(spark, folder)
-    found = texts.select("carrier", "row_id", F.explode(spans(F.col("text"), F.col("before"), own, places)).alias("s")).select("carrier", "row_id", "s.kind", "s.start_pos", "s.end_pos")
+    texts, own, places, contexts = _texts(spark, folder)
+    found = texts.select("carrier", "row_id", F.explode(spans(F.col("text"), F.col("before"), own, places, contexts)).alias("s")).select("carrier", "row_id", "s.kind", "s.start_pos", "s.end_pos")
     return found.where(F.col("kind").isin(P5_KINDS)).distinct()
 
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every scanned line and document with typed placeholders in the place of personal information."""
-    texts, own, places = _texts(spark, folder)
-    return texts.select("carrier", "row_id", placeholders(F.col("text"), F.col("before"), own, places).alias("text")).distinct()
+    texts, own, places, contexts = _texts(spark, folder)
+    return texts.select("carrier", "row_id", placeholders(F.col("text"), F.col("before"), own, places, contexts).alias("text")).distinct()
 
 
 class _Noise:

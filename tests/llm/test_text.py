@@ -225,3 +225,16 @@ def test_a_larger_register_has_no_pieces(spark):
     """Misread letters inside a name leave no pieces in the dictionary, however large the register."""
     register = spark.createDataFrame([("WERAOBOBANG MAR1NOJAYA",), ("NA5UTAMA KEL0TI",), ("PAN1OBOBEYA, H. PUR0ASENA",)] * 1000, "nama string")
     assert sorted(pii.name_tokens(register, "nama")) == ["KELOTI", "MARINOJAYA", "NASUTAMA", "PANIOBOBEYA", "PUROASENA", "WERAOBOBANG"]
+
+
+def test_words_that_announce_names_are_learnt(spark):
+    tokens = ["MALONI", "SAPINA", "KEMITA", "LIDAR", "BUNGA?"]
+    said = ["Saksi Maloni Sapina hadir."] * 12 + ["Saksi Kemita Lidar hadir."] * 12 + ["Menurut Maloni Sapina."] * 10 + ["Menurut Undang-undang."] * 30 + [None, "", "Saksi Bunga Lidar"]
+    df = spark.createDataFrame([(t,) for t in said], "text string")
+    assert pii.name_contexts(df, tokens) == ["saksi"]
+    assert pii.name_contexts(df, tokens, least=100) == [] and pii.name_contexts(df.limit(0), tokens) == []
+    own = df.withColumn("own", F.array(*map(F.lit, tokens)))
+    assert pii.name_contexts(own, F.col("own")) == ["saksi"]
+    names = pii.Names(tokens, [], ["saksi"])
+    assert [(s.kind, s.start) for s in pii.find("Saksi Bunga hadir", names)] == [("person_name", 6)] and pii.find("Dekat Bunga hadir", names) == []
+    assert [s.start for s in pii.find("Saksi Malonii hadir", names)] == [6] and pii.find("Dekat Malonii hadir", names) == []

@@ -413,6 +413,8 @@ def cut_cells(cells: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b.empty:
+                continue
             both = [cut_line(t) for t in b["text"]]
             halves = [[{"a": m.group(1), "b": m.group(2)} for m in _HALVES.finditer(t)] if _SPACED.search(t) else [] for t in b["text"]]
             yield b.assign(cut=[c for c, _ in both], figs=[f for _, f in both], halves=halves)

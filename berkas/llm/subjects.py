@@ -139,9 +139,12 @@ def vectors(docs: DataFrame, weights: np.ndarray, place: np.ndarray) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b.empty:
+                continue
             r = Rows([np.concatenate(p) for p in b["p"]], weights)
             full = np.flatnonzero(np.diff(r.ptr) > 0)
-            yield pd.DataFrame({"h": b["h"].to_numpy()[full], "idx": [place[r.idx[r.ptr[i] : r.ptr[i + 1]]] for i in full], "val": [r.val[r.ptr[i] : r.ptr[i + 1]] for i in full]})
+            if len(full):
+                yield pd.DataFrame({"h": b["h"].to_numpy()[full], "idx": [place[r.idx[r.ptr[i] : r.ptr[i + 1]]] for i in full], "val": [r.val[r.ptr[i] : r.ptr[i + 1]] for i in full]})
 
     return docs.select(F.xxhash64("doc_id").alias("h"), "p").mapInPandas(run, _VECTOR)
 
@@ -181,6 +184,8 @@ def _passed(data: DataFrame, tree: Tree, watched: np.ndarray) -> list:
                     old = start.get(k, ([], [], []))
                     start[k] = least(old[0] + [int(h[i]) for i in take], old[1] + [idx[ptr[i] : ptr[i + 1]].copy() for i in take], old[2] + [val[ptr[i] : ptr[i + 1]].copy() for i in take])
         keep = sorted(start)
+        if not keep:
+            return
         cols = [pa.array([int(watched[k]) for k in keep], pa.int32()), pa.array([int(n[k]) for k in keep], pa.int64()), pa.array([total[k].astype(np.float32).tobytes() for k in keep], pa.binary())]
         cols += [pa.array([start[k][0] for k in keep], pa.list_(pa.int64())), pa.array([[list(map(int, x)) for x in start[k][1]] for k in keep], pa.list_(pa.list_(pa.int32()))), pa.array([[list(map(float, x)) for x in start[k][2]] for k in keep], pa.list_(pa.list_(pa.float32())))]
         yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "total", "h", "idx", "val"])
@@ -194,7 +199,8 @@ def _passed(data: DataFrame, tree: Tree, watched: np.ndarray) -> list:
                     old = held[node]
                     new = [old[0] + n, old[1] + new[1], least(old[2][0] + new[2][0], old[2][1] + new[2][1], old[2][2] + new[2][2])]
                 held[node] = new
-        yield pd.DataFrame([(k, n, t.astype(np.float32).tobytes(), *s) for k, (n, t, s) in sorted(held.items())], columns=["node", "n", "total", "h", "idx", "val"])
+        if held:
+            yield pd.DataFrame([(k, n, t.astype(np.float32).tobytes(), *s) for k, (n, t, s) in sorted(held.items())], columns=["node", "n", "total", "h", "idx", "val"])
 
     return data.mapInArrow(run, _PART).repartition("node").mapInPandas(merge, _PART).collect()
 
@@ -255,6 +261,8 @@ def leaf_subjects(tree: Tree, weights: np.ndarray, labelled: list[tuple[str, lis
     """Node by subject mixture, rows sum to at most 1; a leaf that no subject sets apart has a zero row. labelled: (subject,
     passages) per labelled document and subject."""
     n, k = len(tree.kids), len(names)
+    if not k:
+        return np.zeros((n, 0), dtype=np.float32)
     # share of each subject's passages in each leaf; documents with several subjects count for all of them
     counts = np.full((n, k), 0.0)
     for s, ps in labelled:
@@ -406,6 +414,7 @@ def subject_shares(docs: DataFrame, model: dict, least: float = 0.0) -> DataFram
         for b in batches:
             s = shares(model, b["p"].to_list())
             i, j = np.nonzero(s > max(least, 1e-9))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i], "subject": [model["subjects"][k] for k in j], "share": s[i, j].astype(float)})
+            if len(i):
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i], "subject": [model["subjects"][k] for k in j], "share": s[i, j].astype(float)})
 
     return docs.select("doc_id", "p").mapInPandas(run, "doc_id long, subject string, share double")

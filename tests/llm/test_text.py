@@ -238,3 +238,27 @@ def test_words_that_announce_names_are_learnt(spark):
     names = pii.Names(tokens, [], ["saksi"])
     assert [(s.kind, s.start) for s in pii.find("Saksi Bunga hadir", names)] == [("person_name", 6)] and pii.find("Dekat Bunga hadir", names) == []
     assert [s.start for s in pii.find("Saksi Malonii hadir", names)] == [6] and pii.find("Dekat Malonii hadir", names) == []
+
+
+def test_subjects_of_empty_tables(spark):
+    docs = spark.createDataFrame([(1, [[1, 2], [3]]), (2, [[1, 2]]), (3, [[2]])], "doc_id long, p array<array<int>>")
+    labels = spark.createDataFrame([(1, "law"), (9, "law"), (1, None)], "doc_id long, subject string")
+    for d, l, names in ((docs.limit(0), labels, ["law"]), (docs, labels.limit(0), ["law"]), (docs, labels, []), (docs.limit(0), labels.limit(0), [])):
+        model = sj.fitted(d, l, names)
+        assert sj.subject_shares(docs, model).count() == 0
+
+
+def test_tree_splits_far_groups(spark, monkeypatch):
+    """Two kinds of documents end in different leaves, whichever way the rows lie."""
+    rng = random.Random(3)
+    rows = [(i, [[(500 if i % 2 else 0) + rng.randrange(40) for _ in range(12)]]) for i in range(200)]
+    w = np.ones(sj.BUCKETS, dtype=np.float32)
+    used = np.r_[0:40, 500:540]
+    found = []
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, p array<array<int>>").repartition(n)
+        tree = sj.bisected(sj.vectors(df, w, sj.Tree(used).place).cache(), used, leaves=4)
+        at, sim = tree.near(sj.Rows([np.concatenate(p) for _, p in rows], w))
+        assert len(set(at[::2]) & set(at[1::2])) == 0 and (sim > 0.3).all() and (tree.kids < 0).sum() == 4
+        found.append(at.tolist())
+    assert found[0] == found[1]

@@ -13,6 +13,7 @@ finds no names and everything else as before. Positions are counted in code poin
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -459,6 +460,19 @@ def with_tokens(texts: DataFrame, tokens: list[str] | DataFrame) -> tuple[DataFr
     return texts.join(own, "text", "left"), F.col("own_tokens")
 
 
+#: a word before a capitalised one, and the capitalised word right after that
+_BEFORE = re.compile(r"(\S+)\s+(?=([A-Z][A-Za-z0-9@+|']*)(?: ([A-Z][A-Za-z0-9@+|']*))?)")
+
+
+def _followed(text: str | None, sure: frozenset, named: Counter, every: Counter) -> None:
+    """Counts the words before capitalised ones, and before certain names."""
+    for c, w, x in _BEFORE.findall(text or ""):
+        if c.upper() not in sure:
+            every[c] += 1
+            if x and w.upper() in sure and x.upper() in sure:
+                named[c] += 1
+
+
 def name_contexts(texts: DataFrame, tokens: list[str] | Column, *, least: int = 20, share: float = 1e-4, part: float = 0.5) -> list[str]:
     """The words that announce a name, learnt from all texts (column text, and the column of tokens if it is one): of the
     capitalised words after such a word at least `part` begin a certain name (two tokens of the register on end, no plain
@@ -468,27 +482,30 @@ def name_contexts(texts: DataFrame, tokens: list[str] | Column, *, least: int =
     listed = () if own else tuple(tokens)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = None if own else Names(listed, ())
-        counts: dict[str, list[int]] = {}
+        sure, named, every = known, Counter(), Counter()
+
+        def rows() -> pd.DataFrame:
+            total, hits = Counter(), Counter()
+            for out, raw in ((total, every), (hits, named)):
+                for c, n in raw.items():
+                    out[c.lower()] += n
+            every.clear(), named.clear()
+            return pd.DataFrame([(c, hits[c], n) for c, n in total.items()], columns=["word", "named", "n"])
+
         for b in batches:
-            for i, t in enumerate(b["text"]):
-                n = every or Names(() if b["own"].iloc[i] is None else b["own"].iloc[i], ())
-                sure = n.tokens - n.weak if own else known
-                end, before = -9, False
-                words = [(m.start(), m.end(), m.group().upper()) for m in _CAP.finditer(t)] if t else []
-                for k, (a, z, w) in enumerate(words):
-                    beside = before and a - end <= 2
-                    end, before = z, w in sure
-                    if beside or not (c := _context(t, a)):
-                        continue
-                    hit = before and k + 1 < len(words) and words[k + 1][0] == z + 1 and words[k + 1][2] in sure
-                    got = counts.setdefault(c, [0, 0])
-                    got[0] += hit
-                    got[1] += 1
-        yield pd.DataFrame([(c, a, n) for c, (a, n) in counts.items()], columns=["word", "named", "n"])
+            if own:
+                for t, w in zip(b["text"], b["own"]):
+                    sure = frozenset(() if w is None else (x for x in w if not x.endswith(WEAK)))
+                    _followed(t, sure, named, every)
+            else:
+                for t in b["text"]:
+                    _followed(t, sure, named, every)
+            if len(every) > 500_000:
+                yield rows()
+        yield rows()
 
     known = frozenset() if own else frozenset(t for t in listed if not t.endswith(WEAK))
-    x = texts.select("text", (tokens if own else F.lit(None).cast("array<string>")).alias("own"))
+    x = texts.select("text", *([tokens.alias("own")] if own else []))
     got = stored(x.mapInPandas(run, "word string, named long, n long").groupBy("word").agg(F.sum("named").alias("named"), F.sum("n").alias("n")))
     total = got.agg(F.sum("named")).first()[0] or 0
     return [r[0] for r in got.where((F.col("named") >= max(least, total * share)) & (F.col("named") >= F.col("n") * part)).select("word").collect()]

@@ -262,3 +262,15 @@ def test_tree_splits_far_groups(spark, monkeypatch):
         assert len(set(at[::2]) & set(at[1::2])) == 0 and (sim > 0.3).all() and (tree.kids < 0).sum() == 4
         found.append(at.tolist())
     assert found[0] == found[1]
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    import os
+
+    from berkas.llm import queries
+
+    src = "/root/testdata/sf0.001"
+    for f in os.listdir(src):
+        spark.read.parquet(f"{src}/{f}").limit(0).write.parquet(str(tmp_path / f))
+    for name in ("p2_percentiles", "p2_day_summaries", "p3_found", "p4_found", "p4_paragraphs", "p5_found", "p6_found", "p7_packed", "p8_shares", "p9_found"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0

@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from berkas.llm.graph import components, meetings
+from berkas.llm.graph import components, dealt, sharing, shortened, whole_buckets
 from berkas.session import stored
 
 # Abbreviations in addresses.
@@ -260,54 +263,60 @@ def forms(records: DataFrame) -> DataFrame:
     return records.where("a.street <> '' and a.number <> ''").withColumn("form", F.xxhash64(*[F.col(f"a.{f}") for f in FIELDS]))
 
 
-def alike(names: DataFrame) -> DataFrame:
-    """(v, w) of the different values of the column v that are `near`, each with itself too, in both orders. Values within
-    k edits share a form with up to k letters left out, so none is missed; only different values are compared."""
-    short = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    v = F.col("v")
-    one = F.array_distinct(F.concat(F.array(v), short(v)))
-    cuts = F.when(F.length(v) >= 9, F.array_distinct(F.concat(one, F.flatten(F.transform(one, short))))).otherwise(one)
-    names = names.where("v <> ''").distinct()
-    keys = stored(names.where(F.length(v) >= 4).select("v", F.explode(cuts).alias("d")))
-    two = meetings(keys, keys.select(F.col("v").alias("w"), "d"), "d", "w").where("v < w").distinct()
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([near(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    two = stored(two.where(close(F.col("v"), F.col("w"))))
-    return two.unionAll(two.select(F.col("w").alias("v"), F.col("v").alias("w"))).unionAll(names.select("v", F.col("v").alias("w")))
+@lru_cache(200_000)
+def _place_keys(kind: str, name: str) -> np.ndarray:
+    """Hashes of the forms by which the name of a place is met: `near` names share one, as each edit takes a letter of either."""
+    return np.array([hash((kind, x)) for x in shortened(name, 2 if len(name) >= 9 else 1)], np.int64)
+
+
+def _keyed(rows: list[list[str]], kinds: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of components in the order of FIELDS: V village, D district, C city, P postcode, R neighbourhood."""
+    row, key = [], []
+    for i, r in enumerate(rows):
+        for kind in kinds:
+            name = (r[4] and r[5] and f"{r[4]}/{r[5]}") if kind == "R" else r[{"V": 6, "D": 7, "C": 8, "P": 9}[kind]]
+            if name:
+                key.append(_place_keys(kind, name) if kind in "VDC" else np.array([hash((kind, name))], np.int64))
+                row.append(i)
+    if not row:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.repeat(np.array(row), [len(k) for k in key]), np.concatenate(key)
+
+
+def _agreeing_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fa, fb) of forms of one bucket that agree. Rows: bucket, part, cross, form, a (components joined)."""
+    for group, t in whole_buckets(batches):
+        part, cross, form = (t.column(c).to_numpy() for c in ("part", "cross", "form"))
+        rows = [x.split("\x1f") for x in t.column("a").to_pylist()]
+        village = np.array([bool(r[6]) for r in rows])
+        out: list[tuple[int, int]] = []
+        for kinds in ("V", "DCPR"):
+            for x, y in sharing(group, *_keyed(rows, kinds)):
+                # two that name their villages meet by these alone
+                ok = ((village[x] & village[y]) == (kinds == "V")) & (~cross[x] | (part[x] != part[y])) & (form[x] != form[y])
+                x, y = x[ok], y[ok]
+                known = {i: dict(zip(FIELDS, rows[i])) for i in np.unique(np.r_[x, y]).tolist()}
+                out += [(i, j) for i, j in zip(x.tolist(), y.tolist()) if abs(len(rows[i][0]) - len(rows[j][0])) <= 3 and agreement(known[i], known[j]) > 0]
+        if out:
+            ends = np.unique(np.sort(form[np.array(out)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["fa", "fb"])
+
+
+def agreeing_forms(distinct_forms: DataFrame, *, block: int = 20_000) -> DataFrame:
+    """(fa, fb), fa < fb: every pair of different forms whose `agreement` is above 0. Such forms share number, letter and
+    suffix, by which they are gathered, and either have villages that are near or, where one names no village, a near district or
+    city, an equal postcode or equal neighbourhood numbers; all forms of a bucket that share one of these are compared inside its
+    task, so a form moves once. block: a bucket of more forms is dealt out by pairs of such blocks."""
+    f = distinct_forms.where("a.street <> '' and a.number <> ''")
+    house = F.xxhash64("a.number", "a.letter", "a.suffix").alias("bucket")
+    f = f.select(house, "form", F.concat_ws("\x1f", *[F.coalesce(F.col(f"a.{x}"), F.lit("")) for x in FIELDS]).alias("a"))
+    return dealt(stored(f), "form", block).mapInArrow(_agreeing_rows, "fa long, fb long")
 
 
-def agreeing_forms(distinct_forms: DataFrame, *, block: int = 1000) -> DataFrame:
-    """(fa, fb), fa < fb: every pair of different forms whose `agreement` is above 0. Such forms share number, letter and
-    suffix and either have villages that are near or, where one names no village, a near district or city, an equal
-    postcode or equal neighbourhood numbers; all forms that share one of these are compared."""
-    f = stored(distinct_forms.where("a.street <> '' and a.number <> ''").select("form", "a"))
-    names = stored(alike(f.select(F.explode(F.array("a.village", "a.district", "a.city")).alias("v"))))
-    house = [F.col("a.number"), F.col("a.letter"), F.col("a.suffix")]
-    place = lambda src, kind, *c: src.where(" and ".join(f"a.{x} <> ''" for x in c)).select("form", "a", *[F.col(f"a.{x}").alias(f"_{x}") for x in c], F.lit(kind).alias("kind"))
-    kinds = [("V", ["village"]), ("D", ["district"]), ("C", ["city"]), ("P", ["postcode"]), ("R", ["rt", "rw"])]
-    left = right = None
-    for kind, cols in kinds:
-        x, y = place(f if kind == "V" else f.where("a.village = ''"), kind, *cols), place(f, kind, *cols)
-        if kind in "VDC":
-            x = x.join(names, x[f"_{cols[0]}"] == names["v"]).drop("v").withColumn(f"_{cols[0]}", F.col("w")).drop("w")
-        x = x.select(F.xxhash64("kind", *house, *[f"_{c}" for c in cols]).alias("key"), F.col("form").alias("x"), F.col("a"), F.lit(kind == "V").alias("once"))
-        y = y.select(F.xxhash64("kind", *house, *[f"_{c}" for c in cols]).alias("key"), F.col("form").alias("y"), F.col("a").alias("b"))
-        left, right = x if left is None else left.unionAll(x), y if right is None else right.unionAll(y)
-    # an edit with swaps of limit 3 is at most 6 plain edits; the length changes by 3 at most
-    met = meetings(stored(left), stored(right), "key", "y", block=block).where("x <> y and (x < y or not once)")
-    met = met.where((F.abs(F.length("a.street") - F.length("b.street")) <= 3) & (F.levenshtein("a.street", "b.street", 6) >= 0))
-    met = met.where(F.col("a.village").isin("") | F.col("b.village").isin("") | (F.levenshtein("a.village", "b.village", 4) >= 0))
-    met = met.withColumn("fa", F.least("x", "y")).withColumn("fb", F.greatest("x", "y")).dropDuplicates(["fa", "fb"])
-    return met.where(agreeing(F.col("a"), F.col("b")) > 0).select("fa", "fb")
-
-
-def same_houses(records: DataFrame, *, window: int = 1000) -> DataFrame:
+def same_houses(records: DataFrame, *, window: int = 20_000) -> DataFrame:
     """Pairs (rec_a, rec_b), rec_a < rec_b, of records at the same house. records: rec_id, a (components), one row per
-    rec_id. window: forms of one key that one task compares with all others of it; it changes how the work is spread,
-    not the result. The pairs of a house are the result itself, so their number is that of the rows out."""
+    rec_id. window: forms of one house number, letter and suffix that go to one task, more are dealt out; it
+    changes how the work is spread, not the result. The pairs of a house are the result itself, so their number is that of the rows out."""
     recs = forms(records)
     uniq = stored(recs.groupBy("form").agg(F.first("a").alias("a")))
     linked = stored(agreeing_forms(uniq, block=window))

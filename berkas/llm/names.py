@@ -1,10 +1,10 @@
 """Spellings of a name that mean the same person or merchant.
 
-A token index finds candidates: every distinct token is connected, through its symmetric deletes (the token and each
-form with one letter left out), with the tokens within one edit of it; a token made of several glued ones is
-connected with its parts. Records meet where they share such a token and one piece of evidence on the person (birth
-date, identity number, house number); a candidate pair counts if its tokens align under an optimal assignment that
-admits edits, initials and short forms, and if no evidence contradicts.
+Candidates are found through symmetric deletes: two tokens meet in a form that is left of both when a letter, of long ones
+two letters, are taken out; a token made of several glued ones meets its parts. Records of persons are gathered by one piece
+of evidence (birth date, identity number, house), and those whose tokens meet are compared there and then: a pair counts
+if its tokens align under an optimal assignment that admits edits, initials and short forms, and if no evidence contradicts.
+Spellings of merchants have no evidence beside them and meet in an index of all tokens.
 
 Edge cases: null and empty names, and names of marks only, link to nothing; a name of one token needs stronger
 evidence; repeated rows count once; records whose name, numbers, birth and house are all equal form one profile, which
@@ -13,17 +13,21 @@ is compared once however many copies it has; tokens and names may be of any leng
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from berkas.llm.addresses import agreeing_forms, agreement, forms, near, osa
-from berkas.llm.graph import components, meetings
+from berkas.llm.addresses import FIELDS, agreeing_forms, agreement, forms, near, osa
+from berkas.llm.graph import components, dealt, sharing, shortened, spread, whole_buckets
 from berkas.operators.packed_fields import _DATE, MONTHS
-from berkas.session import stored
+from berkas.session import _STORED, clear_stored, stored
 
 # Titles and degrees around names, and short forms of given names.
 TITLES = frozenset("H HJ HAJI HAJJAH DR DRG DRH DRS DRA IR PROF MR MRS MS BAPAK IBU SDR SDRI".split())
@@ -44,6 +48,7 @@ NIK_FOLD = {"O": "0", "o": "0", "D": "0", "I": "1", "i": "1", "l": "1", "|": "1"
 _MONTH = {m[:3]: i + 1 for i, m in enumerate(MONTHS)} | {"AGT": 8, "AUG": 8, "MAY": 5, "OCT": 10, "DEC": 12, "NOP": 11}
 
 
+@lru_cache(100_000)
 def sound(token: str) -> str:
     """Old and new spellings in one form, doubled letters single."""
     t = token
@@ -79,6 +84,7 @@ def name_tokens(name: str | None) -> list[str]:
     return out
 
 
+@lru_cache(200_000)
 def token_score(a: str, b: str) -> float:
     """How well one token stands for another: 1 equal, less for edits, short forms and initials, 0 for none."""
     if a == b:
@@ -309,53 +315,103 @@ def same_person(a: dict, b: dict) -> bool:
     return house is not None and house > 0 and m >= 1
 
 
-_KEYS = ["tokens", "nik", "dob", "place", "born", "a"]
+@lru_cache(100_000)
+def name_keys(token: str) -> np.ndarray:
+    """Hashes of the forms by which a token is met, among them one that it shares with every token that `name_match` lets
+    stand for it: itself, the token and its sound with up to as many letters left out as `token_score` admits edits, and the
+    beginnings and ends that `_unglue` would cut off."""
+    keys = shortened(token, 2 if len(token) >= 8 else 1) | shortened(s := sound(token), 2 if len(s) >= 9 else 1) | {token}
+    for k in range(4, len(token) - 1):
+        for part in (token[:k], token[-k:]):
+            keys |= shortened(part, 1) if len(token) >= 9 and k >= 5 else {part}
+    return np.array([hash(k) for k in keys], np.int64)
 
 
-def _same_person(a: Column, b: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([same_person(p, q) for p, q in zip(x.to_dict("records"), y.to_dict("records"))], dtype=bool)
-
-    return run(a, b)
-
-
-def linked_persons(records: DataFrame, *, block: int = 1000) -> DataFrame:
+def _met_before(kind: int, a: dict, b: dict) -> bool:
+    """Whether two profiles share evidence of an earlier kind, by which they have been compared already."""
+    if kind > 0 and ({a["dob"], a["born"]} & {b["dob"], b["born"]}) - {""}:
+        return True
+    na, nb = a["nik"], b["nik"]
+    return bool(na and nb) and (kind > 1 and na[:10] == nb[:10] or kind > 2 and na[-8:] == nb[-8:])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y) of profiles of one bucket that are one person. Rows: bucket, kind, own, part, cross, pid, p (`_packed`)."""
+    for group, t in whole_buckets(batches):
+        kind, own, part, cross, pid = (t.column(c).to_numpy() for c in ("kind", "own", "part", "cross", "pid"))
+        p = [x.split(_FIELD, 2) for x in t.column("p").to_pylist()]
+        code: dict[str, int] = {}
+        words = [[code.setdefault(w, len(code)) for w in x[0].split(_ITEM)] for x in p]
+        keys = [name_keys(w) for w in code]
+        size = np.array([len(k) for k in keys])
+        flat = np.fromiter(itertools.chain.from_iterable(words), np.int64)
+        n = size[flat]
+        key = np.concatenate(keys)[spread((np.cumsum(size) - size)[flat], n)]
+        row = np.repeat(np.repeat(np.arange(len(p)), [len(w) for w in words]), n)
+        # equal full numbers meet whatever the names
+        full = np.array([len(x[1]) == 16 for x in p])
+        at = np.flatnonzero(full)
+        digits = np.zeros((len(p), 16), np.uint8)
+        if len(at):
+            digits[at] = np.frombuffer("".join(p[i][1] for i in at).encode(), np.uint8).reshape(-1, 16)
+            key, row = np.r_[key, np.array([hash(p[i][1]) for i in at], np.int64)], np.r_[row, at]
+        out: list[tuple[int, int]] = []
+        for x, y in sharing(group, row, key):
+            # two that know a house only by its neighbour, or that lie in the same part of a bucket dealt out, meet elsewhere
+            ok = (own[x] | own[y]) & (pid[x] != pid[y]) & (~cross[x] | (part[x] != part[y]))
+            x, y = x[ok], y[ok]
+            # full numbers that differ in more than two digits contradict each other
+            ok = ~(full[x] & full[y]) | ((digits[x] != digits[y]).sum(1) <= 2)
+            x, y = x[ok], y[ok]
+            known = {i: _unpacked(p[i]) for i in np.unique(np.r_[x, y]).tolist()}
+            out += [(i, j) for i, j in zip(x.tolist(), y.tolist()) if not _met_before(kind[i], known[i], known[j]) and same_person(known[i], known[j])]
+        if out:
+            ends = pid[np.array(out)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["x", "y"])
+
+
+_FIELD, _ITEM = "\x1f", "\x1e"
+
+
+def _packed(p: Column) -> Column:
+    """A profile as one text, a third of the bytes of the struct: tokens, number, birth date, place, date in the number and,
+    where there is an address, its components."""
+    some = lambda c: F.coalesce(c, F.lit(""))
+    house = F.when(p["a"].isNotNull(), F.concat_ws(_FIELD, *[some(p["a"][f]) for f in FIELDS]))
+    return F.concat_ws(_FIELD, F.array_join(p["tokens"], _ITEM), *[some(p[f]) for f in ("nik", "dob", "place", "born")], house)
+
+
+def _unpacked(p: list[str]) -> dict:
+    dob, place, born, *a = p[2].split(_FIELD)
+    return {"tokens": p[0].split(_ITEM), "nik": p[1], "dob": dob, "place": place, "born": born, "a": dict(zip(FIELDS, a)) if a else None}
+
+
+def linked_persons(records: DataFrame, *, block: int = 20_000) -> DataFrame:
     """Pairs (rec_a, rec_b), rec_a < rec_b, of records of one person. records: rec_id, p (profile), a (components of the
-    address or null), one row per rec_id. All profiles that share a token class and one piece of evidence, or a full
-    number, are compared; the evidence of a house is an address that agrees in number, street and place. block: rows of one bucket that one
-    task compares with all others of it; it changes how the work is spread, not the result."""
+    address or null), one row per rec_id. All profiles that share a piece of evidence and a form of a token (`name_keys`) or
+    a full number are compared; the evidence of a house is an address that agrees in number, street and place. A profile moves once
+    per piece of evidence; forms and pairs live only inside the task that holds the bucket, and what is written is the links.
+    block: a bucket of more rows is dealt out by pairs of such blocks; it changes how the work is spread, not the result."""
     rec = records.select("rec_id", F.struct("p.tokens", "p.nik", "p.dob", "p.place", "p.born", "a").alias("p")).where(F.size("p.tokens") > 0)
     rec = stored(rec.withColumn("pid", F.xxhash64("p.tokens", "p.nik", "p.dob", "p.place", "p.born", F.col("p.a"))))
     prof = stored(rec.groupBy("pid").agg(F.first("p").alias("p")))
-    tok = prof.select("pid", F.explode(F.array_distinct("p.tokens")).alias("token"))
-    reps = stored(token_index(stored(tok.groupBy("token").agg(F.count("*").alias("n")))))
-    day = lambda c: F.when(F.col(c) != "", F.concat(F.lit("D"), F.col(c)))
-    number = F.when(F.col("p.nik") != "", F.concat(F.lit("N"), F.substring("p.nik", 1, 10)))
-    tail = F.when(F.length("p.nik") >= 10, F.concat(F.lit("T"), F.substring("p.nik", -8, 8)))
-    housed = stored(forms(prof.select("pid", F.col("p.a").alias("a"))))
-    near_by = agreeing_forms(housed.select("form", "a").dropDuplicates(["form"]))
-    at = lambda c: F.concat(F.lit("H"), F.col(c).cast("string"))
+    housed = forms(prof.select("pid", F.col("p.a").alias("a")))
+    since = len(_STORED)
+    near_by = stored(agreeing_forms(housed.select("form", "a").dropDuplicates(["form"])))
+    clear_stored(since, -1)
+    piece = lambda kind, c: F.struct(F.lit(kind).cast("byte").alias("kind"), F.xxhash64(F.lit(kind), c).alias("ev"))
+    day = lambda c: F.when(F.col(c) != "", piece(0, F.col(c)))
+    number = F.when(F.col("p.nik") != "", piece(1, F.substring("p.nik", 1, 10)))
+    tail = F.when(F.length("p.nik") >= 10, piece(2, F.substring("p.nik", -8, 8)))
     evidence = F.array_distinct(F.filter(F.array(day("p.dob"), day("p.born"), number, tail), lambda x: x.isNotNull()))
-    ev = prof.select("pid", F.explode(evidence).alias("ev")).unionAll(housed.select("pid", at("form")))
-    near_ev = housed.select("pid", F.col("form").alias("fa")).join(near_by, "fa").select("pid", at("fb").alias("ev"))
-    known = stored(tok.join(reps, "token").select("pid", "rep").distinct())
-    bucket = F.xxhash64("ev", "rep").alias("bucket")
-    keys = known.join(ev, "pid").join(prof.select("pid", F.col("p.nik").alias("nik")), "pid").select("pid", "nik", bucket)
-    # equal full numbers meet whatever the names
-    full = prof.where(F.length("p.nik") == 16).select("pid", F.col("p.nik").alias("nik"), F.xxhash64(F.lit("F"), "p.nik").alias("bucket"))
-    keys = stored(keys.unionAll(full))
-    others = known.join(near_ev, "pid").join(prof.select("pid", F.col("p.nik").alias("nik")), "pid").select("pid", "nik", bucket, F.lit(False).alias("own"))
-    left = stored(keys.withColumn("own", F.lit(True)).unionAll(others)).withColumnsRenamed({"pid": "x", "nik": "nx"})
-    met = meetings(left, keys.withColumnsRenamed({"pid": "y", "nik": "ny"}), "bucket", "y", block=block).where("x <> y and (x < y or not own)")
-    # full numbers that differ in more than two digits contradict each other
-    met = met.where((F.length("nx") != 16) | (F.length("ny") != 16) | (F.levenshtein("nx", "ny", 2) >= 0))
-    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pa, pb = prof.select(F.col("pid").alias("x"), F.col("p").alias("a")), prof.select(F.col("pid").alias("y"), F.col("p").alias("b"))
-    links = stored(met.join(pa, "x").join(pb, "y").where(_same_person(F.col("a"), F.col("b"))).select("x", "y"))
-    group = stored(components(links, "x", "y"))
-    one = group.select(F.col("label").alias("g"), F.col("node").alias("pid"))
+    pack = prof.withColumn("a", F.col("p.a")).withColumn("text", _packed(F.col("p")))
+    ev = pack.select("pid", F.col("text").alias("p"), F.explode(evidence).alias("e"), F.lit(True).alias("own"))
+    at_home = forms(pack).select("pid", F.col("text").alias("p"), "form")
+    ev = ev.unionAll(at_home.select("pid", "p", piece(3, F.col("form")).alias("e"), F.lit(True).alias("own")))
+    ev = ev.unionAll(at_home.join(near_by, F.col("form") == F.col("fa")).select("pid", "p", piece(3, F.col("fb")).alias("e"), F.lit(False).alias("own")))
+    ev = ev.select("e.kind", F.col("e.ev").alias("bucket"), "own", "pid", "p")
+    links = stored(dealt(ev, "pid", block).mapInArrow(_linked, "x long, y long"))
+    one = components(links, "x", "y").select(F.col("label").alias("g"), F.col("node").alias("pid"))
     alone = prof.select("pid").join(one, "pid", "left").select("pid", F.coalesce("g", "pid").alias("g"))
     # pairs of profiles of a component that contradict each other stay apart; equal copies need certain evidence
     full = prof.select("pid", F.col("p.nik").alias("nik"), F.array_remove(F.array("p.dob", "p.born"), "").alias("days")).join(alone, "pid")

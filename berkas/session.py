@@ -63,11 +63,12 @@ def stored(df: DataFrame, *, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def clear_stored(since: int = 0) -> int:
-    """Deletes the tables that `stored` has written, from the given number on, and gives their count: for when the results
-    built on them have been read or written. Until then a lazy result still reads them."""
-    gone = _STORED[since:]
-    del _STORED[since:]
+def clear_stored(since: int = 0, until: int | None = None) -> int:
+    """Deletes the tables that `stored` has written, from the given number on (and before the other, -1 for all but the last),
+    and gives their count: for when the results built on them have been read or written. Until then a lazy result still
+    reads them."""
+    gone = _STORED[since:until]
+    del _STORED[since:until]
     for spark, path in gone:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)

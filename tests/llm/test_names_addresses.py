@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from berkas.llm import addresses as ad
 from berkas.llm import names as nm
 from berkas.llm.graph import components, meetings
-from berkas.session import stored
+from berkas.session import _STORED, stored
 
 CITIES = frozenset(["BUMIBALA", "TEGALWENING"])
 
@@ -167,3 +168,30 @@ def test_rare_spellings_meet(spark):
     df = spark.createDataFrame(rows, "rec_id long, nama string, nik string, ttl string")
     df = df.select("rec_id", nm.profiled(F.col("nama"), F.col("nik"), F.col("ttl")).alias("p"), ad.parsed(F.lit(None).cast("string"), []).alias("a"))
     assert {tuple(r) for r in nm.linked_persons(df).collect()} == {(1, 2), (3, 4)}
+
+
+def _cards(spark, rows):
+    df = spark.createDataFrame(rows, "rec_id long, nama string, nik string, ttl string")
+    return df.select("rec_id", nm.profiled(F.col("nama"), F.col("nik"), F.col("ttl")).alias("p"), ad.parsed(F.lit(None).cast("string"), []).alias("a"))
+
+
+def test_tokens_that_match_share_a_key():
+    words = ["LIDAR", "LIDR", "LDIAR", "KUSOKUSU", "KOESOKUSU", "KSOKUSO", "JORIRIYEM", "JORYRIJEM", "JORIRIYEMLIDAR", "JORIRIJEMLIDAR", "SENGGOPIPIT", "SENGGPAIPIT", "ADI", "ADE", "H"]
+    for a, b in itertools.combinations(words, 2):
+        met = len(np.intersect1d(nm.name_keys(a), nm.name_keys(b))) > 0
+        assert met or nm.name_match([a], [b]) == 0 or min(len(a), len(b)) < 4, (a, b)
+
+
+def test_persons_in_buckets_dealt_out(spark):
+    df = stored(_cards(spark, [(i, f"LIDAR KUSO{w}SU", None, "BUMIBALA, 05-06-1980") for i, w in enumerate(["KU", "GU", "KO", "KI"] * 5)]))
+    whole = {tuple(r) for r in nm.linked_persons(df).collect()}
+    assert whole == set(itertools.combinations(range(20), 2)) and {tuple(r) for r in nm.linked_persons(df, block=1).collect()} == whole
+
+
+def test_linking_persons_writes_no_table_of_keys(spark):
+    # one birth date, all tokens within an edit of many others: what is written follows the profiles, not their forms and pairs
+    names = ["LI" + "".join(p) + "DAR" for p in itertools.product("BDGKL", "AEIO", "MNRST", "AEIO")]
+    df = stored(_cards(spark, [(i, n, f"{i // 20:02d}" * 3 + f"{i % 20:02d}" * 3 + "0000", "BUMIBALA, 05-06-1980") for i, n in enumerate(names)]))
+    since = len(_STORED)
+    assert nm.linked_persons(df).count() == 0
+    assert max(spark.read.parquet(path).count() for _, path in _STORED[since:]) == len(names)

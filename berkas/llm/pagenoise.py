@@ -42,6 +42,7 @@ STROKES = {
     "m": "rri", "n": "ri", "h": "ii", "u": "ii", "k": "ie", "d": "ei", "w": "vv", "c": "e", "l": "i", "1": "i", "|": "i", "!": "i", "@": "a", "4": "a",
     "0": "o", "5": "s", "$": "s", "6": "b", "8": "b", "3": "e", "9": "g", "q": "g", "+": "t", "7": "t", "f": "t", "2": "z",
 }
+_STROKES = str.maketrans(STROKES)
 DIGIT_FORMS = str.maketrans("OoDQlIi|ZzSsBbGgq", "00001111225586699")
 PLAIN = {"@": "a", "0": "o", "5": "s", "6": "b", "+": "t", "4": "a", "8": "b", "3": "e", "9": "g", "$": "s", "7": "t", "|": "l", "1": "l"}
 STATES = ["header", "title", "body", "break", "footer"]
@@ -56,7 +57,7 @@ _NUMBER_SHAPES = [
 
 def skeleton(word: str) -> str:
     """The strokes of a word, the same for every misreading of its letters; lower case."""
-    return "".join(STROKES.get(c, c) for c in word.lower())
+    return word.lower().translate(_STROKES)
 
 
 def skeleton_column(c: Column) -> Column:
@@ -107,7 +108,7 @@ def split_number(text: str) -> tuple[str, str, int]:
 LONG = re.compile(r"[.:;,] [A-Za-z0-9]|[.:;,]$")
 NO_LETTERS = re.compile(r"[\s0-9.,;:()/\"!?#%&*<=>\[\]\\^_`{}~@+|$'\u00A0-\u00BF\u2010-\u2026-]+")
 _SMALL = re.compile("[a-z]")
-_LINE = "ocr_id long, doc long, page int, idx int, text string, top int, bottom int, place string, gap string, case string, ending string, size string, rest string, shape string, number int, norm string"
+_LINE = "ocr_id long, doc long, page int, idx int, text string, place byte, gap byte, case byte, ending byte, size byte, after byte, rim boolean, rest string, shape string, number int, norm string"
 
 
 def _norm(text: str) -> str:
@@ -153,8 +154,9 @@ def _case(text: str, size: str) -> str:
 def edges(lines: DataFrame) -> DataFrame:
     """`lines` (ocr_id, doc, page, idx, text, min_y; no nulls in text), each once, with what they show by themselves: rank
     from top and bottom, gaps against the usual pitch, letter case, ending, length; for the three lines at each edge of a
-    page the rest beside a page number, its shape and number. norm: letters by skeleton, of edge lines and of the short
-    lines between them. Lines are moved once, by page; copies of a line fall together and are dropped."""
+    page the rest beside a page number, its shape and number. Features are places in their `VALUES`. norm: letters by
+    skeleton, of edge lines and of the short lines between them. after: the seed (`_seed`) of the line before, where both lie
+    between the edges, else -1; rim tells the lines at the edges and those beside them. Lines are moved once, by page; copies of a line fall together and are dropped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _whole_pages(batches):
@@ -178,11 +180,15 @@ def edges(lines: DataFrame) -> DataFrame:
             for i in np.flatnonzero(~edge):
                 if size[i] == "short" or (texts[i].endswith(":") and len(texts[i]) <= 60 and not LONG.search(texts[i][:-1])):
                     norm[i] = _norm(texts[i])
-            place = np.where(top <= 3, np.char.add("t", top.astype(str)), np.where(bottom <= 3, np.char.add("b", bottom.astype(str)), "mid"))
+            place = np.where(top <= 3, top - 1, np.where(bottom <= 3, 7 - bottom, MID))
+            ending = np.array([0 if t[-1] in ".!?" else 1 if t[-1] in HYPHENS else 2 for t in texts], np.int8)
+            brief = np.array([len(t) <= BREAK for t in texts])
+            seed = np.where((ending == 0) & brief, STATES.index("break"), STATES.index("body"))
+            after = np.where(~edge & (top > 4), np.r_[-1, seed[:-1]], -1)
             out = b[["ocr_id", "doc", "page", "idx", "text"]]
             yield out.assign(
-                top=top.astype(np.int32), bottom=bottom.astype(np.int32), place=place, gap=np.where(wide, "wide", "usual"), case=[_case(t, z) for t, z in zip(texts, size)],
-                ending=["stop" if t[-1] in ".!?" else "hyphen" if t[-1] in HYPHENS else "open" for t in texts], size=size, rest=rest, shape=shape, number=pd.array(number, dtype="Int32"), norm=norm,
+                place=place.astype(np.int8), gap=np.where(wide, 0, 1).astype(np.int8), case=np.array([_CASES[_case(t, z)] for t, z in zip(texts, size)], np.int8), ending=ending,
+                size=np.array([z == "long" for z in size], np.int8), after=after.astype(np.int8), rim=(top <= 4) | (bottom <= 4), rest=rest, shape=shape, number=pd.array(number, dtype="Int32"), norm=norm,
             )
 
     page = lines.select("ocr_id", "doc", "page", "idx", "text", "min_y").repartition("doc", "page").sortWithinPartitions("doc", "page", "idx", "ocr_id")
@@ -190,7 +196,7 @@ def edges(lines: DataFrame) -> DataFrame:
 
 
 def featured(lines: DataFrame) -> DataFrame:
-    """Every line with its features (`FEATURES`) and its seed, the state of lines beyond doubt. Repetition and page numbers
+    """Every line with its features (`FEATURES`) as one number, code, and its seed, the state of lines beyond doubt. Repetition and page numbers
     that run on are counted over the edge lines of all pages; the other lines are not moved."""
     x = stored(edges(lines))
     edge = x.where("shape is not null").select("ocr_id", "doc", "page", "rest", "shape", "number", "norm")
@@ -208,24 +214,27 @@ def featured(lines: DataFrame) -> DataFrame:
     e = x.where("shape is not null").withColumn("shift", F.col("number") - F.col("page")).join(run, ["doc", "shape", "shift"], "left").join(pages, "doc").join(known, ["doc", "norm"], "left")
     bare = F.col("shape").isin("bare", "roman") & (F.col("rest") == "")
     on = F.coalesce((F.col("run") >= 2) | ((F.col("page_n") == 1) & (F.col("shift") == 0)), F.lit(False))
-    number = F.when(F.col("shape") == "", "none").when(bare & on, "runs").when(bare, "lone").when(F.col("rest") == "", F.when(on, "deco_runs").otherwise("deco")).otherwise(F.when(on | (F.col("shape") == "deco"), "beside").otherwise("none"))
-    repeat = F.when(F.col("many"), "many").when(F.col("common"), "corpus").otherwise("no")
-    first = F.when(F.col("page") == F.col("page_1"), "first").otherwise("later")
-    keep = ["ocr_id", "doc", "page", "idx", "text", "place", "gap", "case", "ending", "size"]
-    mid = x.where("shape is null")
-    y = e.select(*keep, number.alias("number"), repeat.alias("repeat"), first.alias("first"))
-    y = y.unionAll(mid.select(*keep, F.lit("none").alias("number"), F.lit("no").alias("repeat"), F.when(F.col("page") == 1, "first").otherwise("later").alias("first")))
-    y = y.withColumn("mark", F.concat_ws("/", "number", "repeat", "size"))
-    return y.withColumn("seed", _seed())
+    none, runs, lone, deco_runs, deco, beside = map(F.lit, range(len(NUMBERS)))
+    number = F.when(F.col("shape") == "", none).when(bare & on, runs).when(bare, lone).when(F.col("rest") == "", F.when(on, deco_runs).otherwise(deco)).otherwise(F.when(on | (F.col("shape") == "deco"), beside).otherwise(none))
+    many, common, no = map(F.lit, range(len(REPEATS)))
+    repeat = F.when(F.col("many"), many).when(F.col("common"), common).otherwise(no)
+    keep = ["ocr_id", "doc", "page", "idx", "text", "place", "gap", "case", "ending", "size", "after", "rim"]
+    y = e.select(*keep, number.alias("number"), repeat.alias("repeat"), (F.col("page") != F.col("page_1")).cast("int").alias("first"))
+    y = y.unionAll(x.where("shape is null").select(*keep, none.alias("number"), no.alias("repeat"), (F.col("page") != 1).cast("int").alias("first")))
+    y = y.withColumn("mark", (F.col("number") * len(REPEATS) + F.col("repeat")) * 2 + F.col("size"))
+    code = F.lit(0)
+    for f in FEATURES:
+        code = code * len(VALUES[f]) + F.col(f)
+    return y.select("ocr_id", "doc", "page", "idx", "text", code.alias("code"), _seed().cast("byte").alias("seed"), "after", "rim")
 
 
 _LABEL = "ocr_id long, doc long, page int, idx int, text string, state string, next_text string, first boolean, broken boolean, cut string, figs string"
 
 
 def labelled_lines(lines: DataFrame) -> DataFrame:
-    """(ocr_id, doc, page, idx, text, state, next_text, first, broken, cut, figs) of every line with text: next_text is the
-    next line of the page that is no furniture, first tells the first such line of a page, broken whether it ends in a
-    hyphen; cut holds its words and figs its figures with letters in them, as of `words_of` and `figures`."""
+    """(ocr_id, doc, page, idx, text, state, next_text, first, broken, cut, figs) of every line with text: broken tells
+    whether it ends in a hyphen, next_text is then the next line of the page that is no furniture, first tells the first such
+    line of a page; cut holds its words and figs its figures with letters in them, as of `words_of` and `figures`."""
     y = stored(featured(lines))
     model = fitted(y)
 
@@ -233,7 +242,7 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
         for b in _whole_pages(batches):
             yield _label_pages(b, model)
 
-    rows = y.select("ocr_id", "doc", "page", "idx", "text", *FEATURES)
+    rows = y.select("ocr_id", "doc", "page", "idx", "text", "code")
     return rows.repartition("doc", "page").sortWithinPartitions("doc", "page", "idx", "ocr_id").mapInPandas(label, _LABEL)
 
 
@@ -242,18 +251,20 @@ FEATURES = ["mark", "place", "gap", "case", "ending", "first"]
 
 
 def _seed() -> Column:
-    """The state of lines whose kind is beyond doubt, null for the others."""
-    top, low = F.col("place").isin("t1", "t2"), F.col("place").isin("b1", "b2")
-    number = F.col("number").isin("deco_runs", "runs", "beside")
-    brief = (F.col("size") == "short") & (F.col("case") != "lower")
+    """The state of lines whose kind is beyond doubt, as its place in `STATES`, null for the others."""
+    at = lambda f, *vs: F.col(f).isin([NAMED[f].index(v) for v in vs])
+    state = lambda s: F.lit(STATES.index(s))
+    top, low = at("place", "t1", "t2"), at("place", "b1", "b2")
+    number = at("number", "deco_runs", "runs", "beside")
+    brief = at("size", "short") & ~at("case", "lower")
     return (
-        F.when((top & (F.col("first") == "first") & (F.col("case") == "upper") & (F.col("number") == "none")), "title")
-        .when(top & (number | ((F.col("repeat") == "many") & brief)), "header")
-        .when(low & (number | ((F.col("repeat") == "many") & brief)), "footer")
-        .when((F.col("place") == "mid") & (F.col("ending") == "stop") & (F.length("text") <= 36), "break")
-        .when((F.col("place") == "mid") | ((F.col("number") == "none") & (F.col("size") == "long")), "body")
-        .when((F.col("number") == "none") & (F.col("repeat") == "no") & (F.col("case") != "upper"), "body")
-        .when((F.col("number") == "lone") & (F.col("repeat") == "no"), "body")
+        F.when((top & at("first", "first") & at("case", "upper") & at("number", "none")), state("title"))
+        .when(top & (number | (at("repeat", "many") & brief)), state("header"))
+        .when(low & (number | (at("repeat", "many") & brief)), state("footer"))
+        .when(at("place", "mid") & at("ending", "stop") & (F.length("text") <= BREAK), state("break"))
+        .when(at("place", "mid") | (at("number", "none") & at("size", "long")), state("body"))
+        .when(at("number", "none") & at("repeat", "no") & ~at("case", "upper"), state("body"))
+        .when(at("number", "lone") & at("repeat", "no"), state("body"))
     )
 
 
@@ -263,15 +274,18 @@ def fitted(y: DataFrame) -> dict:
     of states. The prior on the order of states (`MOVES`) weighs as much as `PRIOR` lines; what it rules out stays so."""
     counts: dict[str, Counter] = {s: Counter() for s in STATES}
     total: Counter = Counter()
-    for r in y.where("seed is not null").groupBy("seed", *FEATURES).agg(F.count("*").alias("n")).collect():
-        total[r["seed"]] += r["n"]
-        for f in FEATURES:
-            counts[r["seed"]][f, r[f]] += r["n"]
+    for r in y.where("seed is not null").groupBy("seed", "code").agg(F.count("*").alias("n")).collect():
+        state = STATES[r["seed"]]
+        total[state] += r["n"]
+        for f, v in zip(FEATURES, np.unravel_index(r["code"], [len(VALUES[f]) for f in FEATURES])):
+            counts[state][f, VALUES[f][v]] += r["n"]
     emit = {s: {f: {v: math.log((counts[s][f, v] + 0.5) / (total[s] + 0.5 * len(vs))) for v in vs} for f, vs in VALUES.items()} for s in STATES}
+    # steps between lines inside a page stand in the line; only the lines at its rim are sorted
     order = Window.partitionBy("doc", "page").orderBy("idx", "ocr_id")
-    steps = y.select("doc", "page", "idx", "ocr_id", F.coalesce("seed", F.lit("")).alias("seed"))
-    steps = steps.select(F.lag("seed", 1, "start").over(order).alias("a"), F.col("seed").alias("b")).where("a <> '' and b <> ''").groupBy("a", "b").agg(F.count("*").alias("n"))
-    seen = {(r["a"], r["b"]): r["n"] for r in steps.collect()}
+    rim = y.where("rim").select("doc", "page", "idx", "ocr_id", "after", F.coalesce("seed", F.lit(-2).cast("byte")).alias("seed"))
+    rim = rim.select(F.lag("seed", 1, -1).over(order).alias("a"), F.col("seed").alias("b"), "after").where("after < 0 and a <> -2 and b <> -2").select("a", "b")
+    steps = rim.unionAll(y.where("after >= 0").select(F.col("after").alias("a"), F.col("seed").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    seen = {("start" if r["a"] < 0 else STATES[r["a"]], STATES[r["b"]]): r["n"] for r in steps.collect()}
     move = {}
     for a, row in MOVES.items():
         prior = {b: math.exp(w) for b, w in row.items() if w > _NO}
@@ -281,14 +295,20 @@ def fitted(y: DataFrame) -> dict:
     return {"emit": emit, "move": move}
 
 
+NUMBERS = ["none", "runs", "lone", "deco_runs", "deco", "beside"]
+REPEATS = ["many", "corpus", "no"]
 VALUES = {
-    "mark": [f"{n}/{r}/{z}" for n in ("none", "runs", "lone", "deco_runs", "deco", "beside") for r in ("many", "corpus", "no") for z in ("short", "long")],
+    "mark": [f"{n}/{r}/{z}" for n in NUMBERS for r in REPEATS for z in ("short", "long")],
     "place": ["t1", "t2", "t3", "mid", "b3", "b2", "b1"],
     "gap": ["wide", "usual"],
     "case": ["upper", "mixed", "lower", "none"],
     "ending": ["stop", "hyphen", "open"],
     "first": ["first", "later"],
 }
+NAMED = VALUES | {"number": NUMBERS, "repeat": REPEATS, "size": ["short", "long"]}
+MID = VALUES["place"].index("mid")
+_CASES = {v: i for i, v in enumerate(VALUES["case"])}
+BREAK = 36  #: a line that ends a sentence and has no more letters ends a paragraph
 _NO = -1e9
 PRIOR = 200.0
 #: Prior on the structure of a page: headers, a title, text with paragraph ends, footers.
@@ -332,9 +352,9 @@ def viterbi(scores: np.ndarray, page: np.ndarray, move: dict) -> np.ndarray:
 
 def _label_pages(done: pd.DataFrame, model: dict) -> pd.DataFrame:
     score = np.zeros((len(done), len(STATES)))
-    for f in FEATURES:
+    for f, v in zip(FEATURES, np.unravel_index(done["code"].to_numpy(), [len(VALUES[f]) for f in FEATURES])):
         table = np.array([[model["emit"][s][f][v] for s in STATES] for v in VALUES[f]])
-        score += table[pd.Categorical(done[f], categories=VALUES[f]).codes]
+        score += table[v]
     number, _, _ = _pages(done)
     states = np.array(STATES, dtype=object)[viterbi(score, number, model["move"])]
     body = np.flatnonzero((states != "header") & (states != "footer"))
@@ -342,12 +362,14 @@ def _label_pages(done: pd.DataFrame, model: dict) -> pd.DataFrame:
     follows = np.r_[on[1:] == on[:-1], False] if len(body) else np.zeros(0, bool)
     text = done["text"].to_numpy(dtype=object)
     nxt, first = np.full(len(done), None, dtype=object), np.zeros(len(done), bool)
+    broken = np.array([t.rstrip()[-1:] in _HYPHENS for t in text], bool)
     nxt[body[follows]] = text[body[1:][follows[:-1]]] if len(body) else []
+    nxt[~broken] = None
     first[body] = np.r_[True, on[1:] != on[:-1]] if len(body) else []
     cut, figs = np.full(len(done), None, dtype=object), np.full(len(done), None, dtype=object)
     for i in body:
         cut[i], figs[i] = cut_line(text[i])
-    return done[["ocr_id", "doc", "page", "idx", "text"]].assign(state=states, next_text=nxt, first=first, broken=[t.rstrip()[-1:] in _HYPHENS for t in text], cut=cut, figs=figs)
+    return done[["ocr_id", "doc", "page", "idx", "text"]].assign(state=states, next_text=nxt, first=first, broken=broken, cut=cut, figs=figs)
 
 
 # --- broken words ---------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Page noise, personal information and subjects."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from berkas.llm import pagenoise as pn
 from berkas.llm import pii
 from berkas.llm import subjects as sj
+from berkas.session import stored
 
 NAMES = pii.Names(["LIDAR", "KUSOKUSU", "MALONI", "SITI", "KEMITA"], ["BUMIBALA", "TEGALWENING"])
 
@@ -108,6 +110,28 @@ def test_labels_and_joins(spark):
     assert pn.labelled_lines(df.limit(0)).count() == 0
 
 
+def test_steps_between_lines_without_moving_all(spark):
+    rng = random.Random(3)
+    texts = ["BERITA ACARA", "Selesai.", "secara bertahap kepada semua pihak yang hadir, lalu", "Penutup sidang berlangsung singkat, dan semua setuju.", "27", "kem-"]
+    rows = [(1, p, i, rng.choice(texts)) for p, n in enumerate([1, 3, 6, 7, 8, 9, 25], 1) for i in range(n)]
+    df = spark.createDataFrame([(k, *r, 20.0 * r[2]) for k, r in enumerate(rows)], "ocr_id long, doc long, page int, idx int, text string, min_y double")
+    y = stored(pn.featured(df))
+    seen, last = Counter(), {}
+    for r in y.orderBy("page", "idx").collect():
+        if r["seed"] is not None and last.get(r["page"], "start") is not None:
+            seen[last.get(r["page"], "start"), pn.STATES[r["seed"]]] += 1
+        last[r["page"]] = None if r["seed"] is None else pn.STATES[r["seed"]]
+    move = pn.fitted(y)["move"]
+    for a, row in pn.MOVES.items():
+        prior = {b: np.exp(w) for b, w in row.items() if w > pn._NO}
+        c = {b: seen[a, b] + w * pn.PRIOR / sum(prior.values()) for b, w in prior.items()}
+        assert all(abs(move[a][b] - np.log(c[b] / sum(c.values()))) < 1e-9 for b in c)
+    assert sum(seen[a, b] for a in ("body", "break") for b in ("body", "break")) > 20
+    # lines between the edges are counted where they lie; a line that does not end in a hyphen does not carry the next one along
+    assert y.where("rim").count() == sum(min(n, 8) for n in [1, 3, 6, 7, 8, 9, 25]) and y.where("after >= 0").count() == 1 + 2 + 18
+    assert pn.labelled_lines(df).where("not broken and next_text is not null").count() == 0
+
+
 def test_repaired_paragraphs(spark):
     rows = [(1, 1, 1, 0, "Menurut catatan, laporan ini disu-"), (2, 1, 1, 1, "sun, lalu meniinggu 13.412.5OO rupiah yang"), (3, 1, 1, 2, "disampaikan secara berta-"), (4, 1, 2, 0, "hap. Sidang selesai dengan baik dan lancar.")]
     df = spark.createDataFrame(rows, "ocr_id long, doc long, page int, idx int, text string")
